@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import media
+from spanloom.plans import media, records
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(media.QUERIES)
+    return {**media.QUERIES, **records.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in media.SQL.items() if k in media.QUERIES}
+    return {**media.SQL, **records.SQL}
