@@ -38,17 +38,29 @@ SHARD_IDS = 1 << 24
 LEVEL = 3
 
 
+def transposed(words: np.ndarray) -> np.ndarray:
+    """8 x 8 bit matrices, one in each 64-bit word, transposed (three rounds of masked swaps)."""
+    for shift, mask in ((7, 0x00AA00AA00AA00AA), (14, 0x0000CCCC0000CCCC), (28, 0x00000000F0F0F0F0)):
+        t = (words ^ (words >> np.uint64(shift))) & np.uint64(mask)
+        words = words ^ t ^ (t << np.uint64(shift))
+    return words
+
+
 def to_planes(ids: np.ndarray, planes: str = "bit") -> list[bytes]:
-    """Planes of a chunk, lowest first; none if all ids are zero."""
+    """Planes of a chunk, lowest first; none if all ids are zero. In a bit plane the first id is the lowest bit."""
     ids = np.ascontiguousarray(ids, "<u4")
     bits = int(ids.max(initial=0)).bit_length()
     octets = ids.view(np.uint8).reshape(-1, 4)[:, : (bits + 7) // 8]
-    if planes == "byte":
-        return [np.ascontiguousarray(octets[:, i]).tobytes() for i in range(octets.shape[1])]
-    if not octets.shape[1]:
-        return []
-    spread = np.unpackbits(np.ascontiguousarray(octets), axis=1, bitorder="little")[:, :bits]
-    return [p.tobytes() for p in np.packbits(np.ascontiguousarray(spread.T), axis=1, bitorder="little")]
+    out = []
+    for i in range(octets.shape[1]):
+        if planes == "byte":
+            out.append(octets[:, i].tobytes())
+        else:
+            line = np.zeros(-(-len(ids) // 8) * 8, np.uint8)
+            line[: len(ids)] = octets[:, i]
+            turned = transposed(line.view("<u8")).astype("<u8").view(np.uint8).reshape(-1, 8)
+            out += [turned[:, b].tobytes() for b in range(min(8, bits - 8 * i))]
+    return out
 
 
 def from_planes(frames: list[bytes], n: int, planes: str = "bit") -> np.ndarray:
@@ -57,11 +69,12 @@ def from_planes(frames: list[bytes], n: int, planes: str = "bit") -> np.ndarray:
     if planes == "byte":
         for i, f in enumerate(frames):
             octets[:, i] = np.frombuffer(f, np.uint8)
-    elif frames:
-        packed = np.frombuffer(b"".join(frames), np.uint8).reshape(len(frames), -1)
-        spread = np.unpackbits(packed, axis=1, count=n, bitorder="little")
-        made = np.packbits(np.ascontiguousarray(spread.T), axis=1, bitorder="little")
-        octets[:, : made.shape[1]] = made
+    else:
+        for i in range(0, len(frames), 8):
+            turned = np.zeros((-(-n // 8), 8), np.uint8)
+            for b, f in enumerate(frames[i : i + 8]):
+                turned[:, b] = np.frombuffer(f, np.uint8)
+            octets[:, i // 8] = transposed(turned.view("<u8").ravel()).astype("<u8").view(np.uint8)[:n]
     return octets.view("<u4").ravel()
 
 

@@ -4,19 +4,20 @@ A byte-level BPE vocabulary of this kind cuts a text by a fixed pattern before i
 pattern never joins what stands before a blank to the blank and the non-white-space character
 after it. So a text is the concatenation of its parts between such blanks, and each part has the
 same ids wherever it stands. Parts seen before come from a cache; new ones are cut by the pattern
-and go through the tokenizers library, in batches. The caches are emptied at a fixed size.
+and go through the tokenizers library's merges. The caches are emptied at a fixed size.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import struct
 from pathlib import Path
 
 import numpy as np
 
 #: Entries of each cache, about 200 bytes apiece.
-CACHE = 400_000
+CACHE = 900_000
 
 #: A part with a character above this is not cut before it is encoded.
 _PLAIN = "\u024f"
@@ -33,6 +34,13 @@ def vocabulary_json(path: str | None = None) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else the next from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
 class Encoder:
     """Encodes lists of texts into little-endian unsigned 16- or 32-bit ids."""
 
@@ -46,6 +54,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        self.letters = byte_letters()
+        self.pack = {n: struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(1, 65)}
         self.cache = cache
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -81,14 +91,25 @@ class Encoder:
             return [" " + part[:-1], part[-1]]
         return self.cut(" " + part)
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one of the pattern's pieces; its bytes go to the library's merges as letters."""
+        if max(piece) > _PLAIN:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        else:
+            letters = self.letters
+            ids = [t.id for t in self.tokenizer.model.tokenize("".join([letters[b] for b in piece.encode()]))]
+        return self.pack[len(ids)](*ids) if len(ids) <= 64 else np.array(ids, self.dtype).tobytes()
+
     def _learn(self, parts: list[str]) -> None:
-        cut = [self._pieces(p) for p in parts]
-        new = [p for p in set().union(*cut) if p not in self.pieces]
-        for piece, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[piece] = np.array(made.ids, self.dtype).tobytes()
-        get = self.pieces.__getitem__
-        for part, p in zip(parts, cut):
-            self.parts[part] = b"".join(map(get, p))
+        known, pieces = self.pieces, self._pieces
+        for part in parts:
+            made = []
+            for piece in pieces(part):
+                ids = known.get(piece)
+                if ids is None:
+                    ids = known[piece] = self._piece(piece)
+                made.append(ids)
+            self.parts[part] = b"".join(made)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
