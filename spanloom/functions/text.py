@@ -179,3 +179,31 @@ def safe_filename(text: Column) -> Column:
 
 def file_size(size: Column) -> Column:
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1048576, F.concat(F.round((size / 1024).cast("decimal(20,6)"), 1).cast("string"), F.lit(" KB"))).otherwise(F.concat(F.round((size / 1048576).cast("decimal(20,6)"), 1).cast("string"), F.lit(" MB")))
+
+
+# Kinds of correction messages by what they contain, first match wins.
+CORRECTIONS = (
+    ("duration", (("must not exceed",), ("duration", "90"))), ("end", (("end must stay",), ("end after the allowed",))), ("start", (("start must stay",), ("start before the allowed",))),
+    ("order", (("reversed",), ("end must be greater",))), ("pair", (("allowed_boundary_pairs",), ("boundary pair",))), ("id", (("unknown",), ("ineligible",))),
+)
+
+
+def correction_kind(message: Column) -> Column:
+    low = F.lower(F.coalesce(message, F.lit("")))
+    out = F.lit("invalid")
+    for kind, ways in reversed(CORRECTIONS):
+        hit = F.lit(False)
+        for marks in ways:
+            both = F.lit(True)
+            for m in marks:
+                both = both & F.contains(low, F.lit(m))
+            hit = hit | both
+        out = F.when(hit, kind).otherwise(out)
+    return out
+
+
+def json_object(text: Column) -> Column:
+    """The JSON object in free text as a variant, null if there is none: code fences go, then what stands outside the outer braces, then trailing commas."""
+    bare = F.trim(F.regexp_replace(text, r"(?s)```(?:json)?\s*(.*?)\s*```", "$1"))
+    inner = F.regexp_replace(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), r",\s*([}\]])", "$1")
+    return F.coalesce(F.try_parse_json(F.when(bare.startswith("{"), bare)), F.try_parse_json(F.nullif(inner, F.lit(""))))

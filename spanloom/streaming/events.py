@@ -27,7 +27,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def event_lines(lines: DataFrame) -> DataFrame:
-    """(value, event, stage, progress, message): marker lines parsed, other lines by what they say.
+    """The columns of ``lines`` with (event, stage, progress, message): marker lines parsed, other lines by what they say.
 
     A marker line that is no JSON object has neither event nor stage. Secrets in messages are
     replaced. progress: given, else the stage's.
@@ -37,7 +37,7 @@ def event_lines(lines: DataFrame) -> DataFrame:
     stage = F.when(marked, F.col("e.stage")).otherwise(tx.log_stage(F.col("value")))
     table = F.create_map(*[F.lit(x) for kv in PROGRESS.items() for x in kv])
     event = F.when(marked, F.col("e.event")).otherwise(F.when(stage.isNotNull(), "stage_started"))
-    return made.select("value", event.alias("event"), stage.alias("stage"), F.coalesce(F.col("e.progress_percent"), F.try_element_at(table, stage).cast("double")).alias("progress"), tx.redacted(F.coalesce("e.message", F.when(~marked, F.col("value")))).alias("message"))
+    return made.select(*lines.columns, event.alias("event"), stage.alias("stage"), F.coalesce(F.col("e.progress_percent"), F.try_element_at(table, stage).cast("double")).alias("progress"), tx.redacted(F.coalesce("e.message", F.when(~marked, F.col("value")))).alias("message"))
 
 
 _OUT = T.StructType().add("project_id", T.LongType()).add("state", T.StringType()).add("progress", T.DoubleType()).add("n", T.LongType())
