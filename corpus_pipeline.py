@@ -26,12 +26,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the least doc_id.
+    """One document of each SimHash group, by shingles of five words and a similarity of 0.8: the one with the least doc_id.
 
-    Shingles of five words; documents of no words are not near copies of each other in any sense
-    that matters here, but they are equal, and one of them stays.
+    Documents without words are equal, and one of them stays.
     """
-    found = neardup.near_duplicates(docs, shingle=5)
+    found = neardup.similar_groups(docs, shingle=5, similarity=0.8)
     return _without(docs, found.where("component < doc_id").select("doc_id"))
 
 

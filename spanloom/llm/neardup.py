@@ -82,14 +82,18 @@ def _chunks(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def bucket_forest(keys: np.ndarray, fps: np.ndarray, tables: np.ndarray, radius: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fingerprint, its root) that join what is linked within each bucket.
+def bucket_forest(keys: np.ndarray, fps: np.ndarray, tables: np.ndarray, radius: int, most: int = 1 << 20, nodes: np.ndarray | None = None, checks: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, its root) that join what is linked within each bucket.
 
     keys: bucket of each row; fps: uint64; tables: uint8 (rows, pivots). Pairs are made ``most``
     at a time: those in the window of the first pivot, then thinned pivot by pivot, then verified.
+    nodes: what a row stands for, the fingerprint itself if not given. checks: wide fingerprints
+    (uint64, rows x words); if given, a link also needs at most ``limit`` differing bits there.
     """
+    nodes = fps if nodes is None else nodes
     order = np.lexsort((tables[:, 0], keys))
-    keys, fps, tables = keys[order], fps[order], tables[order].astype(np.int16)
+    keys, fps, tables, nodes = keys[order], fps[order], tables[order].astype(np.int16), nodes[order]
+    checks = checks[order] if checks is not None else None
     rank = np.cumsum(np.r_[False, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     line = rank.astype(np.int64) * 256 + tables[:, 0]
     n = len(line)
@@ -104,6 +108,9 @@ def bucket_forest(keys: np.ndarray, fps: np.ndarray, tables: np.ndarray, radius:
             i, j = i[keep], j[keep]
         keep = np.bitwise_count(fps[i] ^ fps[j]) <= radius
         i, j = i[keep], j[keep]
+        if checks is not None and len(i):
+            keep = np.bitwise_count(checks[i] ^ checks[j]).sum(axis=1) <= limit
+            i, j = i[keep], j[keep]
         while len(i):
             x, y = label[i], label[j]
             apart = x != y
@@ -112,42 +119,53 @@ def bucket_forest(keys: np.ndarray, fps: np.ndarray, tables: np.ndarray, radius:
             while (label[label] != label).any():
                 label = label[label]
     moved = label != np.arange(n)
-    return fps[moved], fps[label[moved]]
+    return nodes[moved], nodes[label[moved]]
 
 
-def bucket_edges(buckets: DataFrame, radius: int) -> DataFrame:
-    """Spanning-forest edges (u, v) of every bucket of (bucket, fp, pivots); a bucket is at most BUCKET_CAP rows."""
+def bucket_edges(buckets: DataFrame, radius: int, limit: int = 0) -> DataFrame:
+    """Spanning-forest edges (u, v) of every bucket of (bucket, fp, pivots[, node, check]); a bucket is at most BUCKET_CAP rows."""
+    wide = "check" in buckets.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(key, fp, table):
-            u, v = bucket_forest(key, fp, table, radius)
+        def done(key, fp, table, node=None, check=None):
+            u, v = bucket_forest(key, fp, table, radius, nodes=node, checks=check, limit=limit)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
+        def matrix(column, kind, rows):
+            return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
+
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy()
-            fp = batch.column(1).to_numpy().view(np.uint64)
-            table = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(key), -1)
+            now = [key, batch.column(1).to_numpy().view(np.uint64), matrix(batch.column(2), np.uint8, len(key))]
+            if wide:
+                now += [batch.column(3).to_numpy(), matrix(batch.column(4), "<u8", len(key))]
             if held is not None:
-                key, fp, table = np.r_[held[0], key], np.r_[held[1], fp], np.r_[held[2], table]
-            cut = int(np.searchsorted(key, key[-1]))
+                now = [np.concatenate(x) for x in zip(held, now)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
             if cut:
-                yield done(key[:cut], fp[:cut], table[:cut])
-            held = key[cut:], fp[cut:], table[cut:]
+                yield done(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
         if held is not None:
             yield done(*held)
 
     dealt = buckets.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.select("bucket", "fp", "pivots").mapInArrow(run, "u long, v long")
+    return dealt.select("bucket", "fp", "pivots", *(["node", "check"] if wide else [])).mapInArrow(run, "u long, v long")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """Edges (u, v) that connect all distinct fingerprints (fp, pivots) that chains of links join."""
+def links(distinct: DataFrame, radius: int = RADIUS, bucket_cap: int = BUCKET_CAP, limit: int = 0) -> DataFrame:
+    """Edges (u, v) that connect all distinct fingerprints (fp, pivots) that chains of links join.
+
+    With the columns node and check, edges join nodes, and links are held against ``limit`` bits of
+    the wide fingerprint ``check``; salt tells fingerprints of different hash functions apart.
+    """
+    extra = [c for c in ("node", "check") if c in distinct.columns]
     if radius > 3:
         raise ValueError("the four blocks of LEVELS serve a radius of 3 at most")
-    rows = distinct.select(F.lit(0).cast("long").alias("bucket"), "fp", "pivots", F.col("fp").alias("rest"))
+    salt = F.col("salt").cast("long") if "salt" in distinct.columns else F.lit(0).cast("long")
+    rows = distinct.select(salt.alias("bucket"), "fp", "pivots", F.col("fp").alias("rest"), *extra)
     out = []
     for level, widths in enumerate(LEVELS):
         low, parts = 0, []
@@ -157,13 +175,13 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket_cap: int = BUCKET_CA
             above = F.shiftleft(F.shiftrightunsigned(F.shiftrightunsigned("rest", low), w), low)
             parts.append(F.struct(F.xxhash64("bucket", F.lit(4 * level + j), value).alias("bucket"), under.bitwiseOR(above).alias("rest")))
             low += w
-        rows = rows.select("fp", "pivots", F.explode(F.array(*parts)).alias("x")).select("x.bucket", "fp", "pivots", "x.rest")
+        rows = rows.select("fp", "pivots", *extra, F.explode(F.array(*parts)).alias("x")).select("x.bucket", "fp", "pivots", "x.rest", *extra)
         hot = rows.groupBy("bucket").count().where(F.col("count") > bucket_cap).select("bucket")
         if level + 1 == len(LEVELS) or hot.isEmpty():
-            out.append(bucket_edges(rows, radius))
+            out.append(bucket_edges(rows, radius, limit))
             break
         hot = written(hot, "hot-buckets")
-        out.append(bucket_edges(rows.join(hot, "bucket", "left_anti"), radius))
+        out.append(bucket_edges(rows.join(hot, "bucket", "left_anti"), radius, limit))
         rows = written(rows.join(hot, "bucket", "left_semi"), "hot-rows")
     edges = out[0]
     for more in out[1:]:
@@ -186,3 +204,79 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     whole = known.groupBy("root").agg(F.min("least").alias("component"))
     by_fp = known.select("fp", "root").join(whole, "root").select("fp", "component")
     return each.select("k", "fp").join(by_fp, "fp").select(F.col("k").alias(key), "fp", "component")
+
+
+#: Fingerprints of one text in the similarity mode, bits of the fingerprint that verifies, and how
+#: far beyond the expected number of differing bits (in standard deviations) a pair still links.
+TABLES, CHECK_WORDS, SLACK = 8, 4, 1.0
+_SPREAD = np.array([xxhash.xxh64_intdigest(f"table {i}", 11) | 1 for i in range(TABLES)], np.uint64)
+
+
+def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
+    """One 64-bit hash as ``words`` of them: odd multiples, finalized as SplitMix64 does."""
+    many = hashes[:, None] * _SPREAD[None, :words]
+    many ^= many >> np.uint64(30)
+    many *= np.uint64(0xBF58476D1CE4E5B9)
+    many ^= many >> np.uint64(27)
+    many *= np.uint64(0x94D049BB133111EB)
+    return many ^ (many >> np.uint64(31))
+
+
+def wide_fingerprints(text: str | None, shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(TABLES words over words, CHECK_WORDS words over shingles) of a text; zeros without words.
+
+    The first ones vote by words, weighted by their length, so that a few edits flip few bits; the
+    second votes by shingles and measures what the similarity is about.
+    """
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(TABLES, np.uint64), np.zeros(CHECK_WORDS, np.uint64)
+    h = xxhash.xxh64_intdigest
+    one = np.fromiter((h(w, 42) for w in words), np.uint64)
+    weight = np.minimum(np.fromiter(map(len, words), np.float64, len(words)), 12.0)
+    finds = pack_bits(vote_sums(_spread(one, TABLES), weight) * 2 > weight.sum())
+    grams = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    many = np.fromiter((h(g, 43) for g in grams), np.uint64)
+    return finds, pack_bits(vote_sums(_spread(many, CHECK_WORDS)) * 2 > len(many))
+
+
+def bit_limit(similarity: float, bits: int, slack: float = SLACK) -> int:
+    """Differing bits of ``bits`` that two texts of this shingle similarity (Jaccard) have, and ``slack`` deviations more."""
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(bits * p + slack * (bits * p * (1 - p)) ** 0.5)
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+    """(key, node, component): groups of texts whose shingle sets are similar; the least key of each.
+
+    A pair within RADIUS bits in any of TABLES fingerprints, found through pivot distance tables, is
+    verified by CHECK_WORDS x 64 bits over the shingles, which stand for the wanted similarity. A
+    pair of texts at 0.8 is found in one table with probability 0.38 or so, in any of eight with
+    0.98. Equal texts are one node. Nulls and wordless texts are equal to each other; null keys
+    never are the least; an empty table gives an empty result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        refs = pivots()
+        for batch in batches:
+            for part in slices(batch, "t"):
+                made = [wide_fingerprints(t, shingle) for t in part.column(1).to_pylist()]
+                fp = np.array([m[0] for m in made], np.uint64)
+                table = np.bitwise_count(fp[:, :, None] ^ refs[None, None, :]).astype(np.uint8)
+                node = [xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes(), 42) for m in made]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([r.tobytes() for r in table], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())], ["k", "node", "fps", "tables", "check"])
+
+    src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
+    each = written(src.mapInArrow(run, "k long, node long, fps array<long>, tables binary, check binary"), "wide")
+    distinct = written(each.groupBy("node").agg(F.min("k").alias("least"), *[F.first(c).alias(c) for c in ("fps", "tables", "check")]), "wide-distinct")
+    n = PIVOTS
+    parts = distinct.select("node", "check", "tables", F.posexplode("fps").alias("salt", "fp"))
+    parts = parts.select("node", "check", "salt", "fp", F.expr(f"substring(tables, salt * {n} + 1, {n})").alias("pivots"))
+    limit = bit_limit(similarity, 64 * CHECK_WORDS)
+    edges = written(links(parts, RADIUS, bucket_cap, limit), "edges")
+    roots = connected_components(edges)
+    known = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    known = written(known, "wide-roots")
+    whole = known.groupBy("root").agg(F.min("least").alias("component"))
+    by_node = known.select("node", "root").join(whole, "root").select("node", "component")
+    return each.select("k", "node").join(by_node, "node").select(F.col("k").alias(key), "node", "component")

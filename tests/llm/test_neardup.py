@@ -91,3 +91,28 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 102: 100, 200: 200}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_groups_find_edited_copies(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 10)))
+    rows, want = [], {}
+    for i in range(30):
+        words = [word() for _ in range(400)]
+        rows.append((i * 10, " ".join(words)))
+        want[i * 10] = i * 10
+        for j in range(1, 4):
+            edited = list(words)
+            for _ in range(j):
+                edited[rnd.randrange(400)] = word()
+            rows.append((i * 10 + j, " ".join(edited)))
+            want[i * 10 + j] = i * 10
+        rows.append((i * 10 + 9, " ".join(words[:200] + [word() for _ in range(200)])))
+        want[i * 10 + 9] = i * 10 + 9
+    rows += [(1000, None), (1001, ""), (None, rows[0][1]), (0, rows[0][1])]
+    want |= {1000: 1000, 1001: 1000, None: 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as fps")
+    for cap in (4096, 3):
+        got = {r.doc_id: r.component for r in neardup.similar_groups(docs, bucket_cap=cap).collect()}
+        assert got == want
+    assert neardup.similar_groups(docs.limit(0)).count() == 0
