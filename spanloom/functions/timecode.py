@@ -95,3 +95,16 @@ def segment_id(start_cs: Column, end_cs: Column) -> Column:
 def overlap(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Length that two intervals share, 0 if they only touch."""
     return F.greatest(F.lit(0), F.least(e1, e2) - F.greatest(s1, s2))
+
+
+def filename_range(name: Column) -> Column:
+    """Struct (start, end) in seconds of segment_N_M-SS_f_M-SS_f file names; null parts if it is none."""
+    pattern = r"segment_\d+_(\d+)-(\d{2}_\d+)_(\d+)-(\d{2}_\d+)"
+    part = lambda i: F.replace(F.nullif(F.regexp_extract(name, pattern, i), F.lit("")), F.lit("_"), F.lit(".")).cast("double")
+    return F.struct((part(1) * 60 + part(2)).alias("start"), (part(3) * 60 + part(4)).alias("end"))
+
+
+def iso_instant(text: Column) -> Column:
+    """Instant of an ISO time; Z and offsets are read, UTC is assumed without one, null if it is none."""
+    t = F.regexp_replace(F.trim(text), "[zZ]$", "+00:00")
+    return F.try_to_timestamp(F.when(t.rlike(r"[+-]\d{2}:\d{2}$"), t).otherwise(F.concat(t, F.lit("+00:00"))))

@@ -95,3 +95,22 @@ def runs(spoken: DataFrame) -> DataFrame:
     start = F.coalesce(middle(F.lag("z").over(seq), F.col("a")), F.col("s"))
     end = F.coalesce(middle(F.col("z"), F.lead("a").over(seq)), F.col("e"))
     return by_run.select("doc_id", "seg_idx", F.col("run").cast("long").alias("run"), "raw_speaker", start.cast("long").alias("start_cs"), end.cast("long").alias("end_cs"), "text", "n_words")
+
+
+def word_offsets(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """(doc_id, seg_idx, word_idx, at, until, ok): character ranges of a segment's words in its text.
+
+    Every word is looked for behind the one before it; ok is false in segments where one is not
+    found or something but white space is left over. A segment's words are folded in order.
+    """
+    from spanloom.operators.heatmap import unrolled
+
+    w = words.groupBy("doc_id", "seg_idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text"))).alias("w"))
+    made = segments.select("doc_id", F.col("idx").alias("seg_idx"), F.col("text").alias("t")).join(w, ["doc_id", "seg_idx"])
+    found = "locate(y.text, t, a.cur + 1)"
+    gap = f"trim(regexp_replace(substring(t, a.cur + 1, {found} - 1 - a.cur), '\\\\s', '')) = ''"
+    made = made.withColumn("f", F.expr(f"""aggregate(w, named_struct('r', cast(array() as array<struct<at:int,until:int>>), 'cur', 0, 'ok', true), (a, y) ->
+      if(a.ok and {found} > 0, named_struct('r', concat(a.r, array(named_struct('at', {found} - 1, 'until', {found} - 1 + length(y.text)))), 'cur', {found} - 1 + length(y.text), 'ok', {gap}),
+         named_struct('r', concat(a.r, array(cast(null as struct<at:int,until:int>))), 'cur', a.cur, 'ok', false)))"""))
+    made = made.withColumn("ok", F.expr("f.ok and regexp_replace(substring(t, f.cur + 1, length(t)), '\\\\s', '') = ''")).withColumn("z", F.arrays_zip("w", F.col("f.r").alias("r")))
+    return unrolled(made, "z", "doc_id", "seg_idx", "ok").select("doc_id", "seg_idx", F.col("x.w.word_idx").alias("word_idx"), F.col("x.r.at").cast("long").alias("at"), F.col("x.r.until").cast("long").alias("until"), "ok")

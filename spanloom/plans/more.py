@@ -252,3 +252,71 @@ def v11_unknown_keys(spark, sf):
     keys = F.filter(F.array(F.when(F.col("event_id") % 3 != 0, "k"), F.when(F.col("event_id") % 2 == 0, "extra")), lambda x: x.isNotNull())
     allowed = F.array(F.lit("k"))
     return table(spark, sf, "events").select("event_id", F.array_join(F.array_except(keys, allowed), ",").alias("unexpected"), F.array_join(F.array_except(allowed, keys), ",").alias("missing"))
+
+
+@query("g8_rebalanced")
+def g8_rebalanced(spark, sf):
+    """Cues without lone connectors or short tails, capitalized after full stops (checked in the tests)."""
+    from spanloom.operators import cutting
+
+    w = views.words(spark, sf)
+    c = cutting.cues(w).select("doc_id", "seg_idx", "cue", F.col("start_cs").alias("cs"), F.col("end_cs").alias("ce"))
+    each = w.join(c, ["doc_id", "seg_idx"]).where("start_cs >= cs and end_cs <= ce").drop("cs", "ce")
+    return cutting.capitalized(cutting.rebalanced(each))
+
+
+@query("w10_capitalized", r"""WITH s AS (SELECT doc_id, idx, idx // 3 AS seg, regexp_replace(regexp_replace(text, '[^\p{L} .]', '', 'g'), ' +([.])', '\1', 'g') AS t FROM segments),
+  n AS (SELECT doc_id, seg, idx, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM s), l AS (SELECT *, lag(t) OVER (PARTITION BY doc_id, seg ORDER BY idx) AS b FROM n)
+  SELECT doc_id, seg AS seg_idx, idx AS cue, CASE WHEN coalesce(regexp_matches(b, '[.!?…]["''”’)]*$'), false) THEN upper(left(t, 1)) || substr(t, 2) ELSE t END AS text FROM l""", "segments")
+def w10_capitalized(spark, sf):
+    """A text after a full stop starts with a capital."""
+    from spanloom.operators import cutting
+
+    s = views.segments(spark, sf)
+    t = F.regexp_replace(F.regexp_replace("text", r"[^\p{L} .]", ""), " +([.])", "$1")
+    return cutting.capitalized(s.select("doc_id", F.expr("idx div 3").alias("seg_idx"), F.col("idx").alias("cue"), F.trim(F.regexp_replace(t, r"\s+", " ")).alias("text")))
+
+
+@query("f41_word_offsets", r"""WITH w AS (SELECT doc_id, idx, text, regexp_extract_all(text, '\S+') AS l FROM segments), u AS (SELECT doc_id, idx, unnest(l) AS word, unnest(range(0, len(l))) AS i, regexp_extract_all(text, '\s+') AS g, regexp_matches(text, '^\s') AS lead FROM w),
+  p AS (SELECT *, coalesce(sum(length(word)) OVER (PARTITION BY doc_id, idx ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, list_sum(list_transform(g[1:CASE WHEN lead THEN i + 1 ELSE i END], lambda x: length(x))) AS blanks FROM u)
+  SELECT doc_id, idx AS seg_idx, i AS word_idx, CAST(before + coalesce(blanks, 0) AS BIGINT) AS at, CAST(before + coalesce(blanks, 0) + length(word) AS BIGINT) AS until, true AS ok FROM p""", "segments")
+def f41_word_offsets(spark, sf):
+    """character ranges of words, matched one behind the other."""
+    from spanloom.operators import speakers
+
+    return speakers.word_offsets(views.segments(spark, sf), views.words(spark, sf))
+
+
+@query("f10_names_and_instants", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 * 60 + 7.25 AS DOUBLE) END AS start, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 * 60 + 67.5 AS DOUBLE) END AS "end",
+  CASE event_id % 3 WHEN 0 THEN 1704103200 WHEN 1 THEN 1704099600 END AS instant FROM events""")
+def f10_names_and_instants(spark, sf):
+    """Times in file names, ISO instants."""
+    from spanloom.functions import timecode as tc
+
+    m = (F.col("event_id") % 50).cast("string")
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("out/segment_3_"), m, F.lit("-07_25_"), (F.col("event_id") % 50 + 1).cast("string"), F.lit("-07_5.mp4"))).otherwise("other.mp4")
+    iso = F.when(F.col("event_id") % 3 == 0, "2024-01-01T10:00:00Z").when(F.col("event_id") % 3 == 1, "2024-01-01T10:00:00+01:00").otherwise("soon")
+    made = table(spark, sf, "events").select("event_id", tc.filename_range(name).alias("r"), F.unix_seconds(tc.iso_instant(iso)).alias("instant"))
+    return made.select("event_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"), "instant")
+
+
+@query("f21_geometry", """WITH p AS (SELECT p_partkey, p_size, 640 + p_size * 10 AS w, 720 AS h, CAST(p_partkey % 700 AS DOUBLE) AS cx FROM part), b AS (SELECT *, 405 AS bw, 720 AS bh FROM p)
+  SELECT p_partkey, CAST(greatest(0, least(round_even(greatest(bw / 2, least(cx, w - bw / 2)) - bw / 2, 0), w - bw)) AS INTEGER) AS x1, bw AS w, bh AS h, w * 16 = h * 9 AS vertical, p_size % 8 AS style FROM b""")
+def f21_geometry(spark, sf):
+    """Crop boxes, the 9:16 test, palette by modulo (parts as frames)."""
+    from spanloom.operators import cutting
+
+    w, h = 640 + F.col("p_size") * 10, F.lit(720)
+    box = cutting.crop_box(w, h, (F.col("p_partkey") % 700).cast("double"), F.lit(360.0), F.lit(1.0))
+    made = table(spark, sf, "part").select("p_partkey", box.alias("b"), cutting.vertical(w, h).alias("vertical"), F.pmod("p_size", F.lit(8)).alias("style"))
+    return made.select("p_partkey", F.col("b.x1").alias("x1"), F.col("b.w").alias("w"), F.col("b.h").alias("h"), "vertical", "style")
+
+
+@query("f50_modes", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'local_only' WHEN 1 THEN 'limited' WHEN 2 THEN 'full' ELSE NULL END AS mode, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 8 END AS samples FROM events")
+def f50_modes(spark, sf):
+    """enum normalizers; an unknown mode is null here, an error where it configures a run."""
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, "").when(k == 1, " Limited ").when(k == 2, "FULL").otherwise("best")
+    low = F.coalesce(F.nullif(F.lower(F.trim(raw)), F.lit("")), F.lit("local_only"))
+    mode = F.when(low.isin("off", "local_only", "limited", "full"), low)
+    return table(spark, sf, "events").select("event_id", mode.alias("mode"), F.when(mode.isin("off", "local_only"), 0).when(mode == "limited", 2).when(mode == "full", 8).alias("samples"))

@@ -201,3 +201,18 @@ def test_registry_is_consistent():
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 60
     assert all(re.fullmatch(r"[a-z0-9_]+", k) for k in catalog.queries())
+
+
+def test_cues_are_rebalanced_and_capitalized(spark):
+    schema = "doc_id long, seg_idx long, cue long, word_idx long, start_cs long, end_cs long, text string"
+    texts = [[("one", 0), ("two", 1), ("three", 2), ("four", 3)], [("five", 4)], [("and", 5)], [("six", 6), ("end.", 7)]]
+    rows = [(1, 0, c, i, i * 40, i * 40 + 40, t) for c, cue in enumerate(texts) for t, i in cue] + [(2, 0, 0, 0, 0, 40, "done."), (2, 0, 1, 1, 200, 240, "next")]
+    got = {(r.doc_id, r.cue): r.text for r in cutting.capitalized(cutting.rebalanced(spark.createDataFrame(rows, schema))).collect()}
+    assert got == {(1, 0): "one two three", (1, 1): "four five", (1, 2): "and six end.", (2, 0): "done.", (2, 1): "Next"}
+
+
+def test_word_offsets_and_uncovered_text(spark):
+    s = spark.createDataFrame([(1, 0, " the cat  the"), (2, 0, "a b c"), (3, 0, "x y")], "doc_id long, idx long, text string")
+    w = spark.createDataFrame([(1, 0, 0, 0, 1, "the"), (1, 0, 1, 1, 2, "cat"), (1, 0, 2, 2, 3, "the"), (2, 0, 0, 0, 1, "a"), (2, 0, 1, 1, 2, "c"), (3, 0, 0, 0, 1, "z")], WORDS)
+    got = sorted(((r.doc_id, r.word_idx, r["at"], r.until, r.ok) for r in speakers.word_offsets(s, w).collect()), key=str)
+    assert got == [(1, 0, 1, 4, True), (1, 1, 5, 8, True), (1, 2, 10, 13, True), (2, 0, 0, 1, False), (2, 1, 4, 5, False), (3, 0, None, None, False)]
