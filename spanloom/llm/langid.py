@@ -164,7 +164,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     picked = src.select("k", "y").join(F.broadcast(sizes), "y").withColumn("u", unit).where(F.col("u") <= 2.0 * per_language / F.col("n"))
     order = Window.partitionBy("y").orderBy("u", "k")
     picked = picked.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_language).select("k", "y")
-    rows = src.join(picked, ["k", "y"]).select("k", "t", "y").orderBy("k", "t").collect()
+    rows = src.join(F.broadcast(picked), ["k", "y"]).select("k", "t", "y").orderBy("k", "t").collect()
     return fit([r["t"] for r in rows], [r["y"] for r in rows])
 
 

@@ -192,7 +192,7 @@ def quality(docs: DataFrame, key: str = "doc_id", text: str = "text", max_rows:
                 rows = [features(t) for t in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0].tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary()), part.column(1)], ["a", "x", "weak"])
 
-    sample = src.join(picked.dropDuplicates(["k"]), "k").select("t", "weak").mapInArrow(read, "a binary, x binary, weak double").collect()
+    sample = src.join(F.broadcast(picked.dropDuplicates(["k"])), "k").select("t", "weak").mapInArrow(read, "a binary, x binary, weak double").collect()
     rows = [(np.frombuffer(r[0], np.int64), np.frombuffer(r[1], np.float32)) for r in sample]
     model = spark.sparkContext.broadcast(fit_scorer(rows, np.array([r[2] for r in sample])))  # BUCKETS weights
 

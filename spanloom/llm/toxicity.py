@@ -115,7 +115,8 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
 def _sample(docs: DataFrame, rows: DataFrame, key: str, text: str, limit: int) -> list[np.ndarray]:
     """Word hashes of the texts of at most ``limit`` keys in ``rows``, picked by the keys' hash."""
     picked = rows.orderBy(F.xxhash64("k"), "k").limit(limit)
-    src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(picked, "k")
+    # At most ``limit`` keys, so no text is shuffled to find theirs.
+    src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
