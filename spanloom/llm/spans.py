@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import slices, written
@@ -89,43 +89,53 @@ def span_hashes(text: str | None, least_units: int = LEAST_UNITS, least_words: i
     return np.array(h, np.uint64).view(np.int64).tolist(), first, last
 
 
-def without(text: str, covered: list[tuple[int, int]]) -> tuple[str, int]:
-    """The text without the units in any of the (first, last) ranges, and how many those are."""
+def without(text: str, repeats: list[int], least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS) -> tuple[str, int]:
+    """The text without the units of the spans that start at ``repeats``, and how many those are."""
     cut = units(text)
-    gone = np.zeros(len(cut) + 1, np.int64)
-    for a, b in covered:
-        gone[a] += 1
-        gone[b + 1] -= 1
+    found, gone = set(repeats), np.zeros(len(cut) + 1, np.int64)
+    for a, b in spans(cut, least_units, least_words):
+        if a in found:
+            gone[a] += 1
+            gone[b + 1] -= 1
     gone = np.cumsum(gone[:-1]) > 0
     return "".join(text[a:b] for (a, b, _), g in zip(cut, gone) if not g), int(gone.sum())
 
 
+#: Bits of a text's hash that tell texts of one key apart, beside the unit's number in one integer.
+VERSION_BITS = 31
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(k, v, first, last): spans other than the first of their hash. v: XXH64 of the whole text.
+    """(k, at): spans other than the first of their hash; at: first unit and version of the text, packed.
 
     Within a text the first occurrence counts, and the others are known at once; between texts the
-    least key keeps the span. Rows that share a key are one document, whose texts v tells apart.
+    least key keeps the span. Rows that share a key are one document, whose texts the version tells apart. Only the
+    hash, the key and ``at`` are shuffled; a span's end follows from its start.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         for batch in batches:
             for part in slices(batch, "t"):
                 cols: list[list] = [[] for _ in kinds]
                 for k, v, t in zip(*(part.column(i).to_pylist() for i in range(3))):
                     seen: set[int] = set()
-                    for h, a, b in zip(*span_hashes(t, least_units, least_words)):
-                        for c, x in zip(cols, (k, v, h, a, b, h in seen)):
+                    for h, a, _ in zip(*span_hashes(t, least_units, least_words)):
+                        for c, x in zip(cols, (k, a << VERSION_BITS | v, h, h in seen)):
                             c.append(x)
                         seen.add(h)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["k", "v", "h", "first", "last", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["k", "at", "h", "again"])
 
     t = F.col(text).cast("string")
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(t).alias("v"), t.alias("t")).where("t is not null")
-    found = written(src.mapInArrow(run, "k long, v long, h long, first int, last int, again boolean"), "spans")
+    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), version(t).alias("v"), t.alias("t")).where("t is not null")
+    found = written(src.mapInArrow(run, "k long, at long, h long, again boolean"), "spans", compression="zstd")
     heads = found.where("not again").groupBy("h").agg(F.min("k").alias("head"), F.max("k").alias("tail")).where("head < tail").select("h", "head")
     later = found.where("not again").join(heads, "h").where("k > head")
-    return later.select("k", "v", "first", "last").unionByName(found.where("again").select("k", "v", "first", "last"))
+    return later.select("k", "at").unionByName(found.where("again").select("k", "at"))
+
+
+def version(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << VERSION_BITS) - 1))
 
 
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -137,16 +147,17 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     """
     hits = repeated_spans(docs, key, text, least_units, least_words)
     # For each text, its repeats: at most one for each of its units.
-    by_doc = hits.groupBy(F.col("k").alias("__k"), F.col("v").alias("__v")).agg(F.collect_set(F.struct("first", "last")).alias("__hits"))
+    unit = F.shiftright("at", VERSION_BITS)
+    by_doc = hits.groupBy(F.col("k").alias("__k"), F.col("at").bitwiseAND(F.lit((1 << VERSION_BITS) - 1)).alias("__v")).agg(F.collect_set(unit).alias("__hits"))
 
     @F.pandas_udf("text string, units int")
     def cut(t: pd.Series, hits: pd.Series) -> pd.DataFrame:
         none = (None, 0)
-        return pd.DataFrame([none if x is None else without(x, [(int(r["first"]), int(r["last"])) for r in h]) for x, h in zip(t, hits)], columns=["text", "units"])
+        return pd.DataFrame([none if x is None else without(x, h.tolist(), least_units, least_words) for x, h in zip(t, hits)], columns=["text", "units"])
 
     t = F.col(text).cast("string")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__d"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__k"), t.alias("__t"))
-    joined = keyed.withColumn("__v", F.xxhash64("__t")).join(by_doc, ["__k", "__v"], "left")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__d"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__k"), t.alias("__t"))
+    joined = keyed.withColumn("__v", version(F.col("__t"))).join(by_doc, ["__k", "__v"], "left")
     made = joined.withColumn("__cut", cut(F.when(F.col("__hits").isNotNull(), F.col("__t")), F.col("__hits")))
     new = F.when(F.col("__hits").isNotNull(), F.col("__cut.text")).otherwise(F.col("__t"))
     columns = [new.alias(c) if c == text else F.col("__d").getField(c).alias(c) for c in docs.columns]
