@@ -1,10 +1,10 @@
-"""Token ids of whole texts, with caches of what has been encoded before.
+"""Token ids of whole texts, with a cache of what has been encoded before.
 
 A byte-level BPE vocabulary of this kind cuts a text by a fixed pattern before it merges, and that
 pattern never joins what stands before a blank to the blank and the non-white-space character
 after it. So a text is the concatenation of its parts between such blanks, and each part has the
 same ids wherever it stands. Parts seen before come from a cache; new ones are cut by the pattern
-and go through the tokenizers library's merges. The caches are emptied at a fixed size.
+and go through the tokenizers library's merges. The cache is emptied at a fixed size.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pathlib import Path
 
 import numpy as np
 
-#: Entries of each cache, about 200 bytes apiece.
-CACHE = 900_000
+#: Entries of the cache, about 200 bytes apiece.
+CACHE = 600_000
 
 #: A part with a character above this is not cut before it is encoded.
 _PLAIN = "\u024f"
@@ -58,7 +58,7 @@ class Encoder:
         self.pack = {n: struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(1, 65)}
         self.cache = cache
         self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     @staticmethod
     def of(vocabulary: str, cache: int = CACHE) -> Encoder:
@@ -100,38 +100,44 @@ class Encoder:
             ids = [t.id for t in self.tokenizer.model.tokenize("".join([letters[b] for b in piece.encode()]))]
         return self.pack[len(ids)](*ids) if len(ids) <= 64 else np.array(ids, self.dtype).tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        known, pieces = self.pieces, self._pieces
-        for part in parts:
-            made = []
-            for piece in pieces(part):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = known[piece] = self._piece(piece)
-                made.append(ids)
-            self.parts[part] = b"".join(made)
+    def _learn(self, part: str) -> bytes:
+        """Ids of ' ' + part. A piece that is a blank and a word shares the word's entry."""
+        known = self.parts
+        if part.isalpha() and max(part) <= _PLAIN:
+            made = self._piece(" " + part)
+        else:
+            ids = []
+            for piece in self._pieces(part):
+                word = piece[1:]
+                if piece[0] == " " and word.isalpha() and word != part:
+                    x = known.get(word)
+                    ids.append(self._learn(word) if x is None else x)
+                elif len(piece) > 3:
+                    ids.append(self._piece(piece))
+                else:
+                    x = self.signs.get(piece)
+                    if x is None:
+                        if len(self.signs) > self.cache // 10:
+                            self.signs.clear()
+                        x = self.signs[piece] = self._piece(piece)
+                    ids.append(x)
+            made = b"".join(ids)
+        known[part] = made
+        return made
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; a null text has none."""
         if len(self.parts) > self.cache:
             self.parts.clear()
-        if len(self.pieces) > self.cache:
-            self.pieces.clear()
         # What stands first has no blank before it and goes by itself.
         rows = [self.split(t) if t else [""] for t in texts]
         firsts = self.tokenizer.encode_batch_fast([r[0] for r in rows], add_special_tokens=False)
         known = self.parts.get
         found = [list(map(known, r[1:])) for r in rows]
-        new: set[str] = set()
-        for r, f in zip(rows, found):
-            if None in f:
-                new.update([p for p, x in zip(r[1:], f) if x is None])
-        if new:
-            self._learn(list(new))
-        out = []
+        learn, out = self._learn, []
         for r, f, first in zip(rows, found, firsts):
             if None in f:
-                f = [self.parts[p] if x is None else x for p, x in zip(r[1:], f)]
+                f = [x if x is not None else known(p) or learn(p) for p, x in zip(r[1:], f)]
             head = np.array(first.ids, self.dtype).tobytes() if r[0] else b""
             out.append(np.frombuffer(head + b"".join(f), self.dtype))
         return out
