@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -246,14 +247,143 @@ def bit_limit(similarity: float, bits: int, slack: float = SLACK) -> int:
     return int(bits * p + slack * (bits * p * (1 - p)) ** 0.5)
 
 
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The distinct word shingles of a text as sorted 64-bit hashes; a text of fewer words is one shingle."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 43)][: len(words)], np.uint64)
+    one = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64)
+    total = np.zeros(len(words) - shingle + 1, np.uint64)
+    for j in range(shingle):
+        total += one[j : j + len(total)] * np.uint64(xxhash.xxh64_intdigest(f"place {j}", 11) | 1)
+    return np.unique(_spread(total, 1)[:, 0])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared share of two shingle sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+#: Against rounding in the bounds below, which may let a pair through but never lose one.
+EPS = 1e-9
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """32 bits each of a set's first shingles in an order that all texts share: by hash, those in ``common`` last.
+
+    Two sets of this similarity share one of them at least (prefix filter), whatever ``common`` holds.
+    """
+    if not len(hashes):
+        return np.zeros(0, np.int32)
+    late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
+    most = len(hashes) - int(np.ceil(similarity * len(hashes) - EPS)) + 1
+    return np.r_[hashes[~late], hashes[late]][:most].astype(np.uint32).view(np.int32)
+
+
+#: One text in SAMPLE is looked at for shingles that stand in at least COMMON of those; at most COMMON_MOST
+#: are kept. They only set the order of shingles, so the result does not depend on them.
+SAMPLE, COMMON, COMMON_MOST = 64, 8, 1 << 17
+
+
+def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts ``t`` share, so that they open no large buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                made = [shingle_set(t, shingle) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64))], ["h"])
+
+    sample = texts.where(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0).select("t").distinct()
+    found = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    rows = found.orderBy(F.desc("count"), "h").limit(COMMON_MOST).select("h").collect()
+    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+
+
+def crossing_pairs(token: np.ndarray, pos: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, similarity: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (node, node) of rows with one token and two roots that can have the similarity.
+
+    A pair is ruled out by the sizes, or by how much can follow the shared token in both sets; the
+    bucket of the first token they share never rules out a similar pair. Rows of a bucket's largest
+    root come last and open no pairs, so that a group already linked costs nothing by itself.
+    """
+    order = np.lexsort((root, token))
+    token, root = token[order], root[order]
+    begins = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (root[1:] != root[:-1])])
+    lengths = np.diff(np.r_[begins, len(token)])
+    by = np.lexsort((lengths, token[begins]))
+    largest = by[np.r_[token[begins][by][1:] != token[begins][by][:-1], True]]
+    main = np.zeros(len(begins), bool)
+    main[largest] = True
+    main = np.repeat(main, lengths)
+    again = np.lexsort((main, token))
+    order, token, root, main = order[again], token[again], root[again], main[again]
+    pos, size, node = pos[order].astype(np.int64), size[order].astype(np.int64), node[order]
+    counts = np.where(main, 0, np.searchsorted(token, token, "right") - np.arange(len(token)) - 1)
+    out = [np.zeros((0, 2), np.int64)]
+    for a, b in _chunks(counts, most):
+        c = counts[a:b]
+        i = np.repeat(np.arange(a, b), c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+        shared = np.minimum(size[i] - pos[i], size[j] - pos[j])
+        can = shared >= (similarity - EPS) * (size[i] + size[j] - shared)
+        i, j = i[can], j[can]
+        if len(i):
+            out.append(np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0))
+    pairs = np.unique(np.concatenate(out), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def similar_pairs(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): every pair of nodes under different roots whose shingle sets have the similarity, and no other.
+
+    sets: (node, th, size, prefix, root), one row a node; texts: (th, t), a text's hash and the text.
+    Nodes meet by the tokens of their prefixes; the pairs left are verified on their texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy() for c in range(5)]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in crossing_pairs(*(x[:cut] for x in now), similarity)], ["u", "v"])
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in crossing_pairs(*held, similarity)], ["u", "v"])
+
+    rows = sets.select(F.posexplode("prefix").alias("pos", "token"), "size", "node", "root").select("token", "pos", "size", "node", "root")
+    pairs = written(rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "u long, v long").distinct(), "pairs")
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    needed = written(sets.join(nodes, "node", "left_semi").select("node", "th"), "pair-nodes")
+    if needed.count() <= 1 << 18:
+        needed = F.broadcast(needed)
+    found = written(texts.join(needed, "th").groupBy("node").agg(F.first("t").alias("t")), "pair-texts")
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(shingle_set(x, shingle), shingle_set(y, shingle)) >= similarity for x, y in zip(a, b)], dtype=bool)
+
+    both = pairs.join(found.toDF("u", "a"), "u").join(found.toDF("v", "b"), "v")
+    return both.where(alike("a", "b")).select("u", "v")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, bucket_cap: int = BUCKET_CAP) -> DataFrame:
     """(key, node, component): groups of texts whose shingle sets are similar; the least key of each.
 
-    A pair within RADIUS bits in any of TABLES fingerprints, found through pivot distance tables, is
-    verified by CHECK_WORDS x 64 bits over the shingles, which stand for the wanted similarity. A
-    pair of texts at 0.8 is found in one table with probability 0.38 or so, in any of eight with
-    0.98. Equal texts are one node. Nulls and wordless texts are equal to each other; null keys
-    never are the least; an empty table gives an empty result.
+    First a pair within RADIUS bits in any of TABLES fingerprints, found through pivot distance
+    tables, links by CHECK_WORDS x 64 bits over the shingles; that joins most copies at little cost,
+    and with them some pairs somewhat below the similarity, but misses others. Then every pair that
+    is still apart and has the similarity by its exact shingle sets is found and linked
+    (``similar_pairs``). Nulls and wordless texts are equal to each other; null keys never are the
+    least; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,18 +393,24 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
                 made = [wide_fingerprints(t, shingle) for t in part.column(1).to_pylist()]
                 fp = np.array([m[0] for m in made], np.uint64)
                 table = np.bitwise_count(fp[:, :, None] ^ refs[None, None, :]).astype(np.uint8)
-                node = [xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes(), 42) for m in made]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([r.tobytes() for r in table], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())], ["k", "node", "fps", "tables", "check"])
-
-    src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    each = written(src.mapInArrow(run, "k long, node long, fps array<long>, tables binary, check binary"), "wide")
-    distinct = written(each.groupBy("node").agg(F.min("k").alias("least"), *[F.first(c).alias(c) for c in ("fps", "tables", "check")]), "wide-distinct")
+                sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
+                node = [xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes() + s.tobytes(), 42) for m, s in zip(made, sets)]
+                first = [prefix(s, common, similarity) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([r.tobytes() for r in table], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary()), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int32()))], ["k", "node", "fps", "tables", "check", "th", "size", "prefix"])
+
+    src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("th", F.xxhash64("t"))
+    common = common_shingles(src, shingle)
+    each = written(src.mapInArrow(run, "k long, node long, fps array<long>, tables binary, check binary, th long, size int, prefix array<int>"), "wide")
+    distinct = written(each.groupBy("node").agg(F.min("k").alias("least"), *[F.first(c).alias(c) for c in ("fps", "tables", "check", "th", "size", "prefix")]), "wide-distinct")
     n = PIVOTS
     parts = distinct.select("node", "check", "tables", F.posexplode("fps").alias("salt", "fp"))
     parts = parts.select("node", "check", "salt", "fp", F.expr(f"substring(tables, salt * {n} + 1, {n})").alias("pivots"))
     limit = bit_limit(similarity, 64 * CHECK_WORDS)
     edges = written(links(parts, RADIUS, bucket_cap, limit), "edges")
     roots = connected_components(edges)
+    sets = distinct.join(roots, "node", "left").select("node", "th", "size", "prefix", F.coalesce("root", "node").alias("root"))
+    apart = written(similar_pairs(sets, src.select("th", "t"), shingle, similarity), "similar-pairs")
+    roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(apart))
     known = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     known = written(known, "wide-roots")
     whole = known.groupBy("root").agg(F.min("least").alias("component"))

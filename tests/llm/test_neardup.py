@@ -116,3 +116,45 @@ def test_similar_groups_find_edited_copies(spark):
         got = {r.doc_id: r.component for r in neardup.similar_groups(docs, bucket_cap=cap).collect()}
         assert got == want
     assert neardup.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_similar_groups_link_every_pair_at_the_similarity(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 9)))
+    rows = [(1, "a b"), (2, "A  b"), (3, "a c")]
+    for n in (50, 100, 300):
+        for i in range(40):
+            words = [word() for _ in range(n)]
+            more = round(n * rnd.uniform(0.12, 0.32))
+            block = [word() for _ in range(more)]
+            copy = [words + block, block + words, words[:-more], words[: n // 2] + block + words[n // 2 :]][i % 4]
+            rows += [(len(rows) + 10, " ".join(words)), (len(rows) + 11, " ".join(copy))]
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = {k: grams(t) for k, t in rows}
+    alike = lambda a, b: len(a & b) / len(a | b)
+    found = {r.doc_id: r.component for r in neardup.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [(a, b) for i, (a, _) in enumerate(rows) for b, _ in rows[:i] if alike(sets[a], sets[b]) >= 0.8]
+    assert len(pairs) > 50 and all(found[a] == found[b] for a, b in pairs)
+    assert all(alike(sets[k], sets[c]) > 0.65 for k, c in found.items())
+
+
+def test_crossing_pairs_against_all_pairs():
+    rnd = np.random.default_rng(2)
+    common = np.sort(rnd.choice(2**40, 60, replace=False).astype(np.uint64))
+    sets = []
+    for _ in range(150):
+        base = np.unique(np.r_[rnd.choice(common, rnd.integers(5, 40), replace=False), rnd.integers(0, 2**63, rnd.integers(0, 12)).astype(np.uint64)])
+        sets += [base, np.unique(np.r_[base[: len(base) - rnd.integers(0, 4)], rnd.integers(0, 2**63, rnd.integers(0, 4)).astype(np.uint64)])]
+    root = rnd.integers(0, 60, len(sets))
+    for late in (common, common[:0]):
+        first = [neardup.prefix(s, late, 0.8) for s in sets]
+        at = np.repeat(np.arange(len(sets)), [len(f) for f in first])
+        place = np.concatenate([np.arange(len(f)) for f in first])
+        size = np.array([len(s) for s in sets])
+        got = set(zip(*(x.tolist() for x in neardup.crossing_pairs(np.concatenate(first), place, size[at], at, root[at], 0.8, 1000))))
+        want = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and neardup.jaccard(sets[i], sets[j]) >= 0.8}
+        assert len(want) > 30 and want <= got and all(root[i] != root[j] for i, j in got)
