@@ -1,10 +1,13 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentence units: after . ! ? or an ellipsis that stands before white space, and
-at line ends. A sentence of more than LONG words is cut further, after words whose hash is
-divisible by CUT, so that where a passage begins inside a long sentence matters only up to the
-next such word. A span starts at every unit and runs over consecutive units (at least LEAST_UNITS)
-until it has LEAST_WORDS words. Spans are hashed (case folded, white space joined) and joined
+at line ends. A sentence of more than LONG words is cut further by winnowing: after the word of the
+least hash of any WINDOW words in a row, so that no piece is longer, and where a passage begins
+inside a long sentence matters only up to WINDOW words. A span starts at every unit and runs over
+consecutive units (at least LEAST_UNITS) until it has LEAST_WORDS words. Two texts that share 50
+words share a whole span of them, wherever they stand: both cut after one of their first LONG or
+WINDOW words, and alike from there up to the last WINDOW words or the last, unfinished sentence.
+What stands before the first and after the last shared cut stays. Spans are hashed (case folded, white space joined) and joined
 globally. Of the spans with one hash, the first by (key, position) stays; units that any other one
 covers are removed from their texts, and the rest of the text stays as it is.
 
@@ -27,18 +30,30 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import slices, written
 
 LEAST_UNITS, LEAST_WORDS = 2, 20
-LONG, CUT = 12, 6
+LONG = 12
+#: A power of two; 3 * WINDOW + LEAST_WORDS - 1 is at most 50.
+WINDOW = 8
 #: Stands for a null key.
 LAST = 2**63 - 1
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?…]+(?=\s)|(?=\n)|$)\s*", re.S)
 _TOKEN = re.compile(r"\S+")
 
 
+def cuts(words: list[str]) -> set[int]:
+    """Places of the words that a long sentence is cut after; of equal hashes in a window, the first counts."""
+    xxh = xxhash.xxh32_intdigest
+    least = [xxh(w.lower().encode("utf-8", "surrogatepass")) << 32 | i for i, w in enumerate(words)]
+    step = 1
+    while step < WINDOW:
+        least = list(map(min, least, least[step:]))
+        step *= 2
+    return {x & 0xFFFFFFFF for x in least}
+
+
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(begin, end, words) of each unit; ends include the white space that follows."""
     out = []
     at = 0
-    xxh = xxhash.xxh32_intdigest
     while at < len(text):
         m = _SENTENCE.match(text, at)
         end = m.end() if m.end() > at else len(text)
@@ -51,10 +66,11 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
         else:
             begin, held = at, []
             spots = list(_TOKEN.finditer(text, at, end))
+            after = cuts([t.group() for t in spots])
             for i, t in enumerate(spots):
                 held.append(t.group())
                 last = i + 1 == len(spots)
-                if last or xxh(t.group().lower().encode("utf-8", "surrogatepass")) % CUT == 0:
+                if last or i in after:
                     stop = end if last else spots[i + 1].start()
                     out.append((begin, stop, held))
                     begin, held = stop, []

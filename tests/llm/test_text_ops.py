@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import random
 
 import duckdb
 import numpy as np
@@ -229,6 +230,34 @@ def test_op9_planted_passages_and_odd_rows(spark):
     assert dict(zip([id(r) for r in rows], plain_repeats(rows)))[id(rows[1])] == by[2].text
 
 
+def test_shared_runs_of_50_words_hold_a_common_span():
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 8))) for _ in range(3000)]
+
+    def text(n, stops):
+        out = rnd.choices(words, k=n)
+        at = rnd.randint(1, 30)
+        while stops and at < n:
+            out[at] += "."
+            at += rnd.randint(1, stops)
+        return out
+
+    def inside(passage, before, after):
+        cut = spans.units(" ".join(before + passage + after))
+        begins = [0]
+        for _, _, w in cut:
+            begins.append(begins[-1] + len(w))
+        low, high = len(before), len(before) + len(passage)
+        found = [(begins[a], begins[b + 1]) for a, b in spans.spans(cut)]
+        return {(a - low, b - low) for a, b in found if low <= a and b <= high}
+
+    for stops in (0, 6, 16, 40):
+        for _ in range(400):
+            passage = text(50, stops)
+            one, two = (inside(passage, text(rnd.randrange(200), s), text(rnd.randrange(200), s)) for s in (0, rnd.choice([0, 16])))
+            assert one & two, passage
+
+
 def test_units_cover_the_text():
     for t in ("", "a", " a. b!\n\nc? d...e f.", "x " * 100, "\n\n", "A b c. " * 30 + "tail"):
         cut = spans.units(t)
