@@ -148,13 +148,25 @@ def o9_best_face(spark, sf):
   r AS (SELECT *, CASE state WHEN 'failed' THEN 5 WHEN 'queued' THEN 6 END AS p FROM t)
   SELECT user_id, coalesce(arg_min(event_id, row(p, event_id)) FILTER (WHERE p IS NOT NULL), max(event_id) FILTER (WHERE state = 'success')) AS task FROM r GROUP BY 1""")
 def o10_current_task(spark, sf):
-    """The first task by state priority, else the last success."""
+    """The first task by state priority, else the last success; one event in 17 only (o10_current_task_all has all)."""
+    return _current_task(table(spark, sf, "events").where("event_id % 17 = user_id % 17"))
+
+
+def _current_task(events):
     s = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "success").otherwise("none")
-    t = table(spark, sf, "events").where("event_id % 17 = user_id % 17").withColumn("state", s).withColumn("p", F.when(F.col("state") == "failed", 5).when(F.col("state") == "queued", 6))
+    t = events.withColumn("state", s).withColumn("p", F.when(F.col("state") == "failed", 5).when(F.col("state") == "queued", 6))
     first = F.min(F.when(F.col("p").isNotNull(), F.struct("p", "event_id")))["event_id"]
     return t.groupBy("user_id").agg(F.coalesce(first, F.max(F.when(F.col("state") == "success", F.col("event_id")))).alias("task"))
 
 
+@query("o10_current_task_all", """WITH t AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'success' ELSE 'none' END AS state FROM events),
+  r AS (SELECT *, CASE state WHEN 'failed' THEN 5 WHEN 'queued' THEN 6 END AS p FROM t)
+  SELECT user_id, coalesce(arg_min(event_id, row(p, event_id)) FILTER (WHERE p IS NOT NULL), max(event_id) FILTER (WHERE state = 'success')) AS task FROM r GROUP BY 1""")
+def o10_current_task_all(spark, sf):
+    """The first task by state priority, else the last success, over all events."""
+    return _current_task(table(spark, sf, "events"))
+
+
 @query("p11_workflow_state", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'rejected' WHEN o_orderstatus = 'F' THEN 'rendered' WHEN o_orderpriority LIKE '1%' THEN 'accepted' ELSE 'candidate' END AS state, o_orderstatus = 'O' OR o_orderpriority LIKE '1%' AS in_tab FROM orders")
 def p11_workflow_state(spark, sf):
     """State by precedence, tab predicate (orders as clips)."""
@@ -186,12 +198,23 @@ def p5_exports(spark, sf):
 @query("v9_consistency_report", """WITH r AS (SELECT user_id AS project_id, event_type AS part, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), s AS (SELECT project_id, count(*) AS parts, min(n) AS least, max(n) AS most FROM r GROUP BY 1)
   SELECT project_id, parts, CASE WHEN most - least > 40 THEN 'FAIL' WHEN parts < 5 THEN 'INCOMPLETE' ELSE 'PASS' END AS report FROM s""")
 def v9_consistency_report(spark, sf):
-    """Parts of a project rolled up to PASS, INCOMPLETE or FAIL."""
-    r = table(spark, sf, "events").where("event_id % 3 = 0").groupBy(F.col("user_id").alias("project_id"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    """Parts of a project rolled up to PASS, INCOMPLETE or FAIL; one event in 3 only (v9_consistency_report_all has all)."""
+    return _consistency(table(spark, sf, "events").where("event_id % 3 = 0"))
+
+
+def _consistency(events):
+    r = events.groupBy(F.col("user_id").alias("project_id"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     s = r.groupBy("project_id").agg(F.count(F.lit(1)).alias("parts"), F.min("n").alias("least"), F.max("n").alias("most"))
     return s.select("project_id", "parts", F.when(F.col("most") - F.col("least") > 40, "FAIL").when(F.col("parts") < 5, "INCOMPLETE").otherwise("PASS").alias("report"))
 
 
+@query("v9_consistency_report_all", """WITH r AS (SELECT user_id AS project_id, event_type AS part, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT project_id, count(*) AS parts, min(n) AS least, max(n) AS most FROM r GROUP BY 1)
+  SELECT project_id, parts, CASE WHEN most - least > 40 THEN 'FAIL' WHEN parts < 5 THEN 'INCOMPLETE' ELSE 'PASS' END AS report FROM s""")
+def v9_consistency_report_all(spark, sf):
+    """Parts of a project rolled up to PASS, INCOMPLETE or FAIL, over all events."""
+    return _consistency(table(spark, sf, "events"))
+
+
 @query("v5_word_integrity", """WITH a AS (SELECT doc_id, idx, regexp_extract_all(text, '\\S+') AS l FROM segments), b AS (SELECT doc_id, seg_idx AS idx, list(text ORDER BY word_idx) AS l FROM words WHERE NOT (doc_id % 7 = 0 AND word_idx = 1) GROUP BY 1, 2)
   SELECT a.doc_id, a.idx FROM a LEFT JOIN b ON b.doc_id = a.doc_id AND b.idx = a.idx WHERE a.l <> coalesce(b.l, []) OR (b.l IS NULL AND len(a.l) > 0)""".replace("\\\\", "\\"), "segments words")
 def v5_word_integrity(spark, sf):
