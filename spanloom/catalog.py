@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.plans import media, more, records  # noqa: F401
+from spanloom.plans import media, more, records, rules  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**media.QUERIES, **records.QUERIES}  # more adds to records' registry
+    return {**media.QUERIES, **records.QUERIES}  # more and rules add to records' registry
 
 
 def oracle_sql() -> dict[str, str]:

@@ -98,6 +98,25 @@ def wrapped(text: Column, width: int = 24) -> Column:
     return F.when((n <= 1) | (F.length(t) <= width), t).otherwise(F.coalesce(best["text"], t))
 
 
+#: Limits of a merged cue: words, characters, characters of one of its two lines.
+MOST_WORDS, MOST_CHARS, LINE = 7, 49, 24
+
+
+def fits_cue(text: Column) -> Column:
+    """Whether a text can be one cue: not empty, few enough words and characters, and each of its wrapped lines short enough."""
+    t = subtitle_text(text)
+    lines = F.split(wrapped(t), "\n")
+    return (t != "") & (F.size(F.split(t, " ")) <= MOST_WORDS) & (F.length(t) <= MOST_CHARS) & (F.size(lines) <= 2) & F.forall(lines, lambda x: F.length(x) <= LINE)
+
+
+def subtitle_label(raw: Column) -> Column:
+    """A subtitle's speaker: 'Speaker n' for 'speaker' with a number or one letter as the last word, 'Default' for what does not start with 'speaker '."""
+    t = F.trim(F.regexp_replace(F.coalesce(F.nullif(raw, F.lit("")), F.lit("Default")), r"(?U)\s+", " "))
+    tail = F.substring_index(t, " ", -1)
+    label = F.when(tail.rlike(r"^[0-9]+$"), F.concat(F.lit("Speaker "), F.regexp_replace(tail, r"^0+(?=[0-9])", ""))).when(tail.rlike("^[A-Za-z]$"), F.concat(F.lit("Speaker "), (F.ascii(F.upper(tail)) - 65).cast("string"))).otherwise(t)
+    return F.when(F.lower(t).startswith("speaker "), label).otherwise("Default")
+
+
 def without_repeats(text: Column) -> Column:
     """Neighbouring words that are equal but for case and signs, once."""
     words = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "), " "), lambda w: w != "")
@@ -207,3 +226,128 @@ def json_object(text: Column) -> Column:
     bare = F.trim(F.regexp_replace(text, r"(?s)```(?:json)?\s*(.*?)\s*```", "$1"))
     inner = F.regexp_replace(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), r",\s*([}\]])", "$1")
     return F.coalesce(F.try_parse_json(F.when(bare.startswith("{"), bare)), F.try_parse_json(F.nullif(inner, F.lit(""))))
+
+
+# Modes and their other spellings.
+LAYOUT_MODES = ("auto", "speaker_face_crop")
+CHECKER_MODES = {"off": 0, "local_only": 0, "limited": 2, "full": 8}
+AI_MODES = ("local_only", "gemini_optional", "gemini_enabled")
+SPEAKER_MODES = {"single": "single", "multi": "multi", "single_speaker": "single", "single-speaker": "single", "single speaker": "single", "multi_speaker": "multi", "multi-speaker": "multi", "multiple": "multi", "multiple_speakers": "multi"}
+
+
+def _low(text: Column, default: str) -> Column:
+    return F.lower(F.trim(F.coalesce(F.nullif(text, F.lit("")), F.lit(default))))
+
+
+def layout_mode(text: Column, known: tuple[str, ...] = LAYOUT_MODES) -> Column:
+    """A known layout mode; auto for anything else."""
+    t = _low(text, "auto")
+    return F.when(t.isin(*known), t).otherwise("auto")
+
+
+def checker_mode(text: Column) -> Column:
+    """A known checker mode, local_only if none is given; null for an unknown one."""
+    t = _low(text, "local_only")
+    return F.when(t.isin(*CHECKER_MODES), t)
+
+
+def checker_samples(mode: Column, full: int = CHECKER_MODES["full"]) -> Column:
+    """How many samples a checker mode listens to."""
+    table = F.create_map(*[F.lit(x) for k, n in {**CHECKER_MODES, "full": max(1, full)}.items() for x in (k, n)])
+    return F.try_element_at(table, mode)
+
+
+def ai_mode(text: Column) -> Column:
+    """A known mode of outside help, gemini_optional if none is given; null for an unknown one."""
+    t = _low(text, "gemini_optional")
+    return F.when(t.isin(*AI_MODES), t)
+
+
+def speaker_mode(text: Column) -> Column:
+    """single, multi or unknown, through other spellings."""
+    table = F.create_map(*[F.lit(x) for kv in SPEAKER_MODES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, _low(text, "unknown")), F.lit("unknown"))
+
+
+# Failure categories and what may be said about them.
+FAILURES = {
+    "boundary_validation": "Boundary validation failed.", "structured_output": "Structured provider output was invalid.", "provider_output": "Provider response did not contain supported model output.",
+    "provider_compatibility": "Provider compatibility error (HTTP 400).", "quota": "Provider quota error (HTTP 429).", "provider_timeout": "Provider request timed out.",
+}
+_ERRORS = {"BoundaryOptionSelectionError": "boundary_validation", "ReviewProviderExtractionError": "provider_output", "ReviewProviderOutputError": "structured_output", "ReviewProviderCompatibilityError": "provider_compatibility", "ReviewProviderQuotaError": "quota", "ReviewProviderTimeoutError": "provider_timeout"}
+
+
+def failure_category(error: Column) -> Column:
+    """The category of an error's type name; provider for any other."""
+    table = F.create_map(*[F.lit(x) for kv in _ERRORS.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, error), F.lit("provider"))
+
+
+def failure_detail(category: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in FAILURES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, category), F.lit("Gemini provider request failed."))
+
+
+# Labels of states.
+STATUS_LABELS = {
+    "created": "Created", "queued": "Queued", "running": "Running", "ready": "Ready", "failed": "Failed", "cancelled": "Cancelled", "draft": "Draft", "accepted": "Accepted", "rejected": "Rejected",
+    "not_rendered": "Not rendered", "completed": "Rendered", "completed_with_warnings": "Rendered with warnings", "render_ready": "Ready", "adjust_boundaries": "Adjusted", "manual_review": "Manual review",
+    "local_stub": "Local stub", "gemini": "Gemini",
+}
+
+
+def status_label(value: Column) -> Column:
+    """What a state is called; unknown ones without underscores, none as Unknown."""
+    table = F.create_map(*[F.lit(x) for kv in STATUS_LABELS.items() for x in kv])
+    return F.when(F.coalesce(value, F.lit("")) == "", "Unknown").otherwise(F.coalesce(F.try_element_at(table, value), F.replace(value, F.lit("_"), F.lit(" "))))
+
+
+def percent_label(value: Column) -> Column:
+    """Whole percent from 0 to 100, half up; 0% for what is no number."""
+    v = F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+    return F.concat(F.greatest(F.lit(0), F.least(F.lit(100), F.floor(F.coalesce(v, F.lit(0.0)) + 0.5))).cast("string"), F.lit("%"))
+
+
+def progress_percent(value: Column) -> Column:
+    """Progress inside 0 to 100; null stays."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), value)))
+
+
+def review_progress(index: Column, total: Column, started: Column) -> Column:
+    """Progress of the review, 85 to 95 by the clips that are done; a clip that has only started is not."""
+    i, n = F.greatest(F.lit(1), index), F.greatest(F.lit(1), total)
+    return 85.0 + (10.0 * F.when(started, i - 1).otherwise(i)) / n
+
+
+def source_url(text: Column, most: int = 2048) -> Column:
+    """A trimmed absolute http or https URL of bounded length; null for anything else."""
+    t = F.trim(text)
+    return F.when(t.rlike(r"^(?i:https?)://[^/?#\s]") & (F.length(t) <= most), t)
+
+
+# What is emphasized in subtitles.
+KEYWORDS = r"\d+\s*(?:zl|pln|euro|usd|dollar)|\b[A-ZÀ-ŽĄĆĘŁŃÓŚŹŻ][a-zà-žąćęłńóśźż]+\b|(?:wow|super|fantastycz|niesamowit|genialn|straszn|okropn)"
+
+
+def emphasized(text: Column, style: Column, pattern: str = KEYWORDS, colour: str = "&H0000FF00") -> Column:
+    """Words of the pattern in subtitle markup: bold and coloured, then back to the style."""
+    return F.regexp_replace(text, F.lit(f"(?iu)({pattern})"), F.concat(F.lit("{\\\\b1\\\\c" + colour + "&}$1{\\\\r"), style, F.lit("}")))
+
+
+def text_list(value: Column) -> Column:
+    """Trimmed texts of a variant that is a list, or of one text; nothing for null."""
+    kind = F.schema_of_variant(value)
+    one, many = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "array<string>")
+    items = F.when(kind.startswith("ARRAY"), many).when(kind == "STRING", F.array(one))
+    return F.coalesce(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != ""), F.array().cast("array<string>"))
+
+
+def checked_answer(answer: Column) -> Column:
+    """Struct of a model's answer (variant) with its types set right: flags by words, confidence inside 0 to 1, lists of words."""
+    get = lambda k: F.try_variant_get(answer, f"$.{k}", "string")
+    part = lambda k: F.try_variant_get(answer, f"$.{k}", "variant")
+    sure = F.coalesce(get("confidence").try_cast("double"), F.lit(0.0))
+    return F.struct(
+        parsed_bool(get("matches_audio")).alias("matches_audio"), parsed_bool(get("timing_ok")).alias("timing_ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"),
+        F.trim(F.coalesce(get("heard_text"), F.lit(""))).alias("heard_text"), text_list(part("hallucinated_words")).alias("hallucinated_words"), text_list(part("missing_words")).alias("missing_words"),
+    )

@@ -108,3 +108,61 @@ def iso_instant(text: Column) -> Column:
     """Instant of an ISO time; Z and offsets are read, UTC is assumed without one, null if it is none."""
     t = F.regexp_replace(F.trim(text), "[zZ]$", "+00:00")
     return F.try_to_timestamp(F.when(t.rlike(r"[+-]\d{2}:\d{2}$"), t).otherwise(F.concat(t, F.lit("+00:00"))))
+
+
+def parse_api(text: Column) -> Column:
+    """Two or three parts of any fractions, or a number; negative and infinite times are rejected."""
+    t = F.trim(text)
+    parts = F.split(F.replace(t, F.lit(","), F.lit(".")), ":")
+    n = F.size(parts)
+    made = F.when(n == 1, _number(t)).when((n == 2) | (n == 3), _clock(parts, _FLOAT))
+    return F.when(made >= 0, made)
+
+
+def parse_web(text: Column) -> Column:
+    """As the service's, but an empty part counts as 0 and only the first comma is a point; other numbers of parts must be a bare number."""
+    number = lambda x: F.when(F.trim(x) == "", F.lit(0.0)).otherwise(_number(x))
+    parts = F.split(F.regexp_replace(F.trim(text), "^([^,]*),", "$1."), ":")
+    n, p = F.size(parts), lambda i: number(F.get(parts, F.lit(i)))
+    made = F.when(n == 2, p(0) * 60 + p(1)).when(n == 3, p(0) * 3600 + p(1) * 60 + p(2)).otherwise(number(text))
+    return F.when(made >= 0, made)
+
+
+def _two(c: Column) -> Column:
+    return F.lpad(c.cast("long").cast("string"), 2, "0")
+
+
+def checker_time(seconds: Column) -> Column:
+    """[HH:]MM:SS.cc of a double, negative ones as 0; hours only if there are any."""
+    cs = F.greatest(F.lit(0).cast("long"), centiseconds(seconds))
+    return F.when(seconds.isNotNull(), hms(cs))
+
+
+def tenths_time(tenths: Column) -> Column:
+    """HH:MM:SS.t of whole tenths."""
+    s = F.floor(tenths / 10)
+    return F.concat(F.lpad(F.floor(s / 3600).cast("string"), F.greatest(F.lit(2), F.length(F.floor(s / 3600).cast("string"))), F.lit("0")), F.lit(":"), _two(F.pmod(F.floor(s / 60), F.lit(60))), F.lit(":"), _two(F.pmod(s, F.lit(60))), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"))
+
+
+def position(seconds: Column) -> Column:
+    """HH:MM:SS.t of a double, tenths half up; '-' for none."""
+    return F.coalesce(tenths_time(F.floor(seconds * 10 + 0.5)), F.lit("-"))
+
+
+def duration(seconds: Column) -> Column:
+    """MM:SS.t of a double, minutes above 59 too; '-' for none."""
+    t = F.floor(seconds * 10 + 0.5)
+    m = F.floor(t / 600).cast("string")
+    return F.coalesce(F.concat(F.lpad(m, F.greatest(F.lit(2), F.length(m)), F.lit("0")), F.lit(":"), _two(F.pmod(F.floor(t / 10), F.lit(60))), F.lit("."), F.pmod(t, F.lit(10)).cast("string")), F.lit("-"))
+
+
+def short_seconds(seconds: Column) -> Column:
+    """M:SS.t from a minute on, else S.ts; '-' for none."""
+    m = F.floor(seconds / 60)
+    rest = F.round((seconds - m * 60).cast("string").cast("decimal(20,9)"), 1).cast("decimal(10,1)").cast("string")
+    return F.coalesce(F.when(m > 0, F.concat(m.cast("string"), F.lit(":"), F.lpad(rest, 4, "0"))).otherwise(F.concat(rest, F.lit("s"))), F.lit("-"))
+
+
+def run_stamp(project: Column, job: Column, at: Column) -> Column:
+    """project-P-job-J-yyyyMMddTHHmmssZ of a timestamp without zone, taken as UTC."""
+    return F.concat(F.lit("project-"), project.cast("string"), F.lit("-job-"), job.cast("string"), F.lit("-"), F.date_format(at, "yyyyMMdd'T'HHmmss'Z'"))

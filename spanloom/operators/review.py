@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions import text as tx
+from spanloom.operators.scan import meeting
 
 CONTEXT, SHORTEST, LONGEST = 2000, 1000, 9000
 
@@ -20,7 +21,8 @@ def context(clips: DataFrame, segments: DataFrame) -> DataFrame:
         .when((s < F.col("ce")) & (e > F.col("cs")), "candidate")
         .when((s < F.col("ce") + CONTEXT) & (e > F.col("ce")) & (s >= F.col("ce")), "after")
     )
-    return segments.join(c, "doc_id").withColumn("side", side).where("side is not null").select("doc_id", "idx", "side", "start_cs", "end_cs", "text")
+    reach = c.withColumn("lo", F.col("cs") - CONTEXT).withColumn("hi", F.col("ce") + CONTEXT)
+    return meeting(reach, "lo", "hi", segments, "start_cs", "end_cs").withColumn("side", side).where("side is not null").select("doc_id", "idx", "side", "start_cs", "end_cs", "text")
 
 
 def options(clips: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.operators.heatmap import unrolled
+from spanloom.operators.scan import scan
+
 
 def overlap_turn(words: DataFrame, turns: DataFrame, bucket_cs: int = 6000) -> DataFrame:
     """words with raw_speaker, overlap_cs: the turn with the largest overlap.
@@ -103,14 +106,63 @@ def word_offsets(segments: DataFrame, words: DataFrame) -> DataFrame:
     Every word is looked for behind the one before it; ok is false in segments where one is not
     found or something but white space is left over. A segment's words are folded in order.
     """
-    from spanloom.operators.heatmap import unrolled
-
     w = words.groupBy("doc_id", "seg_idx").agg(F.array_sort(F.collect_list(F.struct("word_idx", "text"))).alias("w"))
     made = segments.select("doc_id", F.col("idx").alias("seg_idx"), F.col("text").alias("t")).join(w, ["doc_id", "seg_idx"])
-    found = "locate(y.text, t, a.cur + 1)"
-    gap = f"trim(regexp_replace(substring(t, a.cur + 1, {found} - 1 - a.cur), '\\\\s', '')) = ''"
-    made = made.withColumn("f", F.expr(f"""aggregate(w, named_struct('r', cast(array() as array<struct<at:int,until:int>>), 'cur', 0, 'ok', true), (a, y) ->
-      if(a.ok and {found} > 0, named_struct('r', concat(a.r, array(named_struct('at', {found} - 1, 'until', {found} - 1 + length(y.text)))), 'cur', {found} - 1 + length(y.text), 'ok', {gap}),
-         named_struct('r', concat(a.r, array(cast(null as struct<at:int,until:int>))), 'cur', a.cur, 'ok', false)))"""))
+    # z: where the word is found behind the last one, from 1; 0 if it is not.
+    gap = "regexp_replace(substring(t, a.cur + 1, z - 1 - a.cur), '\\\\s', '') = ''"
+    found = "a.ok and z > 0"
+    state = {"cur": ("0", f"if({found}, z - 1 + length(w[i].text), a.cur)"), "ok": ("true", f"{found} and {gap}")}
+    place = f"if({found}, named_struct('at', z - 1, 'until', z - 1 + length(w[i].text)), cast(null as struct<at:int,until:int>))"
+    made = made.withColumn("f", F.expr(scan("w", "struct<at:int,until:int>", place, state, "locate(w[i].text, t, a.cur + 1)", "named_struct('r', made, 'cur', a.cur, 'ok', a.ok)")))
     made = made.withColumn("ok", F.expr("f.ok and regexp_replace(substring(t, f.cur + 1, length(t)), '\\\\s', '') = ''")).withColumn("z", F.arrays_zip("w", F.col("f.r").alias("r")))
     return unrolled(made, "z", "doc_id", "seg_idx", "ok").select("doc_id", "seg_idx", F.col("x.w.word_idx").alias("word_idx"), F.col("x.r.at").cast("long").alias("at"), F.col("x.r.until").cast("long").alias("until"), "ok")
+
+
+def stabilized(segments: DataFrame, cap: int = 2, default: str = "Default", many: int = 6, least_cs: int = 150, least_share: float = 0.12) -> DataFrame:
+    """(doc_id, idx, speaker, changed) of (doc_id, idx, start_cs, end_cs, speaker): speakers beyond the cap that say little become the nearest one that is kept.
+
+    Kept are the ``cap`` speakers with most time, the earlier one of equals. Any other is replaced
+    if there are ``many`` speakers, or it has at most ``least_cs`` or the least share of the time,
+    row by row: by the kept speaker the fewest rows away, the one before first. Rows before count
+    as they have become, so a replaced row stands for its new speaker; that is a fold over the rows.
+    Rows of the default label stay and keep nobody.
+    """
+    length = F.greatest(F.lit(0).cast("long"), F.col("end_cs") - F.col("start_cs"))
+    rows = segments.withColumn("own", F.col("speaker") != default)
+    by = rows.where("own").groupBy("doc_id", "speaker").agg(F.sum(length).alias("time"), F.min("idx").alias("first"))
+    doc = Window.partitionBy("doc_id")
+    by = by.withColumn("rank", F.row_number().over(doc.orderBy(F.desc("time"), "first"))).withColumn("n", F.count(F.lit(1)).over(doc)).withColumn("total", F.sum("time").over(doc))
+    total = F.when(F.col("total") == 0, F.lit(100)).otherwise(F.col("total"))
+    little = (F.col("n") >= many) | (F.col("time") <= least_cs) | (F.col("time") / total <= least_share)
+    by = by.select("doc_id", "speaker", (F.col("rank") <= cap).alias("kept"), ((F.col("n") > cap) & (F.col("rank") > cap) & little).alias("goes"), F.max(F.when(F.col("rank") == 1, F.col("speaker"))).over(doc).alias("main"))
+    r = rows.join(by, ["doc_id", "speaker"], "left").withColumn("goes", F.coalesce("goes", F.lit(False))).withColumn("kept", F.coalesce("kept", F.lit(False)))
+    line = doc.orderBy("idx")
+    r = r.withColumn("pos", F.row_number().over(line))
+    mark = F.struct("pos", "speaker")
+    r = r.withColumn("ahead", F.first(F.when(F.col("kept"), mark), True).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    state = F.struct("idx", "speaker", "kept", "goes", "pos", "ahead", "main")
+    made = r.groupBy("doc_id").agg(F.array_sort(F.collect_list(state)).alias("s"))
+    # z: the speaker that the row ends with; a.at and a.who: the last row that is or has become a kept one.
+    left = "a.at is not null and (s[i].ahead is null or s[i].pos - a.at <= s[i].ahead.pos - s[i].pos)"
+    new = f"if(not s[i].goes, s[i].speaker, if({left}, a.who, coalesce(s[i].ahead.speaker, s[i].main)))"
+    stands = "s[i].kept or s[i].goes"
+    fold = scan("s", "string", "z", {"at": ("cast(null as int)", f"if({stands}, s[i].pos, a.at)"), "who": ("cast(null as string)", f"if({stands}, z, a.who)")}, new)
+    out = unrolled(made.withColumn("n", F.expr(fold)), F.arrays_zip("s", "n"), "doc_id")
+    return out.select("doc_id", F.col("x.s.idx").alias("idx"), F.col("x.n").alias("speaker"), (F.col("x.n") != F.col("x.s.speaker")).alias("changed"))
+
+
+def colour_policy(events: DataFrame, default: str = "Default") -> DataFrame:
+    """(doc_id, switches, pairs, speakers, short_segments, mode) of (doc_id, idx, start_cs, end_cs, speaker): whether each speaker gets a colour.
+
+    One style serves all if there are not exactly two speakers, a quarter of the events (two at
+    least) are short, speakers switch at 0.7 of the borders with short ones among them, or one
+    speaker has under two seconds. Rows of the default label do not count as speech.
+    """
+    own = events.where(F.col("speaker") != default).withColumn("len", F.greatest(F.lit(0).cast("long"), F.col("end_cs") - F.col("start_cs")))
+    turn = F.lag("speaker").over(Window.partitionBy("doc_id").orderBy("idx"))
+    by = own.groupBy("doc_id", "speaker").agg(F.sum("len").alias("time")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("speakers"), F.min("time").alias("least"))
+    seq = own.withColumn("before", turn).groupBy("doc_id").agg(F.count_if(F.col("before") != F.col("speaker")).alias("switches"), F.count("before").alias("pairs"), F.count_if(F.col("len") <= 100).alias("short_segments"))
+    made = events.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).join(by, "doc_id", "left").join(seq, "doc_id", "left").na.fill(0, ["speakers", "switches", "pairs", "short_segments"])
+    short = F.col("short_segments")
+    fallback = (F.col("speakers") != 2) | ((short > 0) & (short >= F.greatest(F.lit(2), F.floor(F.col("n") / 4)))) | ((10 * F.col("switches") >= 7 * F.greatest(F.lit(1), F.col("pairs"))) & (short > 0)) | ((F.col("speakers") > 1) & (F.col("least") < 200))
+    return made.select("doc_id", "switches", "pairs", "speakers", "short_segments", F.when(fallback, "single_style_fallback").otherwise("stable_per_speaker").alias("mode"))

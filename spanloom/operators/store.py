@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.operators.scan import scan
+
 ACTIVE = ("queued", "running")
 
 
@@ -30,8 +32,13 @@ def status_view(projects: DataFrame, jobs: DataFrame) -> DataFrame:
     return made.withColumn("error_job", F.when(F.col("status") == "failed", F.col("job_id"))).withColumn("status", F.coalesce("status", F.lit("created")))
 
 
-def upserted(table: DataFrame, incoming: DataFrame, key: str, columns: list[str], guard: Column | None = None, guarded: tuple[str, ...] = ()) -> DataFrame:
-    """``table`` with ``incoming`` merged: new keys added, given columns replaced, ``guarded`` ones only where ``guard`` (over t.*) holds."""
+def upserted(table: DataFrame, incoming: DataFrame, key: str, columns: list[str], guard: Column | None = None, guarded: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """``table`` with ``incoming`` merged: new keys added, given columns replaced, ``guarded`` ones only where ``guard`` (over t.*) holds.
+
+    order: columns of ``incoming`` that tell which of the rows of one key is the last, the one that
+    counts; without them the greatest row does. Null keys are left out of ``incoming``.
+    """
+    incoming = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *columns)).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in columns])
     t, i = table.alias("t"), incoming.alias("i")
     both = t.join(i, F.col(f"t.{key}") == F.col(f"i.{key}"), "full")
     mine, theirs = F.col(f"t.{key}").isNotNull(), F.col(f"i.{key}").isNotNull()
@@ -73,9 +80,9 @@ def export_pairs(artifacts: DataFrame, reach_s: int = 60) -> DataFrame:
     """
     order = F.struct((-F.col("at_s")).alias("n"), (-F.col("artifact_id")).alias("a"), F.col("artifact_type").alias("k"))
     made = artifacts.groupBy("project_id").agg(F.array_sort(F.collect_list(order)).alias("s"))
-    fold = f"""aggregate(s, named_struct('g', cast(array() as array<int>), 'k', -1, 'open', false, 'n', 0L, 'kind', ''),
-      (a, y) -> if(a.open and a.kind <> y.k and y.n - a.n <= {reach_s}, named_struct('g', concat(a.g, array(a.k)), 'k', a.k, 'open', false, 'n', y.n, 'kind', y.k),
-        named_struct('g', concat(a.g, array(a.k + 1)), 'k', a.k + 1, 'open', true, 'n', y.n, 'kind', y.k)), a -> a.g)"""
+    fits = f"a.open and a.kind <> s[i].k and s[i].n - a.n <= {reach_s}"
+    state = {"k": ("-1", "if(z, a.k, a.k + 1)"), "open": ("false", "not z"), "n": ("0L", "s[i].n"), "kind": ("''", "s[i].k")}
+    fold = scan("s", "int", "if(z, a.k, a.k + 1)", state, fits)
     rows = made.withColumn("g", F.expr(fold)).select("project_id", F.posexplode_outer(F.arrays_zip("s", "g")).alias("i", "x")).where("x is not null")
     out = rows.groupBy("project_id", F.col("x.g").cast("long").alias("pair")).agg(F.max(F.when(F.col("x.s.k") == "raw", -F.col("x.s.a"))).alias("raw_id"), F.max(F.when(F.col("x.s.k") == "subtitled", -F.col("x.s.a"))).alias("subtitled_id"))
     return out
@@ -90,3 +97,120 @@ def folded_state(events: DataFrame) -> DataFrame:
     cancel = F.min(F.when(F.col("event") == "cancelled", F.col("seq"))).over(Window.partitionBy("project_id"))
     live = events.withColumn("cancel", cancel).where("cancel is null or seq <= cancel")
     return live.groupBy("project_id").agg(F.max(F.struct("seq", "event")).alias("x"), F.max("progress").alias("progress"), F.count(F.lit(1)).alias("n")).select("project_id", F.col("x.event").alias("state"), "progress", "n")
+
+
+def appended(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``table`` and ``rows``; running it raises if a key occurs twice."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(key))
+    both = table.unionByName(rows, allowMissingColumns=True).withColumn("__n", n)
+    return both.where(F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated key "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)).drop("__n")
+
+
+def transitioned(jobs: DataFrame, changes: DataFrame, key: str = "job_id", expected: tuple[str, ...] = ACTIVE) -> DataFrame:
+    """``jobs`` with the status of ``changes`` (key, status) where it is an expected one and no cancel is asked for, and changed; its count is the number of rows updated."""
+    c = changes.select(key, F.col("status").alias("__new"))
+    made = jobs.join(c, key, "left")
+    hit = F.coalesce(F.col("__new").isNotNull() & F.col("status").isin(*expected) & ~F.coalesce("cancel_requested", F.lit(False)), F.lit(False))
+    return made.withColumn("changed", hit).withColumn("status", F.when(F.col("changed"), F.col("__new")).otherwise(F.col("status"))).drop("__new")
+
+
+def bounds_set(clips: DataFrame, changes: DataFrame, errors) -> DataFrame:
+    """``clips`` with the bounds of ``changes`` (doc_id, new_start_cs, new_end_cs) and boundary_source 'user' where ``errors(start, end)`` is ''; the errors stay beside the others."""
+    made = clips.join(changes, "doc_id", "left")
+    asked = F.col("new_start_cs").isNotNull() & F.col("new_end_cs").isNotNull()
+    made = made.withColumn("errors", F.when(asked, errors(F.col("new_start_cs"), F.col("new_end_cs"))).otherwise(""))
+    ok = asked & (F.col("errors") == "")
+    pick = lambda new, old: F.when(ok, new).otherwise(F.col(old)).alias(old)
+    rest = [c for c in clips.columns if c not in ("start_cs", "end_cs", "boundary_source")]
+    return made.select(*rest, pick(F.col("new_start_cs"), "start_cs"), pick(F.col("new_end_cs"), "end_cs"), pick(F.lit("user"), "boundary_source"), "errors")
+
+
+def statuses_set(clips: DataFrame, changes: DataFrame, key: str = "doc_id", allowed: tuple[str, ...] = ("draft", "accepted", "rejected")) -> DataFrame:
+    """``clips`` with the statuses of ``changes`` (key, status) that are allowed, whatever their case; rejected is true where one is not."""
+    want = F.lower(F.trim("__new"))
+    made = clips.join(changes.select(key, F.col("status").alias("__new")), key, "left")
+    return made.withColumn("status", F.when(want.isin(*allowed), want).otherwise(F.col("status"))).withColumn("rejected", F.coalesce(~want.isin(*allowed), F.lit(False))).drop("__new")
+
+
+def renders_recorded(clips: DataFrame, results: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(clips with render_status and outputs of ``results``, artifact rows (key, artifact_type, path)).
+
+    results: key, status, raw_outputs, subtitled_outputs. A result without a status is completed.
+    """
+    r = results.select(key, F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("completed")).alias("__s"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("raw_outputs", "subtitled_outputs")])
+    made = clips.join(r, key, "left").withColumn("render_status", F.coalesce("__s", "render_status")).drop("__s")
+    one = lambda c, t: r.select(key, F.lit(t).alias("artifact_type"), F.explode(c).alias("path"))
+    return made, one("raw_outputs", "raw").unionByName(one("subtitled_outputs", "subtitled"))
+
+
+def orphans_failed(jobs: DataFrame, workers: DataFrame) -> DataFrame:
+    """``jobs`` with the active ones of projects without a worker (project_id) failed, and recovered."""
+    w = workers.select("project_id").distinct().withColumn("__w", F.lit(True))
+    made = jobs.join(w, "project_id", "left").withColumn("recovered", F.col("status").isin(*ACTIVE) & F.col("__w").isNull() & ~F.coalesce("cancel_requested", F.lit(False))).drop("__w")
+    return made.withColumn("status", F.when(F.col("recovered"), "failed").otherwise(F.col("status")))
+
+
+#: States of a task in the order in which one stands for its run.
+TASK_STATES = ("up_for_retry", "restarting", "up_for_reschedule", "running", "failed", "queued", "scheduled")
+
+
+def current_task(tasks: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, task, state) of (run, ordinal, task, state): the first task by the states' order, else the last that succeeded; runs with neither have nulls."""
+    rank = F.array_position(F.array(*map(F.lit, TASK_STATES)), F.col("state"))
+    first = F.min(F.when(rank > 0, F.struct(rank.alias("r"), "ordinal", "task", "state")))
+    last = F.max(F.when(F.col("state") == "success", F.struct("ordinal", "task", "state")))
+    made = tasks.groupBy(run).agg(first.alias("a"), last.alias("z"))
+    return made.select(run, F.coalesce("a.task", "z.task").alias("task"), F.coalesce("a.state", "z.state").alias("state"))
+
+
+def reconciled(jobs: DataFrame, runs: DataFrame, baselines: dict[str, float]) -> DataFrame:
+    """(job_id, status, stage, progress) of jobs after a look at their runs.
+
+    jobs: job_id, status, stage, progress, cancel_requested; runs: job_id, run_state, task_stage
+    (null without a task), task_state, try_number, max_tries. Cancelled jobs stay; a success is
+    ready at 100; a failed run, or a task that failed beyond its tries, fails the job at its stage;
+    otherwise it runs if the run does or a task is known, and progress never falls below its own or
+    the stage's baseline.
+    """
+    table = F.create_map(*[F.lit(x) for kv in baselines.items() for x in kv])
+    r = jobs.join(runs, "job_id", "left")
+    stage = F.coalesce("task_stage", F.lit("waiting"))
+    spent = F.coalesce((F.col("task_state") == "failed") & (F.col("try_number") > F.col("max_tries")), F.lit(False))
+    still = F.coalesce("cancel_requested", F.lit(False)) | (F.col("status") == "cancelled") | F.col("run_state").isNull()
+    gone, won, lost = F.col("run_state").isin("cancelled", "canceled"), F.col("run_state") == "success", (F.col("run_state") == "failed") | spent
+    own = F.coalesce("progress", F.lit(0.0))
+    status = F.when(still, F.col("status")).when(gone, "cancelled").when(won, "completed").when(lost, "failed").when((F.col("run_state") == "running") | F.col("task_stage").isNotNull(), "running").otherwise("queued")
+    return r.select(
+        "job_id", status.alias("status"), F.when(still, F.col("stage")).when(gone, "cancelled").when(won, "ready").otherwise(stage).alias("stage"),
+        F.when(still | gone, own).when(won, 100.0).when(lost, own).otherwise(F.greatest(own, F.coalesce(F.try_element_at(table, stage), F.lit(0.0)))).alias("progress"),
+    )
+
+
+# How often a stage is tried again.
+RETRIES = {"prepare_workspace": 0, "download_source": 1, "detect_heatmap_peaks": 1, "transcribe": 1, "validate_transcript": 0, "generate_candidates": 1, "import_candidates": 2, "review_boundaries": 0, "mark_ready": 1}
+
+
+def after_failure(task: Column, attempt: Column) -> Column:
+    """What follows a failed attempt (from 1) of a task: 'retrying' while its budget lasts, else 'failed'."""
+    table = F.create_map(*[F.lit(x) for kv in RETRIES.items() for x in kv])
+    return F.when(attempt < F.coalesce(F.try_element_at(table, task), F.lit(0)) + 1, "retrying").otherwise("failed")
+
+
+def overdue(jobs: DataFrame, now: Column, limits: dict[str, int], default: int) -> DataFrame:
+    """``jobs`` (kind, started, status) with timed_out: running for more seconds than their kind may."""
+    table = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
+    limit = F.coalesce(F.try_element_at(table, F.col("kind")), F.lit(default))
+    return jobs.withColumn("timed_out", F.coalesce((F.col("status") == "running") & (F.timestamp_diff("SECOND", F.col("started"), now) > limit), F.lit(False)))
+
+
+def adjustments_logged(log: DataFrame, entries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, entries): each log's adjustments by segment_index, those of ``entries`` in place of older ones, sorted.
+
+    log and entries: key, segment_index and the same further columns; of an index that ``entries``
+    has twice the greatest row counts. A missing index sorts as 0.
+    """
+    rest = [c for c in log.columns if c not in (key, "segment_index")]
+    row = F.struct(F.coalesce("segment_index", F.lit(0)).alias("at"), "segment_index", *rest)
+    both = log.select(key, "segment_index", row.alias("r"), F.lit(0).alias("g")).unionByName(entries.select(key, "segment_index", row.alias("r"), F.lit(1).alias("g")))
+    last = both.groupBy(key, "segment_index").agg(F.max(F.struct("g", "r")).alias("x"))
+    return last.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x.r")), lambda x: F.struct(x["segment_index"].alias("segment_index"), *[x[c].alias(c) for c in rest])).alias("entries"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from spanloom.functions import text as tx
 from spanloom.functions import timecode as tc
 from spanloom.operators.heatmap import unrolled
+from spanloom.operators.scan import scan
 
 
 def normalized(segments: DataFrame, strict: bool = False) -> DataFrame:
@@ -34,33 +35,36 @@ def segmented(words: DataFrame, gap_cs: int = 65, max_cs: int = 750, max_words:
     """
     w = words.select("doc_id", F.struct("start_cs", "seg_idx", "word_idx", "end_cs", "text").alias("w"))
     made = w.groupBy("doc_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
-    made = made.withColumn("w", F.expr(f"""aggregate(sequence(0, size(w) - 1),
-      named_struct('g', cast(array() as array<int>), 's', 0L, 'n', 0, 'c', 0, 'k', 0),
-      (a, i) -> case
-        when w[i].text rlike '[.!?…]$' or (i + 1 < size(w) and w[i + 1].start_cs - w[i].end_cs >= {gap_cs})
-          or w[i].end_cs - if(a.n = 0, w[i].start_cs, a.s) >= {max_cs} or a.n + 1 >= {max_words} or a.c + if(a.n = 0, 0, 1) + length(w[i].text) >= {max_chars}
-        then named_struct('g', concat(a.g, array(a.k)), 's', 0L, 'n', 0, 'c', 0, 'k', a.k + 1)
-        else named_struct('g', concat(a.g, array(a.k)), 's', if(a.n = 0, w[i].start_cs, a.s), 'n', a.n + 1, 'c', a.c + if(a.n = 0, 0, 1) + length(w[i].text), 'k', a.k) end,
-      a -> transform(w, (x, i) -> named_struct('g', a.g[i], 'w', x)))"""))
+    begin, chars = "if(a.n = 0, w[i].start_cs, a.s)", "a.c + if(a.n = 0, 0, 1) + length(w[i].text)"
+    stop = f"""w[i].text rlike '[.!?…]$' or (i + 1 < size(w) and w[i + 1].start_cs - w[i].end_cs >= {gap_cs})
+      or w[i].end_cs - {begin} >= {max_cs} or a.n + 1 >= {max_words} or {chars} >= {max_chars}"""
+    state = {"k": ("0", "if(z, a.k + 1, a.k)"), "n": ("0", "if(z, 0, a.n + 1)"), "s": ("0L", f"if(z, 0L, {begin})"), "c": ("0", f"if(z, 0, {chars})")}
+    made = made.withColumn("g", F.expr(scan("w", "int", "a.k", state, stop))).select("doc_id", F.arrays_zip("g", "w").alias("w"))
     rows = unrolled(made, "w", "doc_id").select("doc_id", F.col("x.g").alias("seg"), F.col("i"), F.col("x.w.start_cs"), F.col("x.w.end_cs"), F.col("x.w.text"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ")
     return rows.groupBy("doc_id", F.col("seg").cast("long").alias("seg")).agg(F.min("start_cs").alias("start_cs"), F.max("end_cs").alias("end_cs"), text.alias("text"), F.count(F.lit(1)).alias("n_words"))
 
 
 def merge_short(segments: DataFrame, least_cs: int = 8, reach_cs: int = 25) -> DataFrame:
-    """Segments (doc_id, start_cs, end_cs, text, importance, chaos) under ``least_cs`` joined to the left one within reach, else the right one, else padded."""
-    s = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_cs", "end_cs", "text", "importance", "chaos"))).alias("s"))
-    join = "named_struct('start_cs', least(l.start_cs, r.start_cs), 'end_cs', greatest(l.end_cs, r.end_cs), 'text', trim(concat(l.text, ' ', r.text)), 'importance', greatest(l.importance, r.importance), 'chaos', l.chaos or r.chaos)"
-    last = "element_at(a.out, -1)"
-    merge = lambda l, r: join.replace("l.", f"{l}.").replace("r.", f"{r}.")  # noqa: E731, E741
-    made = s.withColumn("s", F.expr(f"""aggregate(s, named_struct('out', filter(s, z -> false), 'held', filter(s, z -> false)), (a, y) ->
-      case when size(a.held) > 0 then named_struct('out', concat(a.out, array({merge("a.held[0]", "y")})), 'held', filter(s, z -> false))
-        when y.end_cs - y.start_cs >= {least_cs} then named_struct('out', concat(a.out, array(y)), 'held', a.held)
-        when size(a.out) > 0 and y.start_cs - {last}.end_cs <= {reach_cs} then named_struct('out', concat(slice(a.out, 1, size(a.out) - 1), array({merge(last, "y")})), 'held', a.held)
-        when exists(s, z -> z.start_cs >= y.end_cs and z.start_cs - y.end_cs <= {reach_cs}) then named_struct('out', a.out, 'held', array(y))
-        else named_struct('out', concat(a.out, array(named_struct('start_cs', y.start_cs, 'end_cs', y.start_cs + {least_cs}, 'text', y.text, 'importance', y.importance, 'chaos', y.chaos))), 'held', a.held) end,
-      a -> a.out)"""))
-    return unrolled(made, "s", "doc_id").select("doc_id", F.col("i").cast("long").alias("seg"), "x.*")
+    """Segments (doc_id, start_cs, end_cs, text, importance, chaos) under ``least_cs`` joined to the left one within reach, else the right one, else padded.
+
+    The last segment is held until the next one shows that nothing joins it; one that joins the
+    next is carried there.
+    """
+    kind = "struct<start_cs:bigint,end_cs:bigint,text:string,importance:int,chaos:boolean>"
+    row = F.struct(F.col("start_cs").cast("long").alias("start_cs"), F.col("end_cs").cast("long").alias("end_cs"), "text", F.col("importance").cast("int").alias("importance"), "chaos")
+    s = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("s"))
+    join = lambda l, r: f"named_struct('start_cs', least({l}.start_cs, {r}.start_cs), 'end_cs', greatest({l}.end_cs, {r}.end_cs), 'text', trim(concat({l}.text, ' ', {r}.text)), 'importance', greatest({l}.importance, {r}.importance), 'chaos', {l}.chaos or {r}.chaos)"  # noqa: E731, E741
+    none = f"cast(null as {kind})"
+    short = f"c.end_cs - c.start_cs < {least_cs}"
+    left, right = f"({short} and a.h is not null and c.start_cs - a.h.end_cs <= {reach_cs})", f"(i + 1 < size(s) and s[i + 1].start_cs - c.end_cs <= {reach_cs})"
+    padded = f"if({short}, named_struct('start_cs', c.start_cs, 'end_cs', c.start_cs + {least_cs}, 'text', c.text, 'importance', c.importance, 'chaos', c.chaos), c)"
+    step = f"""transform(array(if(a.c is null, s[i], {join("a.c", "s[i]")})), c -> case
+      when {left} then named_struct('out', cast(array() as array<{kind}>), 'h', {join("a.h", "c")}, 'c', {none})
+      when {short} and {right} then named_struct('out', cast(array() as array<{kind}>), 'h', a.h, 'c', c)
+      else named_struct('out', if(a.h is null, cast(array() as array<{kind}>), array(a.h)), 'h', {padded}, 'c', {none}) end)[0]"""
+    fold = scan("s", f"array<{kind}>", "z.out", {"h": (none, "z.h"), "c": (none, "z.c")}, step, "concat(flatten(made), array(a.h))")
+    return unrolled(s.withColumn("s", F.expr(fold)), "s", "doc_id").select("doc_id", F.col("i").cast("long").alias("seg"), "x.*")
 
 
 ERRORS = ("EMPTY_TRANSCRIPT", "INVALID_TIME", "NEGATIVE_DURATION", "ZERO_DURATION", "NEGATIVE_TIME", "OUT_OF_AUDIO_RANGE")
@@ -118,16 +122,17 @@ def overlaps_fixed(segments: DataFrame) -> DataFrame:
     Each row sees what the one before has become, so a recording's rows are folded in order.
     """
     s = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start_cs", "end_cs"))).alias("s"))
-    start = "if(size(a) > 0 and y.start_cs < element_at(a, -1).end_cs - 25, element_at(a, -1).end_cs, y.start_cs)"
-    made = s.withColumn("s", F.expr(f"""aggregate(s, filter(s, z -> false), (a, y) -> concat(a, array(named_struct('idx', y.idx, 'start_cs', {start}, 'end_cs', if(y.end_cs <= {start}, {start} + 50, y.end_cs)))))"""))
+    start = "if(a.e is not null and s[i].start_cs < a.e - 25, a.e, s[i].start_cs)"
+    row = f"transform(array({start}), b -> named_struct('idx', s[i].idx, 'start_cs', b, 'end_cs', if(s[i].end_cs <= b, b + 50, s[i].end_cs)))[0]"
+    made = s.withColumn("s", F.expr(scan("s", "struct<idx:bigint,start_cs:bigint,end_cs:bigint>", "z", {"e": ("cast(null as bigint)", "z.end_cs")}, row)))
     return unrolled(made, "s", "doc_id").select("doc_id", "x.*")
 
 
 def smoothed_speakers(segments: DataFrame, longest_cs: int = 120) -> DataFrame:
     """(doc_id, idx, speaker): A-B-A flips no longer than ``longest_cs`` become A, left to right; a changed row counts for the next."""
     s = segments.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "start_cs", "end_cs", "speaker"))).alias("s"))
-    flip = f"i > 0 and i < size(s) - 1 and a[i - 1] = s[i + 1].speaker and s[i].speaker <> a[i - 1] and s[i].end_cs - s[i].start_cs <= {longest_cs}"
-    made = s.withColumn("n", F.expr(f"aggregate(sequence(0, size(s) - 1), cast(array() as array<string>), (a, i) -> concat(a, array(if({flip}, a[i - 1], s[i].speaker))))"))
+    flip = f"i > 0 and i < size(s) - 1 and a.p = s[i + 1].speaker and s[i].speaker <> a.p and s[i].end_cs - s[i].start_cs <= {longest_cs}"
+    made = s.withColumn("n", F.expr(scan("s", "string", "z", {"p": ("cast(null as string)", "z")}, f"if({flip}, a.p, s[i].speaker)")))
     return unrolled(made, F.arrays_zip("s", "n"), "doc_id").select("doc_id", F.col("x.s.idx").alias("idx"), F.col("x.n").alias("speaker"))
 
 

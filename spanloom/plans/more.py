@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions import text as tx
-from spanloom.operators.heatmap import greedy, unrolled
 from spanloom.plans import views
 from spanloom.plans.records import query as _query
 from spanloom.plans.views import table
@@ -121,59 +120,6 @@ def w11_rolling_mean(spark, sf):
     return e.select("user_id", "event_id", F.sum("v").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("n"))
 
 
-@query("g4_sample_windows", """WITH c AS MATERIALIZED (SELECT doc_id, (start_cs + end_cs) // 2 AS m, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, idx) AS n FROM segments WHERE text <> ''),
-  f AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT doc_id FROM c)
-    UNION ALL SELECT f.doc_id, c.n, CASE WHEN len(f.kept) < 3 AND len(list_filter(f.kept, lambda k: abs(k - c.m) < 900)) = 0 THEN list_append(f.kept, CAST(c.m AS BIGINT)) ELSE f.kept END FROM f JOIN c ON c.doc_id = f.doc_id AND c.n = f.n + 1),
-  l AS (SELECT doc_id, arg_max(kept, n) AS kept FROM f GROUP BY 1) SELECT doc_id, unnest(range(0, len(kept))) AS i, unnest(kept) AS center_cs FROM l""", "segments")
-def g4_sample_windows(spark, sf):
-    """Sample centres, densest first, apart from each other."""
-    s = views.segments(spark, sf).where("text <> ''").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.length("text")).alias("d"), "idx", F.expr("(start_cs + end_cs) div 2").alias("m")))).alias("s"))
-    kept = s.withColumn("k", F.expr(greedy("s", "abs(y.m - x.m) >= 900", 3)))
-    return unrolled(kept, "k", "doc_id").select("doc_id", F.col("i").cast("long").alias("i"), F.col("x.m").alias("center_cs"))
-
-
-@query("o9_best_face", """WITH f AS (SELECT l_orderkey AS frame, l_linenumber AS n, l_partkey % 1000 AS cx, l_suppkey % 100 * 10 AS cy, l_quantity AS area, l_shipdate FROM lineitem),
-  s AS (SELECT frame, n, CAST(area * 1000 AS BIGINT) + 10 * greatest(0, 1000 - abs(cx - 500)) + 10 * greatest(0, 1000 - abs(cy - 450)) AS score FROM f WHERE area >= 5 AND NOT (cx < 50 AND cy < 50)),
-  b AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, n) AS rn, count(*) OVER (PARTITION BY frame) AS usable FROM s) SELECT frame, n, score, usable FROM b WHERE rn = 1""")
-def o9_best_face(spark, sf):
-    """The best of each frame's usable boxes by weighted score, first of equals (order lines as boxes)."""
-    f = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 1000).alias("cx"), (F.col("l_suppkey") % 100 * 10).alias("cy"), F.col("l_quantity").alias("area"))
-    f = f.where("area >= 5 and not (cx < 50 and cy < 50)")
-    score = (F.col("area") * 1000).cast("long") + 10 * F.greatest(F.lit(0), 1000 - F.abs(F.col("cx") - 500)) + 10 * F.greatest(F.lit(0), 1000 - F.abs(F.col("cy") - 450))
-    best = f.groupBy("frame").agg(F.max(F.struct(score.alias("score"), (-F.col("n")).alias("m"))).alias("b"), F.count(F.lit(1)).alias("usable"))
-    return best.select("frame", (-F.col("b.m")).alias("n"), F.col("b.score").alias("score"), "usable")
-
-
-@query("o10_current_task", """WITH t AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'success' ELSE 'none' END AS state FROM events WHERE event_id % 17 = user_id % 17),
-  r AS (SELECT *, CASE state WHEN 'failed' THEN 5 WHEN 'queued' THEN 6 END AS p FROM t)
-  SELECT user_id, coalesce(arg_min(event_id, row(p, event_id)) FILTER (WHERE p IS NOT NULL), max(event_id) FILTER (WHERE state = 'success')) AS task FROM r GROUP BY 1""")
-def o10_current_task(spark, sf):
-    """The first task by state priority, else the last success; one event in 17 only (o10_current_task_all has all)."""
-    return _current_task(table(spark, sf, "events").where("event_id % 17 = user_id % 17"))
-
-
-def _current_task(events):
-    s = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "success").otherwise("none")
-    t = events.withColumn("state", s).withColumn("p", F.when(F.col("state") == "failed", 5).when(F.col("state") == "queued", 6))
-    first = F.min(F.when(F.col("p").isNotNull(), F.struct("p", "event_id")))["event_id"]
-    return t.groupBy("user_id").agg(F.coalesce(first, F.max(F.when(F.col("state") == "success", F.col("event_id")))).alias("task"))
-
-
-@query("o10_current_task_all", """WITH t AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'success' ELSE 'none' END AS state FROM events),
-  r AS (SELECT *, CASE state WHEN 'failed' THEN 5 WHEN 'queued' THEN 6 END AS p FROM t)
-  SELECT user_id, coalesce(arg_min(event_id, row(p, event_id)) FILTER (WHERE p IS NOT NULL), max(event_id) FILTER (WHERE state = 'success')) AS task FROM r GROUP BY 1""")
-def o10_current_task_all(spark, sf):
-    """The first task by state priority, else the last success, over all events."""
-    return _current_task(table(spark, sf, "events"))
-
-
-@query("p11_workflow_state", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'rejected' WHEN o_orderstatus = 'F' THEN 'rendered' WHEN o_orderpriority LIKE '1%' THEN 'accepted' ELSE 'candidate' END AS state, o_orderstatus = 'O' OR o_orderpriority LIKE '1%' AS in_tab FROM orders")
-def p11_workflow_state(spark, sf):
-    """State by precedence, tab predicate (orders as clips)."""
-    s, p = F.col("o_orderstatus"), F.col("o_orderpriority")
-    return table(spark, sf, "orders").select("o_orderkey", F.when((s == "F") & (F.col("o_totalprice") > 200000), "rejected").when(s == "F", "rendered").when(p.startswith("1"), "accepted").otherwise("candidate").alias("state"), ((s == "O") | p.startswith("1")).alias("in_tab"))
-
-
 @query("p9_clip_projection", """WITH e AS (SELECT project_id, job_id, score FROM jobs QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, job_id DESC) = 1)
   SELECT c.doc_id, c.start_cs, c.end_cs, c.end_cs - c.start_cs AS duration_cs, e.job_id AS evaluation_id, CAST(round(CAST(CAST(e.score AS VARCHAR) AS DECIMAL(18, 6)), 1) AS DOUBLE) AS score FROM clips c LEFT JOIN e ON e.project_id = c.doc_id""", "segments clips jobs")
 def p9_clip_projection(spark, sf):
@@ -195,26 +141,6 @@ def p5_exports(spark, sf):
     return a.join(there, "artifact_id", "left_semi").join(c, "project_id", "left").select("artifact_id", "project_id", "c_name")
 
 
-@query("v9_consistency_report", """WITH r AS (SELECT user_id AS project_id, event_type AS part, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), s AS (SELECT project_id, count(*) AS parts, min(n) AS least, max(n) AS most FROM r GROUP BY 1)
-  SELECT project_id, parts, CASE WHEN most - least > 40 THEN 'FAIL' WHEN parts < 5 THEN 'INCOMPLETE' ELSE 'PASS' END AS report FROM s""")
-def v9_consistency_report(spark, sf):
-    """Parts of a project rolled up to PASS, INCOMPLETE or FAIL; one event in 3 only (v9_consistency_report_all has all)."""
-    return _consistency(table(spark, sf, "events").where("event_id % 3 = 0"))
-
-
-def _consistency(events):
-    r = events.groupBy(F.col("user_id").alias("project_id"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    s = r.groupBy("project_id").agg(F.count(F.lit(1)).alias("parts"), F.min("n").alias("least"), F.max("n").alias("most"))
-    return s.select("project_id", "parts", F.when(F.col("most") - F.col("least") > 40, "FAIL").when(F.col("parts") < 5, "INCOMPLETE").otherwise("PASS").alias("report"))
-
-
-@query("v9_consistency_report_all", """WITH r AS (SELECT user_id AS project_id, event_type AS part, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT project_id, count(*) AS parts, min(n) AS least, max(n) AS most FROM r GROUP BY 1)
-  SELECT project_id, parts, CASE WHEN most - least > 40 THEN 'FAIL' WHEN parts < 5 THEN 'INCOMPLETE' ELSE 'PASS' END AS report FROM s""")
-def v9_consistency_report_all(spark, sf):
-    """Parts of a project rolled up to PASS, INCOMPLETE or FAIL, over all events."""
-    return _consistency(table(spark, sf, "events"))
-
-
 @query("v5_word_integrity", """WITH a AS (SELECT doc_id, idx, regexp_extract_all(text, '\\S+') AS l FROM segments), b AS (SELECT doc_id, seg_idx AS idx, list(text ORDER BY word_idx) AS l FROM words WHERE NOT (doc_id % 7 = 0 AND word_idx = 1) GROUP BY 1, 2)
   SELECT a.doc_id, a.idx FROM a LEFT JOIN b ON b.doc_id = a.doc_id AND b.idx = a.idx WHERE a.l <> coalesce(b.l, []) OR (b.l IS NULL AND len(a.l) > 0)""".replace("\\\\", "\\"), "segments words")
 def v5_word_integrity(spark, sf):
@@ -333,13 +259,3 @@ def f21_geometry(spark, sf):
     box = cutting.crop_box(w, h, (F.col("p_partkey") % 700).cast("double"), F.lit(360.0), F.lit(1.0))
     made = table(spark, sf, "part").select("p_partkey", box.alias("b"), cutting.vertical(w, h).alias("vertical"), F.pmod("p_size", F.lit(8)).alias("style"))
     return made.select("p_partkey", F.col("b.x1").alias("x1"), F.col("b.w").alias("w"), F.col("b.h").alias("h"), "vertical", "style")
-
-
-@query("f50_modes", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'local_only' WHEN 1 THEN 'limited' WHEN 2 THEN 'full' ELSE NULL END AS mode, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 8 END AS samples FROM events")
-def f50_modes(spark, sf):
-    """enum normalizers; an unknown mode is null here, an error where it configures a run."""
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, "").when(k == 1, " Limited ").when(k == 2, "FULL").otherwise("best")
-    low = F.coalesce(F.nullif(F.lower(F.trim(raw)), F.lit("")), F.lit("local_only"))
-    mode = F.when(low.isin("off", "local_only", "limited", "full"), low)
-    return table(spark, sf, "events").select("event_id", mode.alias("mode"), F.when(mode.isin("off", "local_only"), 0).when(mode == "limited", 2).when(mode == "full", 8).alias("samples"))

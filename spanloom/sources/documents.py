@@ -11,13 +11,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HEATMAP = "schema_version int, source string, synthetic boolean, video_id string, duration_seconds double, points array<struct<start_time:double,end_time:double,value:double>>"
-SEGMENT = "array<struct<start:string,end:string,text:string,speaker:string,importance:int>>"
+SEGMENT = "array<struct<start:string,end:string,text:string,speaker:string,speaker_id:string,speakerId:string,importance:int>>"
+PEAKS = "schema_version int, source string, algorithm string, algorithm_version int, video_id string, duration_seconds double, peaks array<struct<rank:bigint,peak_time:double,start_time:double,end_time:double,raw_value:double,smoothed_value:double,prominence:double>>"
 
 
 def read_heatmaps(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each point of the documents at ``path``; malformed documents raise."""
-    docs = spark.read.schema(HEATMAP).json(path, multiLine=True, mode="FAILFAST")
-    return docs.where("schema_version = 1").select("video_id", "duration_seconds", F.posexplode("points").alias("idx", "p")).select("video_id", F.col("idx").cast("long").alias("idx"), "p.*", "duration_seconds")
+    """One row for each point of the documents at ``path``; malformed documents and unknown schema versions raise."""
+    docs = known_version(spark.read.schema(HEATMAP).json(path, multiLine=True, mode="FAILFAST"))
+    return docs.select("video_id", "duration_seconds", F.posexplode("points").alias("idx", "p")).select("video_id", F.col("idx").cast("long").alias("idx"), "p.*", "duration_seconds")
+
+
+def known_version(docs: DataFrame, version: int = 1) -> DataFrame:
+    """``docs``, whose reading raises at another schema version."""
+    right = F.col("schema_version").eqNullSafe(F.lit(version))
+    return docs.where(F.when(right, True).otherwise(F.raise_error(F.concat(F.lit("unsupported schema version "), F.coalesce(F.col("schema_version").cast("string"), F.lit("none")))).cast("boolean")))
+
+
+def read_peaks(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each peak of the documents at ``path``, for ``candidates.peak_violations``; malformed documents and unknown versions raise."""
+    docs = known_version(spark.read.schema(PEAKS).json(path, multiLine=True, mode="FAILFAST"))
+    return docs.select("video_id", "duration_seconds", F.explode("peaks").alias("p")).select("video_id", "p.*", "duration_seconds")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +42,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 def transcript_rows(raw: DataFrame, key: str) -> DataFrame:
     listed = F.from_json("value", SEGMENT)
     inner = F.from_json("value", f"segments {SEGMENT}")["segments"]
-    return raw.select(key, F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(inner)).alias("idx", "s")).select(key, "idx", "s.*")
+    return raw.select(key, F.posexplode(F.when(F.ltrim("value").startswith("["), listed).otherwise(inner)).alias("idx", "s")).select(key, "idx", "s.*").withColumn("speaker", first_present("speaker", "speaker_id", "speakerId")).drop("speaker_id", "speakerId")
 
 
 ALIASES = ("top_windows", "windows", "selected_windows", "selected_clips", "clips")
@@ -100,3 +113,56 @@ def escaped(text: Column) -> Column:
     for a, b in (("\r\n", "\n"), ("\r", "\n"), ("\\", "\\\\"), ("{", "\\{"), ("}", "\\}"), ("\n", "\\N")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def append_lines(lines: DataFrame, path: str) -> None:
+    """Adds the lines (value) to a log folder, secrets replaced."""
+    from spanloom.functions.text import redacted
+
+    lines.select(redacted(F.col("value")).alias("value")).write.mode("append").text(path)
+
+
+def save_table(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """Writes a table of the project store and reads it back: a new version beside the last one, then a pointer to it.
+
+    ``df`` may be derived from the version it replaces; a job that fails leaves that one in place.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{folder}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/{name}/_current")
+    return load_table(spark, folder, name)
+
+
+def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The last saved version of a table."""
+    return spark.read.parquet(spark.read.text(f"{folder}/{name}/_current").first()[0])
+
+
+def dotenv(lines: DataFrame, key: str = "path", order: str = "line") -> DataFrame:
+    """(key, name, value): settings of NAME=value lines, the last of each name; comments, blank lines and an 'export ' before the name go, and so do quotes around a value."""
+    t = F.regexp_replace(F.trim("value"), r"^export\s+", "")
+    name, value = F.trim(F.substring_index(t, "=", 1)), F.trim(F.regexp_replace(t, r"^[^=]*=", ""))
+    bare = F.regexp_replace(value, r"^(?:\"(.*)\"|'(.*)')$", "$1$2")
+    rows = lines.where((t != "") & ~t.startswith("#") & F.contains(t, F.lit("=")) & (name != "")).select(key, name.alias("name"), bare.alias("value"), F.col(order).alias("__o"))
+    return rows.groupBy(key, "name").agg(F.max(F.struct("__o", "value")).alias("x")).select(key, "name", "x.value")
+
+
+STYLE = "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"
+
+
+def script_header(styles: list[str], title: str = "Subtitles", width: int = 1080, height: int = 1920) -> str:
+    """What stands before a subtitle script's dialogue: information, styles, and the events' columns."""
+    info = ["[Script Info]", f"Title: {title}", "ScriptType: v4.00+", "WrapStyle: 2", "ScaledBorderAndShadow: yes", "Collisions: Normal", f"PlayResX: {width}", f"PlayResY: {height}"]
+    return "\n".join([*info, "", "[V4+ Styles]", STYLE, *styles, "", "[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"])
+
+
+def style_line(name: str, colour: str, size: int = 68, outline: str = "&H00000000", bold: int = -1, alignment: int = 2, font: str = "DejaVu Sans") -> str:
+    return f"Style: {name},{font},{size},{colour},&H00000000,{outline},&H00000000,{bold},0,0,0,100,100,0,0,1,5,2,{alignment},90,90,360,1"
+
+
+def full_script(events: DataFrame, styles: list[str]) -> DataFrame:
+    """(doc_id, script): whole subtitle files, header and dialogue."""
+    return subtitle_script(events).withColumn("script", F.concat(F.lit(script_header(styles) + "\n"), F.col("script")))

@@ -216,18 +216,3 @@ def test_word_offsets_and_uncovered_text(spark):
     w = spark.createDataFrame([(1, 0, 0, 0, 1, "the"), (1, 0, 1, 1, 2, "cat"), (1, 0, 2, 2, 3, "the"), (2, 0, 0, 0, 1, "a"), (2, 0, 1, 1, 2, "c"), (3, 0, 0, 0, 1, "z")], WORDS)
     got = sorted(((r.doc_id, r.word_idx, r["at"], r.until, r.ok) for r in speakers.word_offsets(s, w).collect()), key=str)
     assert got == [(1, 0, 1, 4, True), (1, 1, 5, 8, True), (1, 2, 10, 13, True), (2, 0, 0, 1, False), (2, 1, 4, 5, False), (3, 0, None, None, False)]
-
-
-def test_all_events_reach_the_current_task_and_the_report(spark, sf):
-    from spanloom import catalog
-
-    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", "event_type").collect()
-    tasks = {r.user_id: r.task for r in catalog.queries()["o10_current_task_all"](spark, sf).collect()}
-    parts = {r.project_id: r.parts for r in catalog.queries()["v9_consistency_report_all"](spark, sf).collect()}
-    want = {}
-    for e in events:
-        want.setdefault(e.user_id, []).append(e)
-    assert set(tasks) == set(want)
-    for user, mine in want.items():
-        first = min(((0 if e.event_type == "error" else 1, e.event_id) for e in mine if e.event_type in ("error", "signup")), default=(0, max((e.event_id for e in mine if e.event_type == "purchase"), default=None)))
-        assert tasks[user] == first[1] and parts[user] == len({e.event_type for e in mine})
