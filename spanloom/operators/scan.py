@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values that a fold appends one by one before they are set aside, so that a step copies this many at most.
-BLOCK = 256
+#: The least number of elements that a fold takes up before their values are set aside.
+BLOCK = 64
 
 
 def scan(source: str, kind: str, out: str, state: dict[str, tuple[str, str]], let: str = "false", finish: str | None = None, block: int = BLOCK) -> str:
@@ -15,16 +15,23 @@ def scan(source: str, kind: str, out: str, state: dict[str, tuple[str, str]], le
     state: name to (first value, value after an element). ``let`` is worked out once for each
     element and known as z; ``out`` and the new states may use z, a.<state>, the index i and
     {source}[i]. finish: what becomes of the fold instead of the array, which it knows as made.
-    Appending one by one to one array would copy it every time, so values are set aside in blocks:
-    the work grows with the number of elements, not with its square.
+
+    A fold's state is copied at every step. So that this does not cost the square of the length, an
+    inner fold makes the values of about as many elements as the root of the length, and only then
+    does an outer one set them aside: work and copies grow with the length times its root.
     """
-    first = ", ".join(f"'{k}', {v[0]}" for k, v in state.items())
-    after = ", ".join(f"'{k}', {v[1]}" for k, v in state.items())
-    made = "flatten(concat(a.__d, array(a.__c)))"
-    return f"""aggregate(sequence(0, size({source}) - 1),
-      named_struct('__d', cast(array() as array<array<{kind}>>), '__c', cast(array() as array<{kind}>), {first}),
-      (a, i) -> transform(array({let}), z -> named_struct('__d', if(size(a.__c) < {block}, a.__d, concat(a.__d, array(a.__c))),
-        '__c', concat(if(size(a.__c) < {block}, a.__c, cast(array() as array<{kind}>)), array(cast({out} as {kind}))), {after}))[0],
+    names = list(state)
+    first = ", ".join(f"'{k}', {state[k][0]}" for k in names)
+    taken = ", ".join(f"'{k}', o.{k}" for k in names)
+    after = ", ".join(f"'{k}', {state[k][1]}" for k in names)
+    given = ", ".join(f"'{k}', r.{k}" for k in names)
+    width = f"cast(greatest({block}, sqrt(size({source}))) as int)"
+    made = "flatten(a.__d)"
+    return f"""aggregate(sequence(0, cast((size({source}) - 1) div {width} as int)), named_struct('__d', cast(array() as array<array<{kind}>>), {first}),
+      (o, c) -> aggregate(array(
+          aggregate(sequence(c * {width}, least(size({source}) - 1, c * {width} + {width} - 1)), named_struct('__c', cast(array() as array<{kind}>), {taken}),
+            (a, i) -> aggregate(array({let}), a, (b, z) -> named_struct('__c', concat(a.__c, array(cast({out} as {kind}))), {after})))),
+        o, (b, r) -> named_struct('__d', concat(b.__d, array(r.__c)), {given})),
       a -> {finish.replace("made", made) if finish else made})"""
 
 

@@ -38,7 +38,7 @@ def upserted(table: DataFrame, incoming: DataFrame, key: str, columns: list[str]
     order: columns of ``incoming`` that tell which of the rows of one key is the last, the one that
     counts; without them the greatest row does. Null keys are left out of ``incoming``.
     """
-    incoming = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *columns)).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in columns])
+    incoming = incoming.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in columns])
     t, i = table.alias("t"), incoming.alias("i")
     both = t.join(i, F.col(f"t.{key}") == F.col(f"i.{key}"), "full")
     mine, theirs = F.col(f"t.{key}").isNotNull(), F.col(f"i.{key}").isNotNull()

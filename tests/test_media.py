@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 
 from spanloom.operators import candidates, heatmap
+from spanloom.plans import oracle_k12
 
 
 def frame(spark, videos):
@@ -14,36 +16,29 @@ def evenly(values, width=40.0):
     return [(i * width, (i + 1) * width, v) for i, v in enumerate(values)], len(values) * width
 
 
-def model_peaks(points, duration, radius=5.0, window=30.0, least=0.05, apart=30.0, most=20):
-    if len(points) < 3:
-        return []
-    mids = [(s + e) / 2 for s, e, _ in points]
-    v = []
-    for m in mids:
-        over = [(min(e, m + radius) - max(s, m - radius), x) for s, e, x in points if e > m - radius and s < m + radius]
-        total = weight = 0.0
-        for o, x in over:  # one by one: sum() would compensate
-            total, weight = total + x * o, weight + o
-        v.append(total / weight)
-    found, i = [], 0
-    while i < len(v):
-        j = i
-        while j + 1 < len(v) and abs(v[i] - v[j + 1]) <= 1e-9:
-            j += 1
-        if i > 0 and j < len(v) - 1 and v[i - 1] < v[i] - 1e-9 and v[j + 1] < v[i] - 1e-9:
-            center = (mids[i] + mids[j]) / 2
-            r = min(range(i, j + 1), key=lambda k: (abs(mids[k] - center), k))
-            left = [v[k] for k in range(i) if mids[k] >= mids[r] - window] or [v[i - 1]]
-            right = [v[k] for k in range(j + 1, len(v)) if mids[k] <= mids[r] + window] or [v[j + 1]]
-            p = min(1.0, max(0.0, v[i] - max(min(left), min(right))))
-            if p >= least:
-                found.append((-p, -v[r], -points[r][2], mids[r]))
-        i = j + 1
-    kept = []
-    for c in sorted(found):
-        if len(kept) < most and all(abs(c[3] - k[3]) >= apart for k in kept):
-            kept.append(c)
-    return [(n + 1, k[3], round(-k[0], 9)) for n, k in enumerate(kept)]
+def peaks_by_sql(videos):
+    """(video, rank, time, prominence) as the registered SQL finds them, over a table of the recordings."""
+    con = duckdb.connect()
+    con.execute("create table heatmap_points (video_id varchar, idx bigint, start_time double, end_time double, value double, duration_seconds double)")
+    con.executemany("insert into heatmap_points values (?, ?, ?, ?, ?, ?)", [(v, i, float(s), float(e), float(x), float(d)) for v, (points, d) in videos.items() for i, (s, e, x) in enumerate(points)])
+    return sorted(con.execute(f"WITH RECURSIVE {oracle_k12.PEAKS} SELECT video_id, rank, peak_time, round(prominence, 9) FROM peaks").fetchall())
+
+
+def test_reported_peaks_are_peaks(spark):
+    """Whatever is reported is higher than its neighbours, stands out of both sides, and is apart from the others."""
+    rnd = random.Random(11)
+    videos = {f"v{i}": evenly([rnd.randint(0, 40) / 40 for _ in range(80)], 12.0) for i in range(10)}  # wider than the smoothing
+    got = {}
+    for r in heatmap.peaks(frame(spark, videos)).collect():
+        got.setdefault(r.video_id, []).append(r)
+    for v, (points, _) in videos.items():
+        found = sorted(got.get(v, []), key=lambda r: r.rank)
+        assert [r.rank for r in found] == list(range(1, len(found) + 1)) and [-r.prominence for r in found] == sorted(-r.prominence for r in found)
+        assert all(abs(a.peak_time - b.peak_time) >= 30 for a in found for b in found if a is not b)
+        for r in found:
+            around = [x for s, e, x in points if abs((s + e) / 2 - r.peak_time) <= 30]
+            assert r.raw_value == max(x for s, e, x in points if s <= r.peak_time < e) and min(around) < r.raw_value
+            assert 0.05 <= r.prominence <= r.raw_value - min(around) + 1e-9
 
 
 def test_literal_cases(spark):
@@ -52,10 +47,11 @@ def test_literal_cases(spark):
         "close": evenly([0, 0.9, 0, 0.8, 0], 10.0), "distant": evenly([0, 0.9, 0, 0.8, 0], 40.0), "uneven": ([(0, 1, 0.1), (1, 11, 0.9), (11, 12, 0.1)], 12.0), "ties": evenly([0, 0.7, 0, 0.7, 0, 0.7, 0]),
     }
     got = {}
-    for r in heatmap.peaks(frame(spark, videos)).orderBy("video_id", "rank").collect():
-        got.setdefault(r.video_id, []).append((r.rank, r.peak_time, round(r.prominence, 9)))
-    assert got == {k: m for k, (p, d) in videos.items() if (m := model_peaks(p, d))}
-    assert "flat" not in got and len(got["close"]) == 1 and len(got["distant"]) == 2 and [t for _, t, _ in got["ties"]] == sorted(t for _, t, _ in got["ties"])
+    rows = sorted((r.video_id, r.rank, r.peak_time, round(r.prominence, 9)) for r in heatmap.peaks(frame(spark, videos)).collect())
+    assert rows == peaks_by_sql(videos)
+    for v, *rest in rows:
+        got.setdefault(v, []).append(tuple(rest))
+    assert "flat" not in got and "rising" not in got and "short" not in got and len(got["single"]) == len(got["plateau"]) == 1 and len(got["close"]) == 1 and len(got["distant"]) == 2 and [t for _, t, _ in got["ties"]] == sorted(t for _, t, _ in got["ties"])
 
 
 def test_random_recordings_and_row_order(spark):
@@ -63,7 +59,7 @@ def test_random_recordings_and_row_order(spark):
     videos = {f"v{i}": evenly([rnd.randint(0, 20) / 20 for _ in range(rnd.randint(1, 60))], 4.0) for i in range(25)}
     df = frame(spark, videos)
     collect = lambda d: sorted((r.video_id, r.rank, r.peak_time, round(r.prominence, 9)) for r in heatmap.peaks(d).collect())
-    want = sorted((k, *row) for k, (p, d) in videos.items() for row in model_peaks(p, d))
+    want = peaks_by_sql(videos)
     assert collect(df) == want and collect(df.orderBy("value")) == want
 
 

@@ -136,6 +136,138 @@ def test_cues_and_orphans(spark):
     assert [(r.start_cs, r.end_cs, r.text) for r in cutting.orphans_merged(cues).orderBy("start_cs").collect()] == [(0, 120, "well, yes indeed."), (125, 160, "no")]
 
 
+def test_orphans_join_by_the_rules(spark):
+    rows = [
+        (1, 0, 40, "A", 'one two three,"', 2, False), (1, 45, 90, "B", "four five six", 5, False),  # both are the default speaker
+        (2, 0, 40, "x", 'one two three,"', 2, False), (2, 45, 90, "x", "four five six", 5, True),  # comma before a sign
+        (3, 0, 40, "x", "and", 3, False), (3, 45, 90, "x", "abcdefghijklmnopqrstuvwx", 3, False),  # only a lone connector could wrap it
+        (4, 0, 40, "x", "a b", 3, False), (4, 95, 120, "x", "c d", 3, False),  # a pause between
+        (5, 0, 40, "x", "one two", 3, False), (5, 40, 80, "x", "three", 3, False), (5, 80, 120, "x", "four five six seven eight", 3, False),
+        (6, 0, 40, "x", " ", 3, False), (6, 40, 80, "x", "Done.", 3, False),
+    ]
+    cues = spark.createDataFrame(rows, "doc_id long, start_cs long, end_cs long, speaker string, text string, importance int, chaos boolean")
+    got = sorted((r.doc_id, r.start_cs, r.end_cs, r.text, r.importance, r.chaos) for r in cutting.orphans_merged(cues).collect())
+    assert got == [
+        (1, 0, 90, got[0][3], 5, False), (2, 0, 90, got[1][3], 5, True), (3, 0, 40, "and", 3, False), (3, 45, 90, "abcdefghijklmnopqrstuvwx", 3, False),
+        (4, 0, 40, "a b", 3, False), (4, 95, 120, "c d", 3, False), (5, 0, 80, "one two three", 3, False), (5, 80, 120, "four five six seven eight", 3, False), (6, 40, 80, "Done.", 3, False),
+    ]
+    assert got[0][3].replace("\n", " ") == got[1][3].replace("\n", " ") == 'one two three," four five six' and "\n" in got[0][3]
+
+
+def test_joined_cues_step_back(spark):
+    rows = [(1, 0, 40, "x", "one two three"), (1, 40, 80, "x", "four"), (1, 80, 120, "x", "five six,"), (1, 120, 160, "x", "seven"), (1, 160, 200, "x", "eight.")]
+    cues = spark.createDataFrame(rows, "doc_id long, start_cs long, end_cs long, speaker string, text string")
+    got = [(r.start_cs, r.end_cs, r.text.replace("\n", " ")) for r in cutting.orphans_merged(cues).orderBy("start_cs").collect()]
+    assert got == [(0, 160, "one two three four five six, seven"), (160, 200, "eight.")]
+
+
+def test_rebalancing_gives_words_to_short_cues(spark):
+    schema = "doc_id long, seg_idx long, cue long, word_idx long, start_cs long, end_cs long, text string"
+
+    def rows(doc, texts, gap=0):
+        out, at = [], 0
+        for c, cue in enumerate(texts):
+            at += gap if c else 0
+            for w in cue.split():
+                out.append((doc, 0, c, len(out), at, at + 40, w))
+                at += 40
+        return out
+
+    data = rows(1, ["one two three four five", "six"]) + rows(2, ["one two three four", "five"], 60) + rows(3, ["one two three four.", "five"]) + rows(4, ["one two", "and"]) + rows(5, ["and", "abcdefghijklmnopqrstuvwx"])
+    got = {}
+    for r in cutting.rebalanced(spark.createDataFrame(data, schema)).orderBy("doc_id", "cue").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {1: ["one two three", "four five six"], 2: ["one two three four", "five"], 3: ["one two three four.", "five"], 4: ["one two and"], 5: ["and", "abcdefghijklmnopqrstuvwx"]}
+
+
+def test_overlap_is_settled_in_the_order_before_cutting(spark):
+    events = spark.createDataFrame([(1, -50, 300, "a"), (1, -20, 100, "b"), (2, 10, 50, "a"), (2, 20, 20, "b"), (2, 30, 60, "c"), (2, 40, 500, "d")], "doc_id long, start_cs long, end_cs long, text string")
+    got = sorted((r.doc_id, r.start_cs, r.end_cs, r.text) for r in cutting.without_overlap(events, 100).collect())
+    assert got == [(1, 0, 100, "b"), (2, 10, 20, "a"), (2, 30, 40, "c"), (2, 40, 100, "d")]
+
+
+def test_long_recordings_take_linear_time(spark):
+    """Folds and interval joins over one recording, at one and four times its length."""
+    import time
+
+    def track(n):
+        return spark.range(n).selectExpr("1L as track_id", "id as idx", "id % 7 < 4 as face", "double(id % 1000) as target")
+
+    def segs(n):
+        return spark.range(n).selectExpr("1L as doc_id", "id as idx", "id * 100 as start_cs", "id * 100 + 90 as end_cs", "if(id % 5 = 2, 'b', 'a') as speaker", "'w' as text")
+
+    def words(n):
+        return spark.range(n).selectExpr("1L as doc_id", "0L as seg_idx", "id as word_idx", "id * 40 as start_cs", "id * 40 + 40 as end_cs", "concat('w', id, if(id % 9 = 0, '.', '')) as text")
+
+    def times(n):
+        return segs(n).selectExpr("doc_id", "end_cs + 5 as at_cs", "0.5D as energy")
+
+    runs = {
+        "tracking": lambda n: cutting.tracking(track(n)), "follower": lambda n: cutting.follower(track(n)), "smoothed": lambda n: transcripts.smoothed_speakers(segs(n)), "fixed": lambda n: transcripts.overlaps_fixed(segs(n)),
+        "segmented": lambda n: transcripts.segmented(words(n)), "cues": lambda n: cutting.cues(words(n)), "activity": lambda n: cutting.activity(times(n), segs(n)),
+    }
+    for name, run in runs.items():
+        took = []
+        for n in (500, 10_000, 40_000):
+            begin = time.perf_counter()
+            assert run(n).count() > 0
+            took.append(time.perf_counter() - begin)
+        assert took[2] < 8 * max(took[1], 0.7), (name, took)
+
+
+def test_upserts_take_one_row_a_key(spark):
+    t = spark.createDataFrame([(1, "a", 1.0)], "k long, status string, price double")
+    i = spark.createDataFrame([(1, "b", 2.0), (1, "c", 1.5), (2, "x", 1.0), (None, "y", 1.0)], "k long, status string, price double")
+    assert sorted(map(tuple, store.upserted(t, i, "k", ["status", "price"]).collect())) == [(1, "c", 1.5), (2, "x", 1.0)]
+    assert sorted(map(tuple, store.upserted(t, i, "k", ["status", "price"], order=("price",)).collect())) == [(1, "b", 2.0), (2, "x", 1.0)]
+    with pytest.raises(Exception, match="repeated key 1"):
+        store.appended(t, i, "k").collect()
+
+
+def test_tables_and_logs_are_written(spark, tmp_path):
+    folder = str(tmp_path / "store")
+    first = documents.save_table(spark.range(3).toDF("k"), folder, "jobs")
+    second = documents.save_table(first.where("k > 0"), folder, "jobs")
+    assert sorted(r.k for r in second.collect()) == sorted(r.k for r in documents.load_table(spark, folder, "jobs").collect()) == [1, 2]
+    lines = spark.createDataFrame([("token=abc ok",), ("plain",)], "value string")
+    documents.append_lines(lines, str(tmp_path / "log"))
+    documents.append_lines(lines.limit(1), str(tmp_path / "log"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ["plain", "token=<redacted> ok", "token=<redacted> ok"]
+    (tmp_path / "old.json").write_text('{"schema_version": 2, "video_id": "v", "duration_seconds": 9, "points": []}')
+    with pytest.raises(Exception, match="unsupported schema version 2"):
+        documents.read_heatmaps(spark, str(tmp_path / "old.json")).collect()
+    (tmp_path / "p.json").write_text('{"schema_version": 1, "video_id": "v", "duration_seconds": 9, "peaks": [{"rank": 1, "peak_time": 3, "start_time": 2, "end_time": 4, "prominence": 0.5}]}')
+    assert documents.read_peaks(spark, str(tmp_path / "p.json")).first().peak_time == 3.0
+    (tmp_path / "t.json").write_text('[{"start": "0", "end": "1", "text": "x", "speakerId": "S"}, {"start": "1", "end": "2", "text": "y", "speaker": "A", "speaker_id": "B"}]')
+    assert [r.speaker for r in documents.read_transcripts(spark, str(tmp_path / "t.json")).orderBy("idx").collect()] == ["S", "A"]
+    script = documents.full_script(spark.createDataFrame([(1, 0, 100, "a {b}")], "doc_id long, start_cs long, end_cs long, text string"), [documents.style_line("Default", "&H00FFFFFF")]).first().script
+    assert script.startswith("[Script Info]") and script.endswith(r"Dialogue: 0,0:00:00.00,0:00:01.00,Default,,0,0,0,,a \{b\}")
+
+
+def test_more_time_parsers(spark):
+    texts = ["90", "1:30,5", "1.5:30", "1:02:03", "-4", "", "x", ":30", "1:2:3:4", None]
+    assert values(spark, texts, tc.parse_api) == [90, 90.5, 120, 3723, None, None, None, None, None, None]
+    assert values(spark, texts, tc.parse_web) == [90, 90.5, 120, 3723, None, 0, None, 30, None, None]
+    marked = values(spark, ["It is super cheap", "10 zl"], lambda c: tx.emphasized(c, F.lit("Speaker 1")))
+    assert marked[1] == "{\\b1\\c&H0000FF00&}10 zl{\\rSpeaker 1}" and marked[0].count("{") > 0
+
+
+def test_speakers_beyond_the_cap(spark):
+    rows = [(0, 1000, "A"), (1, 900, "B"), (2, 20, "C"), (3, 30, "C"), (4, 40, "D"), (5, 600, "A"), (6, 10, "Default"), (7, 50, "C")]
+    s = spark.createDataFrame([(1, i, 0, d, w) for i, d, w in rows], "doc_id long, idx long, start_cs long, end_cs long, speaker string")
+    assert [r.speaker for r in speakers.stabilized(s, 2).orderBy("idx").collect()] == ["A", "B", "B", "B", "B", "A", "Default", "A"]
+    assert [r.speaker for r in speakers.stabilized(s, 4).orderBy("idx").collect()] == [w for _, _, w in rows]
+
+
+def test_found_or_error(spark):
+    from spanloom.operators import projections
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    assert projections.found_or_error(rows, "k", 2).first().v == "b"
+    with pytest.raises(Exception, match="unknown k: 3"):
+        projections.found_or_error(rows, "k", 3).collect()
+
+
 def test_without_overlap(spark):
     rows = [(1, 0, 50, "a"), (1, 30, 80, "b"), (1, 30, 90, "c"), (1, 95, 400, "d")]
     got = [(r.start_cs, r.end_cs, r.text) for r in cutting.without_overlap(spark.createDataFrame(rows, "doc_id long, start_cs long, end_cs long, text string"), 100).orderBy("start_cs").collect()]
