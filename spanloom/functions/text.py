@@ -351,3 +351,9 @@ def checked_answer(answer: Column) -> Column:
         parsed_bool(get("matches_audio")).alias("matches_audio"), parsed_bool(get("timing_ok")).alias("timing_ok"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("confidence"),
         F.trim(F.coalesce(get("heard_text"), F.lit(""))).alias("heard_text"), text_list(part("hallucinated_words")).alias("hallucinated_words"), text_list(part("missing_words")).alias("missing_words"),
     )
+
+
+def enums_for_constants(schema: Column) -> Column:
+    """A JSON schema's text with every scalar "const" as an "enum" of one value."""
+    scalar = r'"const"\s*:\s*("(?:[^"\\\\]|\\\\.)*"|-?\d+(?:\.\d+)?|true|false|null)'
+    return F.regexp_replace(schema, scalar, '"enum":[$1]')

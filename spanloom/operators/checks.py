@@ -153,3 +153,8 @@ def manifest_faults(schema_version: Column, source: Column, video_id: Column, so
     # How deep each part leads: a file that goes above the workspace at any part is outside.
     depth = F.aggregate(F.filter(F.split(media_file, "/"), lambda x: ~x.isin("", ".")), F.struct(F.lit(0).alias("d"), F.lit(0).alias("low")), lambda a, x: F.struct((a["d"] + F.when(x == "..", -1).otherwise(1)).alias("d"), F.least(a["low"], a["d"] + F.when(x == "..", -1).otherwise(1)).alias("low")), lambda a: a["low"])
     return _named(("schema_version", ~schema_version.eqNullSafe(F.lit(1))), ("source", ~source.eqNullSafe(F.lit(wanted_source))), ("video_id", blank(video_id)), ("source_url", blank(source_url)), ("media_file", blank(media_file)), ("absolute", F.coalesce(absolute, F.lit(False))), ("outside", F.coalesce(~absolute & (depth < 0), F.lit(False))))
+
+
+def prohibited_fields(document: Column, prohibited: tuple[str, ...]) -> Column:
+    """Sorted names among a JSON object's own that may not be there."""
+    return F.array_sort(F.array_intersect(F.coalesce(F.json_object_keys(document), F.array().cast("array<string>")), F.array(*map(F.lit, prohibited))))

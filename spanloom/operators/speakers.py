@@ -166,3 +166,8 @@ def colour_policy(events: DataFrame, default: str = "Default") -> DataFrame:
     short = F.col("short_segments")
     fallback = (F.col("speakers") != 2) | ((short > 0) & (short >= F.greatest(F.lit(2), F.floor(F.col("n") / 4)))) | ((10 * F.col("switches") >= 7 * F.greatest(F.lit(1), F.col("pairs"))) & (short > 0)) | ((F.col("speakers") > 1) & (F.col("least") < 200))
     return made.select("doc_id", "switches", "pairs", "speakers", "short_segments", F.when(fallback, "single_style_fallback").otherwise("stable_per_speaker").alias("mode"))
+
+
+def merge_summary(spoken: DataFrame) -> DataFrame:
+    """(doc_id, words, outside_words, outside_cs) of ``merged`` words: how many no turn overlaps, and the greatest distance to the turn they took."""
+    return spoken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count("distance_cs").alias("outside_words"), F.coalesce(F.max("distance_cs"), F.lit(0)).alias("outside_cs"))

@@ -39,7 +39,7 @@ def f33_proportional_words(spark, sf):
 
 @query("f35_clipped_words", "SELECT w.doc_id, seg_idx, word_idx, greatest(w.start_cs, c.start_cs) - c.start_cs AS start_cs, least(w.end_cs, c.end_cs) - c.start_cs AS end_cs, text FROM words w JOIN clips c ON c.doc_id = w.doc_id AND w.start_cs < c.end_cs AND w.end_cs > c.start_cs", "segments clips words")
 def f35_clipped_words(spark, sf):
-    """Words inside a clip, relative to its start."""
+    """words inside a clip, relative to its start."""
     c = views.clips(spark, sf).select("doc_id", F.col("start_cs").alias("cs"), F.col("end_cs").alias("ce"))
     w = views.words(spark, sf).join(c, "doc_id").where("start_cs < ce and end_cs > cs")
     return w.select("doc_id", "seg_idx", "word_idx", (F.greatest("start_cs", "cs") - F.col("cs")).alias("start_cs"), (F.least("end_cs", "ce") - F.col("cs")).alias("end_cs"), "text")
@@ -49,7 +49,7 @@ def f35_clipped_words(spark, sf):
   n AS (SELECT a.doc_id, a.idx, b.kept, row_number() OVER (PARTITION BY a.doc_id, a.idx ORDER BY abs(a.idx - b.idx), b.idx) AS rn FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.kept IS NOT NULL AND b.idx <> a.idx)
   SELECT k.doc_id, k.idx, coalesce(k.kept, n.kept, 'none') AS speaker FROM k LEFT JOIN n ON n.doc_id = k.doc_id AND n.idx = k.idx AND n.rn = 1""", "segments")
 def j20_nearest_kept(spark, sf):
-    """The nearest kept speaker by rows, the left one first: one look back, one ahead."""
+    """The nearest kept speaker by rows, the left one first: one look back, one ahead."""
     k = views.segments(spark, sf).withColumn("kept", F.when(F.col("idx") % 3 == 0, F.concat("speaker", F.col("idx").cast("string"))))
     line = Window.partitionBy("doc_id").orderBy("idx")
     mark = F.when(F.col("kept").isNotNull(), F.struct("idx", "kept"))
@@ -62,7 +62,7 @@ def j20_nearest_kept(spark, sf):
   UNION ALL SELECT event_id, i, CAST(1 + 2 * i AS DOUBLE), CAST(2 + 2 * i AS DOUBLE), CASE WHEN i = 0 THEN 'w' END FROM events, (VALUES (0), (1)) v(i) WHERE event_id % 5 = 1
   UNION ALL SELECT event_id, 0, 5.0, 9.0, 'r' FROM events WHERE event_id % 5 = 2 UNION ALL SELECT event_id, 0, 2.0, 8.0, 's' FROM events WHERE event_id % 5 = 3""")
 def s5_windows(spark, sf):
-    """Clip windows from JSON of several shapes, through variants."""
+    """Clip windows from JSON of several shapes, through variants."""
     k = F.col("event_id") % 5
     value = (
         F.when(k == 0, F.concat(F.lit('[{"start": '), F.col("event_id").cast("string"), F.lit(', "end": '), (F.col("event_id") + 30).cast("string"), F.lit(', "summary": "a"}]')))
@@ -98,13 +98,13 @@ def s9_preferred_file(spark, sf):
   f AS (SELECT *, CAST(start_cs // 360000 AS VARCHAR) || ':' || lpad(CAST(start_cs % 360000 // 6000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_cs % 6000 // 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(start_cs % 100 AS VARCHAR), 2, '0') AS a, CAST(end_cs // 360000 AS VARCHAR) || ':' || lpad(CAST(end_cs % 360000 // 6000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(end_cs % 6000 // 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(end_cs % 100 AS VARCHAR), 2, '0') AS b FROM t)
   SELECT doc_id, string_agg('Dialogue: 0,' || a || ',' || b || ',Default,,0,0,0,,' || t, chr(10) ORDER BY start_cs, end_cs) AS script FROM f GROUP BY 1""".replace("\\\\", "\\"), "segments")
 def z3_subtitle_script(spark, sf):
-    """Subtitle scripts with escaped text."""
+    """Dialogue lines of subtitle scripts with escaped text (header and styles: full_script)."""
     return documents.subtitle_script(views.segments(spark, sf))
 
 
 @query("a14_mean_std", "SELECT event_type, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY 1")
 def a14_mean_std(spark, sf):
-    """Population mean and deviation."""
+    """Population mean and deviation."""
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"))
 
 
@@ -123,7 +123,7 @@ def w11_rolling_mean(spark, sf):
 @query("p9_clip_projection", """WITH e AS (SELECT project_id, job_id, score FROM jobs QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, job_id DESC) = 1)
   SELECT c.doc_id, c.start_cs, c.end_cs, c.end_cs - c.start_cs AS duration_cs, e.job_id AS evaluation_id, CAST(round(CAST(CAST(e.score AS VARCHAR) AS DECIMAL(18, 6)), 1) AS DOUBLE) AS score FROM clips c LEFT JOIN e ON e.project_id = c.doc_id""", "segments clips jobs")
 def p9_clip_projection(spark, sf):
-    """Clips with derived fields and their latest evaluation."""
+    """Clips with derived fields and their latest evaluation."""
     from spanloom.operators import store
 
     e = store.latest(views.jobs(spark, sf), "project_id", "created_at", "job_id")
@@ -144,7 +144,7 @@ def p5_exports(spark, sf):
 @query("v5_word_integrity", """WITH a AS (SELECT doc_id, idx, regexp_extract_all(text, '\\S+') AS l FROM segments), b AS (SELECT doc_id, seg_idx AS idx, list(text ORDER BY word_idx) AS l FROM words WHERE NOT (doc_id % 7 = 0 AND word_idx = 1) GROUP BY 1, 2)
   SELECT a.doc_id, a.idx FROM a LEFT JOIN b ON b.doc_id = a.doc_id AND b.idx = a.idx WHERE a.l <> coalesce(b.l, []) OR (b.l IS NULL AND len(a.l) > 0)""".replace("\\\\", "\\"), "segments words")
 def v5_word_integrity(spark, sf):
-    """V4 V5: segments whose words were lost, changed or put out of order (every seventh recording loses one)."""
+    """V5: segments whose words were lost, changed or put out of order (every seventh recording loses one)."""
     a = views.segments(spark, sf).select("doc_id", "idx", F.regexp_extract_all("text", F.lit(r"(\S+)"), 1).alias("l"))
     w = views.words(spark, sf).where(~((F.col("doc_id") % 7 == 0) & (F.col("word_idx") == 1)))
     b = w.groupBy("doc_id", F.col("seg_idx").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word_idx", "text"))), lambda x: x["text"]).alias("m"))
@@ -154,7 +154,7 @@ def v5_word_integrity(spark, sf):
 @query("x1_event_lines", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'stage_started' WHEN event_id % 4 = 1 THEN NULL WHEN event_id % 4 = 2 THEN 'stage_started' END AS event, CASE event_id % 4 WHEN 0 THEN 'transcribing' WHEN 2 THEN 'downloading' END AS stage,
   CASE event_id % 4 WHEN 0 THEN CAST(event_id % 100 AS DOUBLE) WHEN 2 THEN 10.0 END AS progress, CASE event_id % 4 WHEN 0 THEN 'token=<redacted> ok' WHEN 2 THEN 'yt-dlp password=<redacted>' WHEN 3 THEN 'nothing here' END AS message FROM events""")
 def x1_event_lines(spark, sf):
-    """Marker lines and plain lines of a log."""
+    """Marker lines and plain lines of a log."""
     k = F.col("event_id") % 4
     good = F.concat(F.lit('@@PIPELINE_EVENT@@ {"event":"stage_started","stage":"transcribing","message":"token=abc ok","progress_percent":'), (F.col("event_id") % 100).cast("string"), F.lit("}"))
     value = F.when(k == 0, good).when(k == 1, "@@PIPELINE_EVENT@@ {broken").when(k == 2, "yt-dlp password=x1").otherwise("nothing here")
@@ -190,14 +190,14 @@ def f49_domains(spark, sf):
 
 @query("f53_json_in_text", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def f53_json_in_text(spark, sf):
-    """The JSON object in a model's answer, fences and trailing commas forgiven."""
+    """the JSON object in a model's answer, fences and trailing commas forgiven."""
     answer = F.concat(F.lit("Sure:\n```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```"))
     return table(spark, sf, "events").select("event_id", F.try_variant_get(tx.json_object(answer), "$.k", "bigint").alias("k"))
 
 
 @query("v11_unknown_keys", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'extra' ELSE '' END AS unexpected, CASE WHEN event_id % 3 = 0 THEN 'k' ELSE '' END AS missing FROM events")
 def v11_unknown_keys(spark, sf):
-    """Keys that a configuration has too many or too few."""
+    """Keys that a configuration has too many or too few."""
     keys = F.filter(F.array(F.when(F.col("event_id") % 3 != 0, "k"), F.when(F.col("event_id") % 2 == 0, "extra")), lambda x: x.isNotNull())
     allowed = F.array(F.lit("k"))
     return table(spark, sf, "events").select("event_id", F.array_join(F.array_except(keys, allowed), ",").alias("unexpected"), F.array_join(F.array_except(allowed, keys), ",").alias("missing"))
@@ -239,7 +239,7 @@ def f41_word_offsets(spark, sf):
 @query("f10_names_and_instants", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 * 60 + 7.25 AS DOUBLE) END AS start, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 50 * 60 + 67.5 AS DOUBLE) END AS "end",
   CASE event_id % 3 WHEN 0 THEN 1704103200 WHEN 1 THEN 1704099600 END AS instant FROM events""")
 def f10_names_and_instants(spark, sf):
-    """Times in file names, ISO instants."""
+    """Times in file names, ISO instants."""
     from spanloom.functions import timecode as tc
 
     m = (F.col("event_id") % 50).cast("string")

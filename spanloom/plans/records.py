@@ -52,7 +52,7 @@ def _codes(spark, sf):
     CASE WHEN code = '-4' THEN NULL WHEN len(l) = 1 THEN TRY_CAST(l[1] AS DOUBLE) WHEN len(l) = 2 THEN CASE WHEN regexp_matches(l[1], '^[0-9]+$') THEN TRY_CAST(l[1] AS DOUBLE) END * 60 + TRY_CAST(l[2] AS DOUBLE) WHEN len(l) = 3 THEN TRY_CAST(l[1] AS DOUBLE) * 3600 + TRY_CAST(l[2] AS DOUBLE) * 60 + TRY_CAST(l[3] AS DOUBLE) END AS strict
   FROM p""")
 def f1_parse_time(spark, sf):
-    """the parsers side by side, over codes that tell them apart."""
+    """five of the parsers side by side, over codes that tell them apart (the other two: checked in the tests)."""
     c = F.col("code")
     return _codes(spark, sf).select("event_id", "code", tc.parse_checker(c).alias("checker"), tc.parse_cutter(c).alias("cutter"), tc.parse_base(c).alias("base"), tc.parse_subtitler(c).alias("subtitler"), tc.parse_strict(c).alias("strict"))
 
@@ -69,7 +69,7 @@ def f2_timecodes(spark, sf):
 
 @query("k5_normalized", r"""SELECT doc_id, 'seg_v1_' || sha256('{"end_centiseconds":' || CAST(end_cs AS VARCHAR) || ',"segment_id_version":1,"start_centiseconds":' || CAST(start_cs AS VARCHAR) || '}') AS segment_id, start_cs, end_cs, speaker, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, 3 AS importance FROM segments""", "segments")
 def k5_normalized(spark, sf):
-    """Canonical segments with content ids."""
+    """Canonical segments with content ids."""
     return transcripts.normalized(views.segments(spark, sf))
 
 
@@ -244,7 +244,7 @@ def w9_smoothed_speakers(spark, sf):
 @query("a4_speaker_stats", """WITH b AS (SELECT doc_id, speaker, sum(end_cs - start_cs) AS total_cs, count(*) AS segments, count(*) FILTER (WHERE end_cs - start_cs < 100) AS short_segments FROM segments GROUP BY 1, 2)
   SELECT doc_id, speaker, CAST(total_cs AS BIGINT) AS total_cs, segments, short_segments, CAST(total_cs * 10000 // sum(total_cs) OVER (PARTITION BY doc_id) AS BIGINT) AS share_bp, row_number() OVER (PARTITION BY doc_id ORDER BY total_cs DESC, speaker) = 1 AS dominant FROM b""", "segments")
 def a4_speaker_stats(spark, sf):
-    """Time, segments and share of each speaker."""
+    """Time, segments and share of each speaker."""
     return transcripts.speaker_stats(views.segments(spark, sf))
 
 
@@ -284,7 +284,7 @@ def j3_nearest_turn(spark, sf):
 @query("a12_speaker_names", f"""{_J2}, f AS (SELECT doc_id, raw_speaker, min(start_cs) AS s FROM sp GROUP BY 1, 2)
   SELECT doc_id, raw_speaker, 'Speaker ' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, raw_speaker) - 1 AS VARCHAR) AS speaker FROM f""", "words turns")
 def a12_speaker_names(spark, sf):
-    """Names by first start."""
+    """Names by first start."""
     return speakers.labels(speakers.merged(views.words(spark, sf), views.turns(spark, sf)))
 
 
@@ -310,7 +310,7 @@ _CTX = """WITH ctx AS (SELECT s.doc_id, s.idx, s.start_cs, s.end_cs, s.text, CAS
 
 @query("j4_clip_context", f"{_CTX} SELECT doc_id, idx, side, start_cs, end_cs, text FROM ctx WHERE side IS NOT NULL", "segments clips")
 def j4_clip_context(spark, sf):
-    """Segments before, in and after each clip."""
+    """Segments before, in and after each clip."""
     return review.context(views.clips(spark, sf), views.segments(spark, sf))
 
 
@@ -350,9 +350,14 @@ def v8_bound_errors(spark, sf):
     return views.clips(spark, sf).select("doc_id", review.bound_errors(F.col("start_cs") + (F.col("doc_id") % 7 - 3) * 900, F.col("end_cs") + (F.col("doc_id") % 5 - 2) * 1300).alias("errors"))
 
 
-@query("k7_rule_review")
+@query("k7_rule_review", _CTX + r""", t AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM ctx),
+  a AS (SELECT doc_id, arg_min(t, row(start_cs, idx)) FILTER (WHERE side = 'candidate') AS att, arg_max(t, row(end_cs, idx)) FILTER (WHERE side = 'candidate') AS zt, min(start_cs) FILTER (WHERE side = 'candidate') AS s0, max(end_cs) FILTER (WHERE side = 'candidate') AS e0, max(start_cs) FILTER (WHERE side = 'before') AS b, min(end_cs) FILTER (WHERE side = 'after') AS c FROM t GROUP BY 1 HAVING count(*) FILTER (WHERE side = 'candidate') > 0),
+  w AS (SELECT *, b IS NOT NULL AND regexp_extract(lower(att), '^([\p{L}\p{N}_]+)', 1) IN ('and', 'but', 'so', 'because', 'ale', 'bo', 'wiec', 'czyli') AS back,
+    c IS NOT NULL AND (zt = '' OR right(zt, 1) IN (',', ':', ';', '-') OR regexp_extract(lower(regexp_extract(zt, '([^ ]*)$', 1)), '^([\p{L}\p{N}_]+)', 1) IN ('and', 'but', 'because', 'so', 'ale', 'bo', 'wiec')) AS ahead FROM a),
+  g AS (SELECT *, CASE WHEN back THEN b ELSE s0 END AS ws, CASE WHEN ahead THEN c ELSE e0 END AS we FROM w)
+  SELECT pr.doc_id, s_cs, e_cs, back OR ahead AS extended FROM pr JOIN g USING (doc_id) QUALIFY row_number() OVER (PARTITION BY pr.doc_id ORDER BY abs(s_cs - ws) + abs(e_cs - we), abs(s_cs - ws), abs(e_cs - we), s_pos, e_pos) = 1""", "segments clips")
 def k7_rule_review(spark, sf):
-    """The reviewer without a model, coerced to an allowed pair."""
+    """The reviewer without a model, coerced to an allowed pair."""
     return review.rule_review(views.clips(spark, sf), views.segments(spark, sf))
 
 
@@ -396,9 +401,12 @@ def g9_orphans_merged(spark, sf):
     return cutting.orphans_merged(c)
 
 
-@query("g10_without_overlap")
+@query("g10_without_overlap", """WITH o AS MATERIALIZED (SELECT doc_id, greatest(0, least(start_cs - idx % 3 * 150, 12000)) AS s, greatest(0, least(end_cs, 12000)) AS e, text, row_number() OVER (PARTITION BY doc_id ORDER BY start_cs - idx % 3 * 150, end_cs, text) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM segments),
+  f AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, total, CAST([] AS STRUCT(s BIGINT, e BIGINT, t VARCHAR)[]) AS out FROM o WHERE n = 1
+    UNION ALL SELECT doc_id, n, total, CASE WHEN e > s THEN list_append(cut, {'s': CAST(s AS BIGINT), 'e': CAST(e AS BIGINT), 't': text}) ELSE cut END FROM (SELECT o.*, CASE WHEN len(f.out) > 0 AND o.s < f.out[-1].e THEN CASE WHEN o.s <= f.out[-1].s THEN f.out[:-2] ELSE list_append(f.out[:-2], {'s': f.out[-1].s, 'e': CAST(o.s AS BIGINT), 't': f.out[-1].t}) END ELSE f.out END AS cut FROM f JOIN o ON o.doc_id = f.doc_id AND o.n = f.n + 1)),
+  u AS (SELECT doc_id, unnest(out) AS x FROM f WHERE n = total) SELECT doc_id, x.s AS start_cs, x.e AS end_cs, x.t AS text FROM u""", "segments")
 def g10_without_overlap(spark, sf):
-    """Cues inside the clip without overlap (reads its own writes: checked in the tests)."""
+    """Cues inside the clip without overlap."""
     s = views.segments(spark, sf).select("doc_id", (F.col("start_cs") - F.col("idx") % 3 * 150).alias("start_cs"), "end_cs", "text")
     return cutting.without_overlap(s, 12000)
 
@@ -415,13 +423,15 @@ def _samples(spark, sf):
       CASE WHEN f.mode = 'active' THEN CASE WHEN s.face THEN 0 ELSE 1 END WHEN f.mode = 'hold' AND NOT (s.face AND f.c + 1 >= 2) THEN least(f.n + 1, 4) ELSE 0 END FROM f JOIN s ON s.track_id = f.track_id AND s.idx = f.idx + 1)
   SELECT track_id, idx, mode, CAST(c AS INTEGER) AS consecutive, CAST(n AS INTEGER) AS since FROM f""")
 def g12_tracking(spark, sf):
-    """Face tracking states."""
+    """Face tracking states."""
     return cutting.tracking(_samples(spark, sf))
 
 
-@query("g13_follower")
+@query("g13_follower", """WITH RECURSIVE s AS MATERIALIZED (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS idx, value AS target FROM events),
+  f AS (SELECT track_id, idx, CAST(500 AS DOUBLE) + CAST(0.5 AS DOUBLE) * greatest(CAST(-50 AS DOUBLE), least(CAST(50 AS DOUBLE), target - CAST(500 AS DOUBLE))) AS center FROM s WHERE idx = 1
+    UNION ALL SELECT s.track_id, s.idx, f.center + CAST(0.5 AS DOUBLE) * greatest(CAST(-50 AS DOUBLE), least(CAST(50 AS DOUBLE), s.target - f.center)) FROM f JOIN s ON s.track_id = f.track_id AND s.idx = f.idx + 1) SELECT track_id, idx, center FROM f""")
 def g13_follower(spark, sf):
-    """A crop centre that follows its target (a fold over doubles: checked in the tests)."""
+    """A crop centre that follows its target."""
     return cutting.follower(_samples(spark, sf))
 
 
@@ -442,7 +452,7 @@ def j15_latest_job(spark, sf):
 
 @query("a1_status_counts", "SELECT project_id, count(*) AS total, count(*) FILTER (WHERE status IN ('queued', 'running')) AS active, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'cancelled') AS cancelled FROM jobs GROUP BY 1", "jobs")
 def a1_status_counts(spark, sf):
-    """Conditional counts."""
+    """A1: conditional counts."""
     return store.status_counts(views.jobs(spark, sf))
 
 
@@ -450,14 +460,14 @@ def a1_status_counts(spark, sf):
   n AS (SELECT project_id, count(*) AS total, count(*) FILTER (WHERE status IN ('queued', 'running')) AS active, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'cancelled') AS cancelled FROM jobs GROUP BY 1)
   SELECT project_id, job_id, coalesce(status, 'created') AS status, coalesce(total, 0) AS total, coalesce(active, 0) AS active, coalesce(completed, 0) AS completed, coalesce(failed, 0) AS failed, coalesce(cancelled, 0) AS cancelled, CASE WHEN status = 'failed' THEN job_id END AS error_job FROM p LEFT JOIN l USING (project_id) LEFT JOIN n USING (project_id)""", "jobs")
 def p19_status_view(spark, sf):
-    """Projects with latest job and counts."""
+    """Projects with latest job and counts."""
     return store.status_view(table(spark, sf, "customer").select(F.col("c_custkey").alias("project_id")), views.jobs(spark, sf))
 
 
 @query("d3_upserted", """WITH t AS (SELECT o_orderkey AS k, o_orderstatus AS status, CAST(o_totalprice AS DOUBLE) AS price FROM orders WHERE o_orderkey % 3 <> 0), i AS (SELECT o_orderkey AS k, 'N' AS status, 1.0 AS price FROM orders WHERE o_orderkey % 2 = 0)
   SELECT coalesce(t.k, i.k) AS k, coalesce(i.status, t.status) AS status, CASE WHEN i.k IS NOT NULL AND (t.k IS NULL OR t.status = 'O') THEN CAST(i.price AS DOUBLE) ELSE t.price END AS price FROM t FULL JOIN i ON t.k = i.k""")
 def d3_upserted(spark, sf):
-    """Upsert with a guarded column."""
+    """Upsert with a guarded column."""
     o = table(spark, sf, "orders")
     t = o.where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
     i = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.lit("N").alias("status"), F.lit(1.0).alias("price"))
@@ -466,7 +476,7 @@ def d3_upserted(spark, sf):
 
 @query("d8_sparse_update", "SELECT job_id, CASE WHEN job_id % 4 = 0 THEN NULL ELSE status END AS status, CASE WHEN job_id % 4 = 0 THEN score ELSE score END AS score FROM jobs", "jobs")
 def d8_sparse_update(spark, sf):
-    """A null that is set differs from one that is not given."""
+    """A null that is set differs from one that is not given."""
     j = views.jobs(spark, sf)
     u = j.where("job_id % 4 = 0").select("job_id", F.lit(True).alias("set_status"), F.lit(None).cast("string").alias("status"), F.lit(False).alias("set_score"), F.lit(9.0).alias("score"))
     return store.sparse_update(j, u, "job_id", ["status", "score"])
@@ -489,7 +499,7 @@ def d6_widened(spark, sf):
 
 @query("u2_key_differences", "SELECT c_custkey AS k, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def u2_key_differences(spark, sf):
-    """Keys of one side that the other lacks, both ways."""
+    """Keys of one side that the other lacks, both ways."""
     c, o = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
     return c.join(o, "k", "left_anti").select("k", F.lit("missing").alias("side")).unionByName(o.join(c, "k", "left_anti").select("k", F.lit("unexpected").alias("side")))
 

@@ -585,3 +585,38 @@ def f50_speaker_modes(spark, sf):
     i, k = F.col("event_id"), F.col("event_type")
     mode = tx.checker_mode(F.when(i % 4 == 0, "").when(i % 4 == 1, " Limited ").when(i % 4 == 2, "FULL").otherwise(k))
     return table(spark, sf, "events").select("event_id", tx.speaker_mode(F.when(k == "click", "Single-Speaker").when(k == "view", " multiple ").otherwise(k)).alias("speakers"), tx.ai_mode(F.when(i % 3 == 0, F.lit(None)).when(i % 3 == 1, "LOCAL_only").otherwise(k)).alias("ai"), mode.alias("mode"), tx.checker_samples(mode, 5).alias("samples"))
+
+
+# -- sources, summaries ---------------------------------------------------------------------------
+
+
+@query("s2_heatmap_rows", "SELECT video_id, idx, start_time, end_time, value, duration_seconds FROM heatmap_points", "heatmap_points")
+def s2_heatmap_rows(spark, sf):
+    """Points of heatmap documents, through their JSON."""
+    p = views.heatmap_points(spark, sf)
+    points = F.transform(F.array_sort(F.collect_list(F.struct("idx", "start_time", "end_time", "value"))), lambda x: F.struct(x["start_time"].alias("start_time"), x["end_time"].alias("end_time"), x["value"].alias("value")))
+    docs = p.groupBy("video_id", "duration_seconds").agg(points.alias("points"))
+    return documents.heatmap_rows(docs.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("test").alias("source"), F.lit(False).alias("synthetic"), "video_id", "duration_seconds", "points")).alias("value")))
+
+
+@query("a13_merge_summary", """WITH t AS (SELECT * FROM turns WHERE start_cs % 3 = 0), ov AS (SELECT DISTINCT w.doc_id, seg_idx, word_idx FROM words w JOIN t ON t.doc_id = w.doc_id AND t.start_cs < w.end_cs AND t.end_cs > w.start_cs),
+  d AS (SELECT w.doc_id, w.seg_idx, w.word_idx, min(CASE WHEN t.end_cs <= w.start_cs THEN w.start_cs - t.end_cs ELSE t.start_cs - w.end_cs END) AS d FROM words w ANTI JOIN ov USING (doc_id, seg_idx, word_idx) JOIN t ON t.doc_id = w.doc_id GROUP BY ALL)
+  SELECT w.doc_id, count(*) AS words, count(d.d) AS outside_words, coalesce(max(d.d), 0) AS outside_cs FROM words w LEFT JOIN d USING (doc_id, seg_idx, word_idx) GROUP BY 1""", "words turns")
+def a13_merge_summary(spark, sf):
+    """Words that no turn overlaps, and their greatest distance to a turn (turns that begin at a third of the times, so that there are gaps)."""
+    return speakers.merge_summary(speakers.merged(views.words(spark, sf), views.turns(spark, sf).where("start_cs % 3 = 0")))
+
+
+@query("u3_prohibited_fields", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'score,' || event_type WHEN event_type IN ('click', 'view') THEN event_type ELSE '' END AS fields FROM events WHERE event_id % 4 <> 0 OR event_type IN ('click', 'view') UNION ALL SELECT event_id, 'score' FROM events WHERE event_id % 4 = 0 AND event_type NOT IN ('click', 'view')".replace("'score,' || event_type", "CASE WHEN event_type = 'click' THEN 'click,score' ELSE 'score,view' END"))
+def u3_prohibited_fields(spark, sf):
+    """Fields of a document that may not be there."""
+    k = F.col("event_type")
+    doc = F.concat(F.lit('{"'), k, F.lit('": 1, "id": 2'), F.when(F.col("event_id") % 4 == 0, ', "score": 0.5').otherwise(""), F.lit("}"))
+    return table(spark, sf, "events").select("event_id", F.array_join(checks.prohibited_fields(doc, ("score", "click", "view")), ",").alias("fields"))
+
+
+@query("f57_enums", """SELECT c_custkey, '{"type":"object","a":{"enum":["' || c_mktsegment || '"]},"b":{"enum":[' || c_nationkey || ']}}' AS schema FROM customer""")
+def f57_enums(spark, sf):
+    """constants of a JSON schema as enums of one value."""
+    doc = F.concat(F.lit('{"type":"object","a":{"const": "'), F.col("c_mktsegment"), F.lit('"},"b":{"const":'), F.col("c_nationkey").cast("string"), F.lit("}}"))
+    return table(spark, sf, "customer").select("c_custkey", tx.enums_for_constants(doc).alias("schema"))

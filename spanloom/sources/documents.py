@@ -17,7 +17,12 @@ PEAKS = "schema_version int, source string, algorithm string, algorithm_version
 
 def read_heatmaps(spark: SparkSession, path: str) -> DataFrame:
     """One row for each point of the documents at ``path``; malformed documents and unknown schema versions raise."""
-    docs = known_version(spark.read.schema(HEATMAP).json(path, multiLine=True, mode="FAILFAST"))
+    return heatmap_rows(spark.read.text(path, wholetext=True))
+
+
+def heatmap_rows(raw: DataFrame, value: str = "value") -> DataFrame:
+    """(video_id, idx, start_time, end_time, value, duration_seconds) of heatmap documents as JSON texts."""
+    docs = known_version(raw.select(F.from_json(value, HEATMAP, {"mode": "FAILFAST"}).alias("d")).select("d.*"))
     return docs.select("video_id", "duration_seconds", F.posexplode("points").alias("idx", "p")).select("video_id", F.col("idx").cast("long").alias("idx"), "p.*", "duration_seconds")
 
 
