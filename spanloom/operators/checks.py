@@ -158,3 +158,9 @@ def manifest_faults(schema_version: Column, source: Column, video_id: Column, so
 def prohibited_fields(document: Column, prohibited: tuple[str, ...]) -> Column:
     """Sorted names among a JSON object's own that may not be there."""
     return F.array_sort(F.array_intersect(F.coalesce(F.json_object_keys(document), F.array().cast("array<string>")), F.array(*map(F.lit, prohibited))))
+
+
+def key_differences(keys: Column, allowed: tuple[str, ...]) -> Column:
+    """Struct (unexpected, missing): names that an object has too many or too few."""
+    want = F.array(*map(F.lit, allowed))
+    return F.struct(F.array_except(keys, want).alias("unexpected"), F.array_except(want, keys).alias("missing"))

@@ -59,3 +59,11 @@ def sample_windows(segments: DataFrame, issues: DataFrame, audio: DataFrame | No
     kept = unrolled(made.withColumn("k", F.expr(greedy("c", f"abs(y.s2 - x.s2) * 100 >= {90 * length_cs}", most))), "k", "doc_id")
     out = kept.select("doc_id", F.col("i").cast("long").alias("i"), F.col("x.s2").alias("s2"), F.col("x.e2").alias("e2")).join(texts, ["doc_id", "s2", "e2"])
     return out.select("doc_id", "i", (F.col("s2") / 200).alias("start"), (F.col("e2") / 200).alias("end"), F.left("text", F.lit(chars)).alias("text"))
+
+
+def rolling(rows: DataFrame, track: str, order: str, value: str, reset: str, size: int = 15) -> DataFrame:
+    """``rows`` with total and n of ``value`` over the last ``size`` rows since a reset, which begins anew."""
+    line = Window.partitionBy(track).orderBy(order)
+    g = rows.withColumn("__g", F.sum(F.when(F.col(reset), 1).otherwise(0)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    last = Window.partitionBy(track, "__g").orderBy(order).rowsBetween(1 - size, 0)
+    return g.withColumn("total", F.sum(value).over(last)).withColumn("n", F.count(F.lit(1)).over(last)).drop("__g")

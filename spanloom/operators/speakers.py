@@ -171,3 +171,12 @@ def colour_policy(events: DataFrame, default: str = "Default") -> DataFrame:
 def merge_summary(spoken: DataFrame) -> DataFrame:
     """(doc_id, words, outside_words, outside_cs) of ``merged`` words: how many no turn overlaps, and the greatest distance to the turn they took."""
     return spoken.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count("distance_cs").alias("outside_words"), F.coalesce(F.max("distance_cs"), F.lit(0)).alias("outside_cs"))
+
+
+def nearest_kept(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, idx, kept) with nearest: the value of kept the fewest rows away, that before first; one look back and one ahead."""
+    line = Window.partitionBy("doc_id").orderBy("idx")
+    mark = F.when(F.col("kept").isNotNull(), F.struct("idx", "kept"))
+    k = rows.withColumn("l", F.last(mark, True).over(line.rowsBetween(Window.unboundedPreceding, -1))).withColumn("r", F.first(mark, True).over(line.rowsBetween(1, Window.unboundedFollowing)))
+    left = F.coalesce(F.col("idx") - F.col("l.idx") <= F.col("r.idx") - F.col("idx"), F.col("l").isNotNull())
+    return k.withColumn("nearest", F.when(left, F.col("l.kept")).otherwise(F.col("r.kept"))).drop("l", "r")

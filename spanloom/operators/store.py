@@ -214,3 +214,14 @@ def adjustments_logged(log: DataFrame, entries: DataFrame, key: str = "doc_id")
     both = log.select(key, "segment_index", row.alias("r"), F.lit(0).alias("g")).unionByName(entries.select(key, "segment_index", row.alias("r"), F.lit(1).alias("g")))
     last = both.groupBy(key, "segment_index").agg(F.max(F.struct("g", "r")).alias("x"))
     return last.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x.r")), lambda x: F.struct(x["segment_index"].alias("segment_index"), *[x[c].alias(c) for c in rest])).alias("entries"))
+
+
+def exports(artifacts: DataFrame, present: DataFrame, parents: DataFrame, types: tuple[str, ...], key: str = "artifact_id", parent: str = "project_id") -> DataFrame:
+    """Artifacts of the types that are present, with what their parent has; an artifact without a parent stays."""
+    return artifacts.where(F.col("artifact_type").isin(*types)).join(present.select(key), key, "left_semi").join(parents, parent, "left")
+
+
+def key_sets_compared(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys that only one of two frames has, 'missing' from found or 'unexpected' there."""
+    k, f = known.select(key).distinct(), found.select(key).distinct()
+    return k.join(f, key, "left_anti").select(key, F.lit("missing").alias("side")).unionByName(f.join(k, key, "left_anti").select(key, F.lit("unexpected").alias("side")))

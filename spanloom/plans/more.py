@@ -49,13 +49,11 @@ def f35_clipped_words(spark, sf):
   n AS (SELECT a.doc_id, a.idx, b.kept, row_number() OVER (PARTITION BY a.doc_id, a.idx ORDER BY abs(a.idx - b.idx), b.idx) AS rn FROM k a JOIN k b ON b.doc_id = a.doc_id AND b.kept IS NOT NULL AND b.idx <> a.idx)
   SELECT k.doc_id, k.idx, coalesce(k.kept, n.kept, 'none') AS speaker FROM k LEFT JOIN n ON n.doc_id = k.doc_id AND n.idx = k.idx AND n.rn = 1""", "segments")
 def j20_nearest_kept(spark, sf):
-    """The nearest kept speaker by rows, the left one first: one look back, one ahead."""
+    """The nearest kept speaker by rows, the left one first."""
+    from spanloom.operators import speakers
+
     k = views.segments(spark, sf).withColumn("kept", F.when(F.col("idx") % 3 == 0, F.concat("speaker", F.col("idx").cast("string"))))
-    line = Window.partitionBy("doc_id").orderBy("idx")
-    mark = F.when(F.col("kept").isNotNull(), F.struct("idx", "kept"))
-    k = k.withColumn("l", F.last(mark, True).over(line.rowsBetween(Window.unboundedPreceding, -1))).withColumn("r", F.first(mark, True).over(line.rowsBetween(1, Window.unboundedFollowing)))
-    left = F.coalesce(F.col("idx") - F.col("l.idx") <= F.col("r.idx") - F.col("idx"), F.col("l").isNotNull())
-    return k.select("doc_id", "idx", F.coalesce("kept", F.when(left, F.col("l.kept")).otherwise(F.col("r.kept")), F.lit("none")).alias("speaker"))
+    return speakers.nearest_kept(k).select("doc_id", "idx", F.coalesce("kept", "nearest", F.lit("none")).alias("speaker"))
 
 
 @query("s5_windows", """SELECT event_id AS path, 0 AS idx, CAST(event_id AS DOUBLE) AS start, CAST(event_id + 30 AS DOUBLE) AS end, 'a' AS summary FROM events WHERE event_id % 5 = 0
@@ -114,10 +112,10 @@ def w11_rolling_mean(spark, sf):
     """Sum and count of the last fifteen states since a reset."""
     from spanloom.functions.timecode import centiseconds
 
-    e = table(spark, sf, "events").withColumn("v", centiseconds(F.col("value")))
-    e = e.withColumn("grp", F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)))
-    w = Window.partitionBy("user_id", "grp").orderBy("event_id").rowsBetween(-14, 0)
-    return e.select("user_id", "event_id", F.sum("v").over(w).alias("total"), F.count(F.lit(1)).over(w).alias("n"))
+    from spanloom.operators import sampling
+
+    e = table(spark, sf, "events").select("user_id", "event_id", centiseconds(F.col("value")).alias("v"), (F.col("event_type") == "error").alias("reset"))
+    return sampling.rolling(e, "user_id", "event_id", "v", "reset").select("user_id", "event_id", "total", "n")
 
 
 @query("p9_clip_projection", """WITH e AS (SELECT project_id, job_id, score FROM jobs QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, job_id DESC) = 1)
@@ -135,10 +133,11 @@ def p9_clip_projection(spark, sf):
 @query("p5_exports", "SELECT a.artifact_id, a.project_id, c_name FROM artifacts a LEFT JOIN customer ON c_custkey = a.project_id WHERE a.artifact_type IN ('raw') AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = a.artifact_id)", "artifacts")
 def p5_exports(spark, sf):
     """Artifacts of a type that exist, with their clip if there is one."""
-    a = views.artifacts(spark, sf).where(F.col("artifact_type").isin("raw"))
+    from spanloom.operators import store
+
     there = table(spark, sf, "orders").select(F.col("o_orderkey").alias("artifact_id"))
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("project_id"), "c_name")
-    return a.join(there, "artifact_id", "left_semi").join(c, "project_id", "left").select("artifact_id", "project_id", "c_name")
+    return store.exports(views.artifacts(spark, sf), there, c, ("raw",)).select("artifact_id", "project_id", "c_name")
 
 
 @query("v5_word_integrity", """WITH a AS (SELECT doc_id, idx, regexp_extract_all(text, '\\S+') AS l FROM segments), b AS (SELECT doc_id, seg_idx AS idx, list(text ORDER BY word_idx) AS l FROM words WHERE NOT (doc_id % 7 = 0 AND word_idx = 1) GROUP BY 1, 2)
@@ -198,9 +197,11 @@ def f53_json_in_text(spark, sf):
 @query("v11_unknown_keys", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'extra' ELSE '' END AS unexpected, CASE WHEN event_id % 3 = 0 THEN 'k' ELSE '' END AS missing FROM events")
 def v11_unknown_keys(spark, sf):
     """Keys that a configuration has too many or too few."""
+    from spanloom.operators import checks
+
     keys = F.filter(F.array(F.when(F.col("event_id") % 3 != 0, "k"), F.when(F.col("event_id") % 2 == 0, "extra")), lambda x: x.isNotNull())
-    allowed = F.array(F.lit("k"))
-    return table(spark, sf, "events").select("event_id", F.array_join(F.array_except(keys, allowed), ",").alias("unexpected"), F.array_join(F.array_except(allowed, keys), ",").alias("missing"))
+    d = checks.key_differences(keys, ("k",))
+    return table(spark, sf, "events").select("event_id", F.array_join(d["unexpected"], ",").alias("unexpected"), F.array_join(d["missing"], ",").alias("missing"))
 
 
 @query("g8_rebalanced")

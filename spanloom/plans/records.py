@@ -500,8 +500,8 @@ def d6_widened(spark, sf):
 @query("u2_key_differences", "SELECT c_custkey AS k, 'missing' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
 def u2_key_differences(spark, sf):
     """Keys of one side that the other lacks, both ways."""
-    c, o = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).distinct()
-    return c.join(o, "k", "left_anti").select("k", F.lit("missing").alias("side")).unionByName(o.join(c, "k", "left_anti").select("k", F.lit("unexpected").alias("side")))
+    c, o = table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
+    return store.key_sets_compared(c, o, "k")
 
 
 @query("k13_export_pairs", """WITH o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY at_s DESC, artifact_id DESC) AS n FROM artifacts),

@@ -51,10 +51,11 @@ def project_states(events: DataFrame) -> DataFrame:
 
     def step(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now, progress, n = state.get if state.exists else ("waiting", 0.0, 0)
-        for row in pd.concat(list(parts)).sort_values("seq").itertuples():
-            if now == "cancelled":
-                break
-            now, progress, n = row.event, max(progress, float(row.progress)), n + 1
+        if now != "cancelled":
+            rows = pd.concat(list(parts)).sort_values("seq")
+            # What stands behind the first cancel no longer counts.
+            rows = rows[(rows["event"] == "cancelled").cumsum().shift(fill_value=0) == 0]
+            now, progress, n = rows["event"].iloc[-1], max(progress, float(rows["progress"].max())), n + len(rows)
         state.update((now, progress, n))
         yield pd.DataFrame([(key[0], now, progress, n)], columns=_OUT.names)
 
