@@ -4,7 +4,8 @@ A byte-level BPE vocabulary of this kind cuts a text by a fixed pattern before i
 pattern never joins what stands before a blank to the blank and the non-white-space character
 after it. So a text is the concatenation of its parts between such blanks, and each part has the
 same ids wherever it stands. Parts seen before come from a cache; new ones are cut by the pattern
-and go through the tokenizers library's merges. The cache is emptied at a fixed size.
+and go through the tokenizers library's merges. The cache is emptied at a fixed size. A text that
+holds one of the vocabulary's added tokens as a string is not cut: it goes to the library as it is.
 """
 
 from __future__ import annotations
@@ -51,9 +52,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cut = regex.compile(public_tokenizers.PATTERN).findall
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.holds_added = re.compile("|".join(map(re.escape, added)), re.I).search if added else lambda t: None
         self.letters = byte_letters()
         self.pack = {n: struct.Struct(f"<{n}{'H' if self.dtype.itemsize == 2 else 'I'}").pack for n in range(1, 65)}
         self.cache = cache
@@ -129,8 +131,9 @@ class Encoder:
         """Ids of each text; a null text has none."""
         if len(self.parts) > self.cache:
             self.parts.clear()
+        whole = {i: t for i, t in enumerate(texts) if t and self.holds_added(t)}
         # What stands first has no blank before it and goes by itself.
-        rows = [self.split(t) if t else [""] for t in texts]
+        rows = [self.split(t) if t and i not in whole else [""] for i, t in enumerate(texts)]
         firsts = self.tokenizer.encode_batch_fast([r[0] for r in rows], add_special_tokens=False)
         known = self.parts.get
         found = [list(map(known, r[1:])) for r in rows]
@@ -140,4 +143,6 @@ class Encoder:
                 f = [x if x is not None else known(p) or learn(p) for p, x in zip(r[1:], f)]
             head = np.array(first.ids, self.dtype).tobytes() if r[0] else b""
             out.append(np.frombuffer(head + b"".join(f), self.dtype))
+        for i, t in whole.items():
+            out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.dtype)
         return out

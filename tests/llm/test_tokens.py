@@ -1,19 +1,22 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from spanloom.llm import packing, tokenfile
 from spanloom.llm.queries import op2_token_planes, op6_min_bin_slack
 from spanloom.llm.tokens import Encoder, vocabulary_json
 
 ENCODER = Encoder(vocabulary_json(), cache=50)
+PLAIN = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def plain(texts):
-    return [e.ids for e in ENCODER.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return [e.ids for e in PLAIN.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 @settings(max_examples=300, deadline=None)
@@ -22,8 +25,14 @@ def test_cached_ids_are_the_tokenizers(texts):
     assert [x.tolist() for x in ENCODER.encode(texts)] == plain(texts)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endo", "ftext|>", " ", "\n", "a", " b", "é", "中"]), max_size=8).map("".join))
+def test_added_tokens_in_texts(text):
+    assert ENCODER.encode([text, "a b"])[0].tolist() == plain([text])[0]
+
+
 def test_ids_of_the_tables(spark, sf):
-    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [None, "", " ", "  a", "a  ", "<|endoftext|> x"]
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [None, "", " ", "  a", "a  ", "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|>y  <|endoftext|>", "<|ENDOFTEXT|> z", "a <|endof text|> b"]
     assert [x.tolist() for x in ENCODER.encode(texts)] == plain(texts)
 
 
