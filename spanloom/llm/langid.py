@@ -10,12 +10,12 @@ the wanted share of right answers there.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +23,9 @@ from spanloom.llm.common import slices
 
 BUCKETS, DIM, GRAMS = 1 << 14, 16, (2, 3, 4)
 SEGMENT = 400
-#: Bound of the training sample: rows for each language.
-MAX_PER_LANGUAGE = 1_500
-_LETTER = re.compile(r"[^\W\d_]").search
+#: Bounds of the training sample: rows for each language, rows in all, random segments for each row.
+MAX_PER_LANGUAGE, MAX_ROWS, MAX_SEGMENTS = 1_500, 12_000, 12
+_LETTER = regex.compile(r"\p{L}").search
 #: Bytes that separate words: all below 0x80 but a-z (texts are lower-cased first).
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -102,18 +102,21 @@ def _counts(rows: list[np.ndarray]) -> np.ndarray:
     return x
 
 
-def fit(texts: list[str], langs: list[str], steps: int = 500, batch: int = 64, rate: float = 20.0, keep: float = 0.995, seed: int = 3) -> Model:
-    """SGD on random segments; every tenth text is left out for temperature and threshold."""
+def picked(text: str, seed: int, most: int = MAX_SEGMENTS) -> list[bytes]:
+    """At most ``most`` random segments of a whole text; none without a letter."""
+    parts = list(segments(text)) if has_letter(text) else []
+    return [parts[i].tobytes() for i in np.random.default_rng(seed).permutation(len(parts))[:most]]
+
+
+def fit(rows: list[list[bytes]], langs: list[str], steps: int = 500, batch: int = 64, rate: float = 20.0, keep: float = 0.995, seed: int = 3) -> Model:
+    """SGD on the rows' segments; every tenth row is left out for temperature and threshold, all its segments counting."""
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     rnd = np.random.default_rng(seed)
     train, held = [], []
-    for i, (t, lang) in enumerate(zip(texts, langs)):
-        if has_letter(t):
-            parts = list(segments(t))
-            picks = rnd.permutation(len(parts))[:12]
-            (held if i % 10 == 9 else train).extend((parts[k], names.index(lang)) for k in picks)
+    for i, (parts, lang) in enumerate(zip(rows, langs)):
+        (held if i % 10 == 9 else train).extend((np.frombuffer(x, np.uint8), names.index(lang)) for x in parts)
     k = len(names)
     emb = rnd.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     layer, bias = rnd.normal(0, 0.3, (DIM, k)).astype(np.float32), np.zeros(k, np.float32)
@@ -136,8 +139,8 @@ def fit(texts: list[str], langs: list[str], steps: int = 500, batch: int = 64, r
             emb -= lr * (x.T @ down)
     model = Model(names, (emb @ layer).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if held:
-        z = np.array([model.logits(s) for s, _ in held[:4000]])
-        y = np.array([c for _, c in held[:4000]])
+        z = np.array([model.logits(s) for s, _ in held])
+        y = np.array([c for _, c in held])
         grid = np.geomspace(0.2, 10, 60)
         loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(loss))])
@@ -148,9 +151,12 @@ def fit(texts: list[str], langs: list[str], steps: int = 500, batch: int = 64, r
     return model
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", learn: F.Column | None = None, per_language: int = MAX_PER_LANGUAGE) -> Model:
-    """Fit on at most ``per_language`` rows of each language, picked by the hash of their keys.
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", learn: F.Column | None = None, per_language: int = MAX_PER_LANGUAGE, max_rows: int = MAX_ROWS, max_segments: int = MAX_SEGMENTS) -> Model:
+    """Fit on at most ``max_segments`` segments of at most ``per_language`` rows of each language, ``max_rows`` in all.
 
+    Rows are picked by the hash of their keys, one for a key that repeats; segments by a seed from
+    the key. What reaches the driver is bounded by the three parameters, whatever the rows and
+    however long their texts. Beyond ``max_rows`` languages, those with most rows are learnt.
     ``learn``: a condition on the column k, the key. Null keys, texts and languages are not learnt.
     """
     from pyspark.sql.window import Window
@@ -158,21 +164,35 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("y"))
     src = src.where("k is not null and t is not null and y is not null")
     src = src.where(learn) if learn is not None else src
-    # One random number per row; per language, those below the bound's share, then the least of them.
-    sizes = src.groupBy("y").agg(F.count(F.lit(1)).alias("n"))
-    unit = (F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    picked = src.select("k", "y").join(F.broadcast(sizes), "y").withColumn("u", unit).where(F.col("u") <= 2.0 * per_language / F.col("n"))
+    # One random number per key; per language, those below the bound's share, then the least of them.
+    sizes = src.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(max_rows)
+    known = sizes.count()
+    most = max(1, min(per_language, max_rows // max(1, known)))
+    unit = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = src.join(F.broadcast(sizes), "y").withColumn("u", unit).where(F.col("u") <= 2.0 * most / F.col("n"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                made = [picked(t, s, max_segments) for t, s in zip(part.column(2).to_pylist(), part.column(4).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(made, pa.list_(pa.binary()))], ["k", "y", "u", "parts"])
+
+    kind = src.schema["k"].dataType.simpleString()
+    cut = near.select("k", "y", "t", "u", F.pmod(F.xxhash64("k", "t"), F.lit(1 << 31)).alias("s")).mapInArrow(read, f"k {kind}, y string, u double, parts array<binary>")
+    once = cut.groupBy("k", "u").agg(F.min(F.struct("y", "parts")).alias("x")).select("k", "u", "x.*")
     order = Window.partitionBy("y").orderBy("u", "k")
-    picked = picked.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_language).select("k", "y")
-    rows = src.join(F.broadcast(picked), ["k", "y"]).select("k", "t", "y").orderBy("k", "t").collect()
-    return fit([r["t"] for r in rows], [r["y"] for r in rows])
+    rows = once.withColumn("i", F.row_number().over(order)).where(F.col("i") <= most).orderBy("k").select("y", "parts").collect()
+    return fit([[bytes(x) for x in r["parts"]] for r in rows], [r["y"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, accepted) from whole texts.
 
-    lang_pred is 'und', with score 0, if the text is null or has no letter, or no language was
-    learnt; otherwise the likeliest learnt language. accepted: the calibrated rejection.
+    lang_pred is 'und', with score 0, if the text is null or has no letter (Unicode category L), or
+    no language was learnt; otherwise the likeliest learnt language, the first by name of equals.
+    accepted: the calibrated rejection. Repeated rows are predicted alike; null keys stay; an empty
+    table gives an empty result; other columns, whatever their names, are ignored. A very long text
+    is read whole, a bounded number of subwords at a time.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the input
