@@ -17,11 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import range_ids, shuffle_partitions, slices
-from spanloom.llm.simhash import likeness, pack_bits, vote_sums, within_radius
+from spanloom.llm.common import looked_up, range_ids, shuffle_partitions, slices, written
+from spanloom.llm.simhash import block_bounds, block_tables, likeness, pack_bits, vote_sums, within_radius
 
 WORDS = 4
 LONG_WORD, CUT, WEIGHT_CAP = 24, 8, 12
+#: Radius of the counting search: eight tables of 32 bits.
+NEAR = 7
+#: Blocks of queries that are broadcast to leave out blocks that no query has; more of them are shuffled.
+MOST_BROADCAST = 500_000
 #: Odd multipliers that spread one 64-bit term hash over the words of the fingerprint.
 _SPREAD = np.array([xxhash.xxh64_intdigest(f"word {i}", 7) | 1 for i in range(WORDS)], np.uint64)
 
@@ -77,6 +81,91 @@ def search(prints: DataFrame, queries: DataFrame, key: str = "doc_id", radius: i
     return near.join(left, [f"q_{n}" for n in names]).join(prints, names).select(f"q_{key}", key, "distance")
 
 
+def near_counts(q: np.ndarray, d: np.ndarray, n: np.ndarray, table: int, radius: int, most: int = 1 << 18) -> np.ndarray:
+    """For each query (rows of uint64 words) the sum of ``n`` of the rows of ``d`` within ``radius`` bits that first agree with it in block ``table``."""
+    out = np.zeros(len(q), np.int64)
+    bounds = block_bounds(64 * q.shape[1], radius + 1)[: table + 1]
+    for i in range(0, len(d), step := max(1, most // max(1, len(q)))):
+        x = q[:, None, :] ^ d[None, i : i + step, :]
+        a, b = np.nonzero(np.bitwise_count(x).sum(axis=2) <= radius)
+        bits = np.unpackbits(x[a, b].view(np.uint8), axis=1, bitorder="little")
+        agree = np.stack([~bits[:, at : at + width].any(axis=1) for at, width in bounds], 1)
+        keep = agree[:, table] & ~agree[:, :table].any(axis=1)
+        np.add.at(out, a[keep], n[i + b[keep]])
+    return out
+
+
+def counted_within(prints: DataFrame, queries: DataFrame, radius: int = NEAR) -> DataFrame:
+    """(w0 .. w3, n_within): for each distinct query fingerprint, the rows of ``prints`` within ``radius`` bits.
+
+    Distinct fingerprints meet through the permuted block tables. A pair is counted at the first
+    table in which it meets, inside its bucket: what leaves a bucket is a number for each query, so
+    no pair becomes a row, however large a group of near copies. A bucket's queries stand before
+    its other rows, which are streamed past them; rows of a very large bucket are dealt over several
+    tasks, each with the bucket's queries. Null fingerprints match nothing; empty frames give none.
+    """
+    names = [f"w{i}" for i in range(WORDS)]
+    known = written(prints.select(*names).dropna().groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "prints")
+    bucket = F.xxhash64("table", "block").alias("bucket")
+    asked = written(block_tables(queries.select(*names).dropna().distinct(), names, radius).select(bucket, "table", *names), "asked")
+    wanted = asked.select("bucket").distinct()
+    if asked.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    rows = written(block_tables(known, names, radius).select(bucket, "table", *names, "n").join(wanted, "bucket", "left_semi"), "met")
+    parts = shuffle_partitions(prints.sparkSession)
+    cap = max(1_000, 2 * rows.count() // parts)
+    hot = rows.groupBy("bucket").count().where(F.col("count") > cap).select("bucket", F.ceil(F.col("count") / F.lit(cap)).cast("int").alias("parts"))
+    hot = F.broadcast(written(hot, "hot-buckets"))  # half the partitions at most
+    dealt = rows.join(hot, "bucket", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*names), F.col("parts")).cast("int"), F.lit(0)))
+    sent = asked.join(hot, "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).withColumn("n", F.lit(None).cast("long"))
+    columns = ["bucket", "part", "table", *names, "n"]
+    both = sent.select(*columns).unionByName(dealt.select(*columns)).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "table", F.asc_nulls_first("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, q, found = None, np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64)
+
+        def done():
+            hit = found > 0
+            return pa.RecordBatch.from_arrays([*(pa.array(q[hit, i].view(np.int64)) for i in range(WORDS)), pa.array(found[hit])], [*names, "n"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], 1)
+            words = np.stack([batch.column(3 + i).to_numpy() for i in range(WORDS)], 1).view(np.uint64)
+            query = batch.column(7).is_null().to_numpy(zero_copy_only=False)
+            n = batch.column(7).fill_null(0).to_numpy()
+            begins = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            for a, b in zip(begins, [*begins[1:], len(keys)]):
+                if key != tuple(keys[a]):
+                    if len(q):
+                        yield done()
+                    key, q, found = tuple(keys[a]), np.zeros((0, WORDS), np.uint64), np.zeros(0, np.int64)
+                cut = a + int(query[a:b].sum())
+                if cut > a:
+                    q, found = np.concatenate([q, words[a:cut]]), np.concatenate([found, np.zeros(cut - a, np.int64)])
+                if len(q) and cut < b:
+                    found = found + near_counts(q, words[cut:b], n[cut:b], int(keys[a, 2]), radius)
+        if len(q):
+            yield done()
+
+    return both.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("n_within"))
+
+
+def with_counts(made: DataFrame, asked: F.Column, radius: int = NEAR) -> DataFrame:
+    """The written rows (.., w0 .. w3) with n_within: rows within ``radius`` bits, itself included, where ``asked`` holds; else, and without a fingerprint, null."""
+    names = [f"w{i}" for i in range(WORDS)]
+    asked = F.coalesce(asked, F.lit(False)) & F.concat(*[F.col(n).cast("string") for n in names]).isNotNull()
+    mine = made.where(asked)
+    found = written(counted_within(made, mine, radius).select(F.xxhash64(*names).alias("__f"), F.struct(*names).alias("__w"), "n_within"), "within")
+    # Two fingerprints with one 64-bit hash are told apart by the words themselves.
+    lists = found.groupBy("__f").agg(F.collect_list(F.struct("__w", "n_within")).alias("__l"))
+    joined = looked_up(mine.withColumn("__f", F.xxhash64(*names)), written(lists, "within-lists"), "__f")
+    hit = F.filter("__l", lambda x: (x["__w"]["w0"] == F.col("w0")) & (x["__w"]["w1"] == F.col("w1")) & (x["__w"]["w2"] == F.col("w2")) & (x["__w"]["w3"] == F.col("w3")))
+    out = joined.withColumn("n_within", hit[0]["n_within"]).select(*made.columns, "n_within")
+    return out.unionByName(made.where(~asked).withColumn("n_within", F.lit(None).cast("long")))
+
+
 def edited(text: str, following: str) -> str:
     """The last third (floored, in code points) replaced by as many from the start of ``following``."""
     n = len(text) // 3
@@ -88,7 +177,9 @@ def edit_probe(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     (key, n_chars, edited_sha256, w0 .. w3, e0 .. e3, near_edited, near_next). The last key is
     followed by the first; a lone row by itself. Equal keys are ordered by text, descending; null
-    keys come last; a null text is empty. Texts move once: to key ranges, sorted. A range's last
+    keys come last; a null text is empty, and an empty one has fingerprint zero. Repeated rows follow
+    one another; an empty table gives an empty result; other columns, whatever their names, are
+    ignored; a very long text votes in bounded parts. Texts move once: to key ranges, sorted. A range's last
     row needs the first text of the range after it, which is sent along as one more row of the
     range; there are as many of those as ranges.
     """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, fingerprint, langid, neardup, packing, quality, spans, tokenfile, toxicity, urlfilter
-from spanloom.llm.common import fold
+from spanloom.llm.common import fold, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,13 +115,14 @@ def op7_subword_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts."""
-    made = fingerprint.edit_probe(table(spark, sf_dir, "documents"))
-    return made.select("doc_id", "n_chars", "edited_sha256", fingerprint.hex_of("w").alias("fingerprint"), fingerprint.hex_of("e").alias("edited_fingerprint"), "near_edited", "near_next")
+    """Fingerprints of all documents and of their edited texts; n_within: documents within 7 bits, asked for ids divisible by 20."""
+    probe = written(fingerprint.edit_probe(table(spark, sf_dir, "documents")), "probe", compression="zstd")
+    made = fingerprint.with_counts(probe, F.col("doc_id") % 20 == 0)
+    return made.select("doc_id", "n_chars", "edited_sha256", fingerprint.hex_of("w").alias("fingerprint"), fingerprint.hex_of("e").alias("edited_fingerprint"), "near_edited", "near_next", "n_within")
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents' texts without the sentence spans that an earlier document has."""
+    """All documents' texts without the sentence spans (two units and 20 words at least) that an earlier document has; shorter repeated lines stay."""
     return spans.drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

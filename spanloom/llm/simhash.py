@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
-def vote_sums(hashes: np.ndarray, weights: np.ndarray | None = None, rows: int = 1 << 16) -> np.ndarray:
+def vote_sums(hashes: np.ndarray, weights: np.ndarray | None = None, rows: int = 1 << 12) -> np.ndarray:
     """Weight of the hashes that have each bit set, lowest bit first.
 
     ``hashes``: uint64, shape (n,) for 64 bits or (n, k) for 64 k bits. Works on histograms of
