@@ -4,7 +4,8 @@ Dated list entries (entry, action, day; action 'add' or 'remove') become validit
 [since, until). An entry is a host and covers its subdomains. Every capture is held against the
 entries that were active at its fetch day, an as-of join: hosts meet the list once each, by their
 suffixes, and carry their intervals, sorted, to their captures; so a host with a third of all
-captures still has one row on the list's side, and no capture is multiplied.
+captures still has one row on the list's side, sent to each of the tasks its captures are dealt
+over, and no capture is multiplied.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.llm.common import looked_up, written
+
+#: Listed entries that are broadcast to the hosts' suffixes; more of them are shuffled.
+MOST_BROADCAST = 100_000
 #: Scheme, optional user, host; of an absolute URL.
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 FOREVER = "9999-12-31"
@@ -42,18 +47,27 @@ def active_entries(captures: DataFrame, entries: DataFrame, key: str = "page_id"
     """(key, host, fetched, blocked, entry, since): a row for each capture.
 
     entry, since: the most specific active entry and the start of its interval; null if none. A
-    null or malformed URL has host '' and, like a null day, is never blocked. Repeated captures
-    are kept; other columns are ignored.
+    null or malformed URL has host '' and, like a null day, is never blocked. Of entries that both
+    match, the longer one counts, of its intervals the one that holds the day. Repeated captures are
+    kept; empty tables give no or unblocked rows; other columns, whatever their names, are ignored; a
+    very long URL is read up to its host's end.
     """
     rows = captures.select(F.col(key).alias("k"), F.coalesce(host_of(F.col(url).cast("string")), F.lit("")).alias("host"), F.col(day).cast("date").alias("fetched"))
     hosts = rows.select("host").distinct().where("host <> ''")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    known = hosts.select("host", F.explode(suffixes).alias("entry")).join(intervals(entries), "entry")
+    # One row for each entry, so that a suffix of very many hosts ('com') meets one row at most.
+    by_entry = written(intervals(entries).groupBy("entry").agg(F.collect_list(F.struct("since", "until")).alias("spells")), "entries")
+    spread = hosts.select("host", F.explode(suffixes).alias("entry"))
+    if by_entry.count() <= MOST_BROADCAST:
+        known = spread.join(F.broadcast(by_entry), "entry")
+    else:
+        known = looked_up(written(spread.join(by_entry.select("entry"), "entry", "left_semi"), "suffixes"), by_entry, "entry")
+    known = known.select("host", "entry", F.explode("spells").alias("x"))
     # Longest entry first, then latest start: the first active one is the answer.
-    best = F.array_sort(F.collect_list(F.struct((-F.length("entry")).alias("order"), F.col("entry"), "since", "until")))
-    by_host = known.groupBy("host").agg(best.alias("list"))
-    joined = rows.join(by_host, "host", "left")
+    best = F.array_sort(F.collect_list(F.struct((-F.length("entry")).alias("order"), F.col("entry"), F.col("x.since").alias("since"), F.col("x.until").alias("until"))))
+    by_host = written(known.groupBy("host").agg(best.alias("list")), "hosts")
+    joined = looked_up(rows, by_host, "host", "left")
     hit = F.filter("list", lambda x: (x["since"] <= F.col("fetched")) & (F.col("fetched") < x["until"]))
     out = joined.withColumn("hit", F.get(hit, F.lit(0)))
     return out.select(F.col("k").alias(key), "host", "fetched", F.col("hit").isNotNull().alias("blocked"), F.col("hit.entry").alias("entry"), F.col("hit.since").alias("since"))
