@@ -18,13 +18,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import connected_components, slices, written
+from spanloom.llm.common import connected_components, looked_up, salted, settled, slices, written
 from spanloom.llm.simhash import pack_bits, vote_sums
 
 RADIUS = 3
@@ -195,21 +194,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Null and wordless texts have fingerprint 0 and are linked like any other. Repeated rows are
     kept; a row with a null key gets its group's least key, or null if the group has none. An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns, whatever their names, are ignored; a very long
+    text votes in bounded parts.
     """
+    return settled(docs.sparkSession, "near-duplicates", lambda: _near_duplicates(docs, key, text, shingle, radius, bucket_cap))
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str, shingle: int, radius: int, bucket_cap: int) -> DataFrame:
     each = written(fingerprints(docs, key, text, shingle).select(F.col(key).alias("k"), "fp", "pivots"), "fingerprints")
     distinct = written(each.groupBy("fp").agg(F.min("k").alias("least"), F.first("pivots").alias("pivots")), "distinct")
     roots = connected_components(links(distinct, radius, bucket_cap))
-    known = distinct.select("fp", "least").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    known = written(known.select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    whole = known.groupBy("root").agg(F.min("least").alias("component"))
-    by_fp = known.select("fp", "root").join(whole, "root").select("fp", "component")
-    return each.select("k", "fp").join(by_fp, "fp").select(F.col("k").alias(key), "fp", "component")
+    by_fp = with_component(distinct.select("fp", "least"), roots.select(F.col("node").alias("fp"), "root"), "fp")
+    return looked_up(each.select("k", "fp"), by_fp, "fp").select(F.col("k").alias(key), "fp", "component")
+
+
+def with_component(distinct: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """(node, component), written, of (node, least) and the (node, root) of those that have links: the least key of each root's nodes.
+
+    Only linked nodes are grouped; a giant component's nodes are dealt over several tasks.
+    """
+    members = distinct.join(roots, node).select(node, "least", "root")
+    whole = members.groupBy("root").agg(F.min("least").alias("component"))
+    alone = distinct.join(roots, node, "left_anti").select(node, F.col("least").alias("component"))
+    return written(salted(members, whole, "root").select(node, "component").unionByName(alone), "by-node")
 
 
 #: Fingerprints of one text in the similarity mode, bits of the fingerprint that verifies, and how
 #: far beyond the expected number of differing bits (in standard deviations) a pair still links.
 TABLES, CHECK_WORDS, SLACK = 8, 4, 1.0
+#: How much below the similarity a SimHash link may be for all that the sketches tell.
+LOOSE = 0.1
 _SPREAD = np.array([xxhash.xxh64_intdigest(f"table {i}", 11) | 1 for i in range(TABLES)], np.uint64)
 
 
@@ -241,6 +255,11 @@ def wide_fingerprints(text: str | None, shingle: int = 5) -> tuple[np.ndarray, n
     return finds, pack_bits(vote_sums(_spread(many, CHECK_WORDS)) * 2 > len(many))
 
 
+def _word(column: str, i: int) -> F.Column:
+    """The i-th eight bytes of a binary column as a number (any order of bytes serves to compare two)."""
+    return F.conv(F.hex(F.substring(column, 8 * i + 1, 8)), 16, -10).cast("long")
+
+
 def bit_limit(similarity: float, bits: int, slack: float = SLACK) -> int:
     """Differing bits of ``bits`` that two texts of this shingle similarity (Jaccard) have, and ``slack`` deviations more."""
     p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
@@ -281,6 +300,29 @@ def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndar
     return np.r_[hashes[~late], hashes[late]][:most].astype(np.uint32).view(np.int32)
 
 
+def sketch(hashes: np.ndarray) -> bytes:
+    """Parities of a set's counts by the low bits of its hashes, two to four times as many bits as the set has members.
+
+    Two sets' sketches differ in no more bits than the sets have members apart, so that the
+    difference bounds their similarity from above, whatever the sets.
+    """
+    bits = max(64, 2 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
+    """False only if the sketches prove that sets of n and m members have less than the similarity."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y, size = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(a)
+    while size > 8 * len(b):
+        size //= 2
+        x = (x >> size) ^ (x & ((1 << size) - 1))
+    shared = (n + m - (x ^ y).bit_count()) / 2
+    return shared * (1 + similarity) >= similarity * (n + m) - EPS
+
+
 #: One text in SAMPLE is looked at for shingles that stand in at least COMMON of those; at most COMMON_MOST
 #: are kept. They only set the order of shingles, so the result does not depend on them.
 SAMPLE, COMMON, COMMON_MOST = 64, 8, 1 << 17
@@ -337,11 +379,24 @@ def crossing_pairs(token: np.ndarray, pos: np.ndarray, size: np.ndarray, node: n
     return pairs[:, 0], pairs[:, 1]
 
 
+def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` that the sketches in ``sets`` (node, sketch, size) do not rule out."""
+
+    @F.arrow_udf("boolean")
+    def may(a: pa.Array, b: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array([may_be_similar(*x, similarity) for x in zip(*(c.to_pylist() for c in (a, b, n, m)))], pa.bool_())
+
+    small = sets.select("node", "sketch", "size")
+    met = pairs.join(small.toDF("u", "a", "n"), "u").join(small.toDF("v", "b", "m"), "v")
+    return met.where(may("a", "b", "n", "m")).select("u", "v")
+
+
 def similar_pairs(sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v): every pair of nodes under different roots whose shingle sets have the similarity, and no other.
 
-    sets: (node, th, size, prefix, root), one row a node; texts: (th, t), a text's hash and the text.
-    Nodes meet by the tokens of their prefixes; the pairs left are verified on their texts.
+    sets: (node, th, size, prefix, sketch, root), one row a node; texts: (th, t), a text's hash and
+    the text. Nodes meet by the tokens of their prefixes. Of the pairs that meet, the sketches rule
+    out nearly all that are not similar, and no other; the few left are verified on their texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,15 +416,17 @@ def similar_pairs(sets: DataFrame, texts: DataFrame, shingle: int, similarity: f
 
     rows = sets.select(F.posexplode("prefix").alias("pos", "token"), "size", "node", "root").select("token", "pos", "size", "node", "root")
     pairs = written(rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "u long, v long").distinct(), "pairs")
+
+    pairs = written(likely(pairs, sets, similarity), "likely-pairs")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     needed = written(sets.join(nodes, "node", "left_semi").select("node", "th"), "pair-nodes")
     if needed.count() <= 1 << 18:
         needed = F.broadcast(needed)
     found = written(texts.join(needed, "th").groupBy("node").agg(F.first("t").alias("t")), "pair-texts")
 
-    @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([jaccard(shingle_set(x, shingle), shingle_set(y, shingle)) >= similarity for x, y in zip(a, b)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([jaccard(shingle_set(x.as_py(), shingle), shingle_set(y.as_py(), shingle)) >= similarity for x, y in zip(a, b)], pa.bool_())
 
     both = pairs.join(found.toDF("u", "a"), "u").join(found.toDF("v", "b"), "v")
     return both.where(alike("a", "b")).select("u", "v")
@@ -379,13 +436,18 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
     """(key, node, component): groups of texts whose shingle sets are similar; the least key of each.
 
     First a pair within RADIUS bits in any of TABLES fingerprints, found through pivot distance
-    tables, links by CHECK_WORDS x 64 bits over the shingles; that joins most copies at little cost,
-    and with them some pairs somewhat below the similarity, but misses others. Then every pair that
+    tables, links by CHECK_WORDS x 64 bits over the shingles, unless the sketches show it to be more
+    than LOOSE below the similarity; that joins most copies at little cost, and with them some pairs
+    somewhat below the similarity, but misses others. Then every pair that
     is still apart and has the similarity by its exact shingle sets is found and linked
     (``similar_pairs``). Nulls and wordless texts are equal to each other; null keys never are the
-    least; an empty table gives an empty result.
+    least; repeated rows are in one group; an empty table gives an empty result; other columns,
+    whatever their names, are ignored.
     """
+    return settled(docs.sparkSession, "groups", lambda: _similar_groups(docs, key, text, shingle, similarity, bucket_cap))
+
 
+def _similar_groups(docs: DataFrame, key: str, text: str, shingle: int, similarity: float, bucket_cap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         refs = pivots()
         for batch in batches:
@@ -396,23 +458,27 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
                 sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
                 node = [xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes() + s.tobytes(), 42) for m, s in zip(made, sets)]
                 first = [prefix(s, common, similarity) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([r.tobytes() for r in table], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary()), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int32()))], ["k", "node", "fps", "tables", "check", "th", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(fp.view(np.int64).tolist(), pa.list_(pa.int64())), pa.array([r.tobytes() for r in table], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary()), part.column(2), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array([sketch(s) for s in sets], pa.binary())], ["k", "node", "fps", "tables", "check", "th", "size", "prefix", "sketch"])
 
     src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).withColumn("th", F.xxhash64("t"))
     common = common_shingles(src, shingle)
-    each = written(src.mapInArrow(run, "k long, node long, fps array<long>, tables binary, check binary, th long, size int, prefix array<int>"), "wide")
-    distinct = written(each.groupBy("node").agg(F.min("k").alias("least"), *[F.first(c).alias(c) for c in ("fps", "tables", "check", "th", "size", "prefix")]), "wide-distinct")
+    each = written(src.mapInArrow(run, "k long, node long, fps array<long>, tables binary, check binary, th long, size int, prefix array<int>, sketch binary"), "wide")
+    distinct = written(each.groupBy("node").agg(F.min("k").alias("least"), *[F.first(c).alias(c) for c in ("fps", "tables", "check", "th", "size", "prefix", "sketch")]), "wide-distinct")
     n = PIVOTS
     parts = distinct.select("node", "check", "tables", F.posexplode("fps").alias("salt", "fp"))
     parts = parts.select("node", "check", "salt", "fp", F.expr(f"substring(tables, salt * {n} + 1, {n})").alias("pivots"))
     limit = bit_limit(similarity, 64 * CHECK_WORDS)
-    edges = written(links(parts, RADIUS, bucket_cap, limit), "edges")
-    roots = connected_components(edges)
-    sets = distinct.join(roots, "node", "left").select("node", "th", "size", "prefix", F.coalesce("root", "node").alias("root"))
-    apart = written(similar_pairs(sets, src.select("th", "t"), shingle, similarity), "similar-pairs")
+    # One row for each fingerprint, so that no bucket of the last level can exceed its bound; the
+    # other texts under a fingerprint are held against that row's. What this leaves apart, the
+    # exact pass finds.
+    first = F.min(F.struct("node", "check"))
+    heads = written(parts.groupBy("salt", "fp").agg(first.alias("x"), F.first("pivots").alias("pivots"), F.count(F.lit(1)).alias("n")).select("salt", "fp", "pivots", "x.*", "n"), "heads")
+    same = parts.join(heads.where("n > 1").select("salt", "fp", F.col("node").alias("v"), F.col("check").alias("vc")), ["salt", "fp"]).where("node <> v")
+    bits = sum((F.bit_count(_word("check", i).bitwiseXOR(_word("vc", i))) for i in range(CHECK_WORDS)), F.lit(0))
+    edges = links(heads.drop("n"), RADIUS, bucket_cap, limit).unionByName(same.where(bits <= limit).select(F.col("node").alias("u"), "v"))
+    roots = connected_components(likely(written(edges.distinct(), "edges"), distinct, similarity - LOOSE))
+    sets = distinct.join(roots, "node", "left").select("node", "th", "size", "prefix", "sketch", F.coalesce("root", "node").alias("root"))
+    apart = written(similar_pairs(written(sets, "sets"), src.select("th", "t"), shingle, similarity), "similar-pairs")
     roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(apart))
-    known = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    known = written(known, "wide-roots")
-    whole = known.groupBy("root").agg(F.min("least").alias("component"))
-    by_node = known.select("node", "root").join(whole, "root").select("node", "component")
-    return each.select("k", "node").join(by_node, "node").select(F.col("k").alias(key), "node", "component")
+    by_node = with_component(distinct.select("node", "least"), written(roots, "roots"), "node")
+    return looked_up(each.select("k", "node"), by_node, "node").select(F.col("k").alias(key), "node", "component")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.llm.common import scratch, slices
+from spanloom.llm.common import scratch, slices, write
 from spanloom.llm.tokens import CACHE, Encoder, vocabulary_json
 
 SIZE = 1024
@@ -133,7 +133,7 @@ def write_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", end_i
     kind = pa.int64()
     src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     path = scratch(spark, "pieces")
-    src.mapInArrow(run, "k long, piece int, start long, length int, ids binary, number long, width int, shard int").write.option("compression", "zstd").parquet(path)
+    write(src.mapInArrow(run, "k long, piece int, start long, length int, ids binary, number long, width int, shard int"), path, compression="zstd")
     return path
 
 
@@ -145,7 +145,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int =
 
     Without ``as_ids``, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) is taken
     from the written pieces and stands for ids and width, so that no ids are shuffled. A null text is empty and has one piece, the end id. Repeated rows are packed as often as they
-    occur; null keys stay null. An empty table gives an empty result. Sequences are gapless from 0.
+    occur; null keys stay null; equal lengths are placed in the order of their shards and rows. An
+    empty table gives an empty result; other columns, whatever their names, are ignored; a very long
+    text is encoded whole and cut. Sequences are gapless from 0.
     """
     spark = docs.sparkSession
     path = write_pieces(docs, key, text, end_id, size, vocabulary)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, written
+from spanloom.llm.common import least_by_hash, slices, written
 
 LABELLERS = ("signs", "capitals", "shouting", "repeated_words", "repeated_lines", "tables", "digits", "sentences", "word_length")
 #: Rows that the scorer is fitted on, for each side of the posterior.
@@ -202,7 +202,7 @@ class Model:
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """A model from the table of ``weak_labels``: patterns of all rows, the scorer from at most ``max_rows`` rows a side.
 
-    Those rows are the least by the hash of their keys; a key that repeats takes no more than the bound.
+    Those rows are the least by the hash of their keys, one for a key that repeats.
     """
     # At most 3 ** labellers patterns.
     patterns = {r["pattern"]: r["n"] for r in labelled.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -214,8 +214,8 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows, soft = [], []
     for good in (True, False):
         side = [p for p, x in known.items() if (x >= 0.5) == good]
-        order = (F.xxhash64("k"), "k", "pattern", "a", "c")
-        for r in labelled.where(F.col("pattern").isin(side) & F.col("k").isNotNull()).orderBy(*order).limit(max_rows).collect():
+        total = sum(patterns[p] for p in side)
+        for r in least_by_hash(labelled.where(F.col("pattern").isin(side)), max_rows, total).collect():
             rows.append((np.frombuffer(r["a"], "<u2").astype(np.int64), values(np.frombuffer(r["c"], "<u4"))))
             soft.append(known[r["pattern"]])
     weights, bias = fit_scorer(rows, np.array(soft))

@@ -7,9 +7,10 @@ inside a long sentence matters only up to WINDOW words. A span starts at every u
 consecutive units (at least LEAST_UNITS) until it has LEAST_WORDS words. Two texts that share 50
 words share a whole span of them, wherever they stand: both cut after one of their first LONG or
 WINDOW words, and alike from there up to the last WINDOW words or the last, unfinished sentence.
-What stands before the first and after the last shared cut stays. Spans are hashed (case folded, white space joined) and joined
-globally. Of the spans with one hash, the first by (key, position) stays; units that any other one
-covers are removed from their texts, and the rest of the text stays as it is.
+What stands before the first and after the last shared cut stays. Spans are hashed (case folded,
+white space joined) and joined globally. Of the spans with one hash, the first by (key, version of
+the text, position) stays; units that any other one covers are removed from their texts, and the
+rest of the text stays as it is. Shorter repeats (single lines of under LEAST_WORDS words) stay.
 
 Counting is a map-side aggregation, so a passage that a third of all documents hold is one row per
 task before the shuffle; only spans that repeat are joined back, against one row for each hash.
@@ -21,13 +22,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, written
+from spanloom.llm.common import settled, slices, written
 
 LEAST_UNITS, LEAST_WORDS = 2, 20
 LONG = 12
@@ -53,14 +53,13 @@ def cuts(words: list[str]) -> set[int]:
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(begin, end, words) of each unit; ends include the white space that follows."""
     out = []
-    at = 0
+    at = len(text) - len(text.lstrip())
     while at < len(text):
         m = _SENTENCE.match(text, at)
         end = m.end() if m.end() > at else len(text)
         words = text[at:end].split()
         if not words:
-            if out:
-                out[-1] = (out[-1][0], end, out[-1][2])
+            out[-1] = (out[-1][0], end, out[-1][2])
         elif len(words) <= LONG:
             out.append((at, end, words))
         else:
@@ -75,6 +74,8 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
                     out.append((begin, stop, held))
                     begin, held = stop, []
         at = end
+    if out:
+        out[0] = (0, *out[0][1:])
     return out
 
 
@@ -125,9 +126,14 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
     """(k, at): spans other than the first of their hash; at: first unit and version of the text, packed.
 
     Within a text the first occurrence counts, and the others are known at once; between texts the
-    least key keeps the span. Rows that share a key are one document, whose texts the version tells apart. Only the
-    hash, the key and ``at`` are shuffled; a span's end follows from its start.
+    least (key, version) keeps the span, version being a hash of the text; null keys come last.
+    Rows with one key and different texts are so different documents; rows alike in both are one.
+    Only the hash, the key and ``at`` are shuffled; a span's end follows from its start. Where no
+    key has two texts the key alone is the order, and spares the aggregation the wide numbers.
     """
+    t = F.col(text).cast("string")
+    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), version(t).alias("v"), t.alias("t")).where("t is not null")
+    several = not src.groupBy("k").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").isEmpty()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
@@ -142,11 +148,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", lea
                         seen.add(h)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["k", "at", "h", "again"])
 
-    t = F.col(text).cast("string")
-    src = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("k"), version(t).alias("v"), t.alias("t")).where("t is not null")
     found = written(src.mapInArrow(run, "k long, at long, h long, again boolean"), "spans", compression="zstd")
-    heads = found.where("not again").groupBy("h").agg(F.min("k").alias("head"), F.max("k").alias("tail")).where("head < tail").select("h", "head")
-    later = found.where("not again").join(heads, "h").where("k > head")
+    place = f"cast(k as decimal(20,0)) * cast({1 << VERSION_BITS} as decimal(10,0)) + cast(at & {(1 << VERSION_BITS) - 1} as decimal(10,0))"
+    order = F.expr(place) if several else F.col("k")
+    heads = found.where("not again").groupBy("h").agg(F.min(order).alias("head"), F.max(order).alias("tail")).where("head < tail").select("h", "head")
+    later = found.where("not again").join(heads, "h").where(order > F.col("head"))
     return later.select("k", "at").unionByName(found.where("again").select("k", "at"))
 
 
@@ -157,24 +163,33 @@ def version(text: Column) -> Column:
 def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_units: int = LEAST_UNITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated spans taken out of ``text``, and removed_units, removed_chars added.
 
-    Every row stays, with all its columns; a text that repeats as a whole becomes empty. Null
-    texts stay null, with nothing removed. Rows with a null key come last in the order that
-    decides what is first. Repeated rows (same key and text) keep or lose the same spans.
+    Every row stays, with all its columns; a text that repeats as a whole becomes empty. Null and
+    empty texts stay as they are, with nothing removed. What is first is told by key, then by the
+    hash of the text: rows of one key but different texts are different documents, and so are
+    those with a null key, which come last. Rows alike in key and text keep or lose the same spans.
+    Input columns named removed_units or removed_chars are replaced; an empty table gives an empty
+    result. A span takes ``least_units`` units and ``least_words`` words at least, so a repeated line
+    of fewer words stays, whatever the number of its copies.
     """
-    hits = repeated_spans(docs, key, text, least_units, least_words)
     # For each text, its repeats: at most one for each of its units.
     unit = F.shiftright("at", VERSION_BITS)
-    by_doc = hits.groupBy(F.col("k").alias("__k"), F.col("at").bitwiseAND(F.lit((1 << VERSION_BITS) - 1)).alias("__v")).agg(F.collect_set(unit).alias("__hits"))
 
-    @F.pandas_udf("text string, units int")
-    def cut(t: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        none = (None, 0)
-        return pd.DataFrame([none if x is None else without(x, h.tolist(), least_units, least_words) for x, h in zip(t, hits)], columns=["text", "units"])
+    def hits() -> DataFrame:
+        found = repeated_spans(docs, key, text, least_units, least_words)
+        return found.groupBy(F.col("k").alias("__k"), F.col("at").bitwiseAND(F.lit((1 << VERSION_BITS) - 1)).alias("__v")).agg(F.collect_set(unit).alias("__hits"))
+
+    by_doc = settled(docs.sparkSession, "repeats", hits)
+
+    @F.arrow_udf("struct<text:string,units:int>")
+    def cut(t: pa.Array, hits: pa.Array) -> pa.Array:
+        made = [(None, 0) if not x.is_valid else without(x.as_py(), h.as_py(), least_units, least_words) for x, h in zip(t, hits)]
+        return pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int32())], ["text", "units"])
 
     t = F.col(text).cast("string")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("__d"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("__k"), t.alias("__t"))
+    names = [c for c in docs.columns if c not in ("removed_units", "removed_chars")]
     joined = keyed.withColumn("__v", version(F.col("__t"))).join(by_doc, ["__k", "__v"], "left")
     made = joined.withColumn("__cut", cut(F.when(F.col("__hits").isNotNull(), F.col("__t")), F.col("__hits")))
     new = F.when(F.col("__hits").isNotNull(), F.col("__cut.text")).otherwise(F.col("__t"))
-    columns = [new.alias(c) if c == text else F.col("__d").getField(c).alias(c) for c in docs.columns]
+    columns = [new.alias(c) if c == text else F.col("__d").getField(c).alias(c) for c in names]
     return made.select(*columns, F.coalesce(F.col("__cut.units"), F.lit(0)).alias("removed_units"), F.coalesce(F.length("__t") - F.length(new), F.lit(0)).alias("removed_chars"))

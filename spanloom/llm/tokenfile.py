@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spanloom.llm.common import range_ids, scratch, shuffle_partitions, slices
+from spanloom.llm.common import range_ids, scratch, shuffle_partitions, slices, write
 from spanloom.llm.tokens import CACHE, Encoder, vocabulary_json
 
 MAGIC = b"SLTOK1"
@@ -139,7 +139,8 @@ def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
 
     Documents are dealt by key ranges, one per shuffle partition, and sorted in each; a range of
     more than ``shard_ids`` ids has several parts. Equal keys are ordered by text, null keys come
-    first. A null text is empty. Returns the manifest that was written beside the shards:
+    first. A null text is empty; an empty table gives no shard; other columns, whatever their names,
+    are ignored. Returns the manifest that was written beside the shards:
     (shard, part, docs, ids, base), base being the ids before the shard part.
     """
     spark = docs.sparkSession
@@ -174,7 +175,7 @@ def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
 
     src = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     dealt = range_ids(src, "k", n, "s").select("s", "k", "t").repartitionById(n, F.col("s")).sortWithinPartitions("s", F.asc_nulls_first("k"), "t")
-    dealt.mapInArrow(run, "shard int, part int, docs long, ids long").write.parquet(f"{folder}/_counts")
+    write(dealt.mapInArrow(run, "shard int, part int, docs long, ids long"), f"{folder}/_counts")
     counts = spark.read.schema("shard int, part int, docs long, ids long").parquet(f"{folder}/_counts")
     # One row for each shard file: the running sum is over shards, never over documents.
     before = F.sum("ids").over(Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1))

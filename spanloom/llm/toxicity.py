@@ -6,7 +6,8 @@ R-(positives)); when the second part turns negative, a step goes the other way,
 classifier cannot fit noise by calling all unlabelled rows clean.
 
 Features are a text's distinct words (lower case, letters and digits), hashed. Only words that are
-clearly more or less common among positives than among unlabelled texts enter the classifier.
+clearly more common among positives than among unlabelled texts enter the classifier; a text without
+any of them has the score of no evidence.
 """
 
 from __future__ import annotations
@@ -18,12 +19,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices
+from spanloom.llm.common import least_by_hash, slices
 
 WORD = re.compile(r"\w+").findall
 #: Bounds of the training sample, in rows.
@@ -112,18 +112,19 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return Model(used, weights, bias, prior)
 
 
-def _sample(docs: DataFrame, rows: DataFrame, key: str, text: str, limit: int) -> list[np.ndarray]:
-    """Word hashes of the texts of at most ``limit`` keys in ``rows``, picked by the keys' hash."""
-    picked = rows.orderBy(F.xxhash64("k"), "k").limit(limit)
+def _sample(docs: DataFrame, rows: DataFrame, key: str, text: str, limit: int, total: int) -> list[np.ndarray]:
+    """Word hashes of at most ``limit`` texts, one for each key in ``rows``, picked by the keys' hash; of a repeated key's texts, the first."""
+    picked = least_by_hash(rows, limit, total)
     # At most ``limit`` keys, so no text is shuffled to find theirs.
     src = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                yield pa.RecordBatch.from_arrays([pa.array([word_hashes(t).tobytes() for t in part.column(0).to_pylist()], pa.binary())], ["h"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([word_hashes(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["k", "h"])
 
-    return [np.frombuffer(r[0], np.uint32) for r in src.select("t").mapInArrow(run, "h binary").collect()]
+    made = src.select("k", "t").mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, h binary")
+    return [np.frombuffer(r[0], np.uint32) for r in made.groupBy("k").agg(F.min("h").alias("h")).select("h").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn: F.Column | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -131,8 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Positives: labelled toxic. Unlabelled: texts of rows that pass and are not labelled toxic,
     which the risk treats as unknown. The class prior is the share of toxic labels. Both samples
-    are bounded (``max_positive``, ``max_unlabelled`` rows), picked by the hash of their keys. A
-    null label counts as none.
+    are bounded (``max_positive``, ``max_unlabelled`` rows), picked by the hash of their keys, ties
+    by key; a key that repeats gives one row. A null label counts as none, a key with two labels is
+    toxic; without labels or texts the model has no words. Other columns are ignored.
     """
     learn = F.lit(True) if learn is None else learn
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null").where(learn).groupBy("k").agg(F.max("y").alias("y"))
@@ -146,27 +148,31 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     positive = known.where("y = 1").count()
     prior = row["prior"]
     hidden = max(0.0, (total + positive) * prior - positive) / max(1, total)
-    return fit(_sample(docs, toxic, key, text, max_positive), _sample(docs, rest, key, text, max_unlabelled), hidden if hidden > 0 else prior / 10)
+    return fit(_sample(docs, toxic, key, text, max_positive, positive), _sample(docs, rest, key, text, max_unlabelled, total), hidden if hidden > 0 else prior / 10)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds ``out``, 0 to 1, from the whole text; null and empty texts have the score of no words."""
+    """Adds ``out``, 0 to 1, from the whole text, however long; null and empty texts have the score of no words.
+
+    Equal texts and repeated rows score alike, whatever their keys; an input column named ``out`` is
+    replaced, all others stay; an empty table gives an empty result.
+    """
     return docs.withColumn(out, scorer(model)(F.col(text).cast("string")))
 
 
 def scorer(model: Model):
     """The model as a column function; the model has at most a few hundred weights."""
 
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
         weights = dict(zip(model.hashes.tolist(), model.weights.tolist()))
         crc, get, out = zlib.crc32, weights.get, []
-        for t in texts:
-            z = model.bias
+        for x in texts:
+            z, t = model.bias, x.as_py()
             if t:
                 seen = {crc(w.encode("utf-8", "surrogatepass")) for w in set(WORD(t.lower()))}
                 z += sum(get(h, 0.0) for h in seen & weights.keys())
             out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
-        return pd.Series(out, dtype="float64")
+        return pa.array(out, pa.float64())
 
     return run

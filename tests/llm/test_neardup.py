@@ -158,3 +158,39 @@ def test_crossing_pairs_against_all_pairs():
         got = set(zip(*(x.tolist() for x in neardup.crossing_pairs(np.concatenate(first), place, size[at], at, root[at], 0.8, 1000))))
         want = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and neardup.jaccard(sets[i], sets[j]) >= 0.8}
         assert len(want) > 30 and want <= got and all(root[i] != root[j] for i, j in got)
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rnd = np.random.default_rng(4)
+    ruled = 0
+    for _ in range(3000):
+        n = int(rnd.integers(0, 400))
+        base = rnd.integers(0, 2**63, n).astype(np.uint64)
+        other = np.unique(np.r_[base[: int(n * rnd.uniform(0.6, 1))], rnd.integers(0, 2**63, int(n * rnd.uniform(0, 0.4))).astype(np.uint64)])
+        base = np.unique(base)
+        may = neardup.may_be_similar(neardup.sketch(base), neardup.sketch(other), len(base), len(other), 0.8)
+        assert may or neardup.jaccard(base, other) < 0.8
+        ruled += not may
+    assert ruled > 1000
+
+
+def test_similar_groups_on_the_tables(spark):
+    """Every pair of distinct texts at 0.8 by exact five-word shingles is linked, and few others are."""
+    texts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        texts.setdefault(tuple((r.text or "").lower().split()), []).append(r.doc_id)
+    keys = sorted(texts, key=lambda w: min(texts[w]))
+    sets = [{w[i : i + 5] for i in range(len(w) - 4)} or {w} for w in keys]
+    post = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            post.setdefault(g, []).append(i)
+    met = {(i, j) for p in post.values() for j in p for i in p if i < j}
+    pairs = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in met}
+    found = {r.doc_id: r.component for r in neardup.similar_groups(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    of = [found[min(texts[w])] for w in keys]
+    assert all(found[d] == of[i] for i, w in enumerate(keys) for d in texts[w])
+    close = [p for p, x in pairs.items() if x >= 0.8]
+    assert len(close) >= 5 and all(of[i] == of[j] for i, j in close)
+    best = [max([pairs.get((min(i, j), max(i, j)), 0) for j in range(len(keys)) if j != i and of[j] == of[i]], default=1) for i in range(len(keys))]
+    assert min(best) > 0.65 and np.mean([b < 0.8 for b in best]) < 0.02

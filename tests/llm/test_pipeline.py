@@ -1,8 +1,8 @@
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
-import numpy as np
 import regex
 from test_text_ops import plain_repeats
 from test_tokens import check_packing, plain
@@ -22,24 +22,13 @@ def _grams(w):
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
 
 
-def plain_groups(docs):
-    """Least doc_id of each group, by comparing all pairs."""
-    ids = sorted(docs)
-    wide = {d: neardup.wide_fingerprints(docs[d]) for d in ids}
-    limit, root = neardup.bit_limit(0.8, 64 * neardup.CHECK_WORDS), {d: d for d in ids}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            near = (np.bitwise_count(wide[a][0] ^ wide[b][0]) <= 3).any() and np.bitwise_count(wide[a][1] ^ wide[b][1]).sum() <= limit
-            if near and find(a) != find(b):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {d: find(d) for d in ids}
+def similarities(docs):
+    """Exact similarity of the five-word shingles of all pairs (least doc_id first)."""
+    ids, sets = sorted(docs), {}
+    for d in ids:
+        w = re.sub("[A-Z]", lambda m: m.group().lower(), docs[d] or "").split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {(b, a): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) if sets[a] | sets[b] else 1.0 for i, a in enumerate(ids) for b in ids[:i]}
 
 
 def test_pipeline_against_plain_stages(spark, sf):
@@ -49,8 +38,13 @@ def test_pipeline_against_plain_stages(spark, sf):
     texts = {r.doc_id: r.text for r in docs.collect()}
     model = toxicity.train(docs, labels)
     texts = {d: t for d, t in texts.items() if model.score(t) < 0.5}
-    groups = plain_groups(texts)
-    texts = {d: t for d, t in texts.items() if groups[d] == d}
+    pairs = similarities(texts)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    group = {r.doc_id: r.component for r in neardup.similar_groups(frame).collect()}
+    assert all(group[a] == group[b] for (a, b), x in pairs.items() if x >= 0.8) and sum(x >= 0.8 for x in pairs.values()) > 1
+    for d, c in group.items():
+        assert d == c or max(x for (a, b), x in pairs.items() if d in (a, b) and group[a] == group[b]) > 0.65
+    texts = {d: t for d, t in texts.items() if group[d] == d}
     texts = dict(zip(texts, plain_repeats(list(texts.items()))))
     texts = {d: t for d, t in texts.items() if not any(holds(t, i) for i in items)}
     ids = {d: [*x, 2] for d, x in zip(texts, plain(list(texts.values())))}

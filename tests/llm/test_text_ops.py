@@ -1,10 +1,16 @@
 import datetime
 import hashlib
+import math
 import random
+import re
+import unicodedata
+import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from spanloom.llm import decontam, fingerprint, langid, quality, queries, spans, toxicity, urlfilter
@@ -26,6 +32,58 @@ def auc(y, s):
 # -- op8
 
 
+def plain_simhash(text):
+    """256 signed votes, one word pair after the other, in Python integers."""
+    words = (text or "").lower().encode().split()
+    cut = []
+    for w in words:
+        cut += [w[i : i + 8] for i in range(0, len(w), 8)] if len(w) > 24 else [w]
+    terms = [(cut[0], min(len(cut[0]), 12))] if len(cut) == 1 else [(a + b" " + b, min(len(a), 12) + min(len(b), 12)) for a, b in zip(cut, cut[1:])]
+    votes, full = [0] * 256, 2**64 - 1
+    for term, weight in terms:
+        h = xxhash.xxh64_intdigest(term)
+        for k in range(4):
+            x = h * (xxhash.xxh64_intdigest(f"word {k}", 7) | 1) & full
+            x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & full
+            x ^= x >> 32
+            for b in range(64):
+                votes[64 * k + b] += weight if x >> b & 1 else -weight
+    return sum(1 << b for b in range(256) if votes[b] > 0)
+
+
+def test_op8_fingerprints_against_plain_votes(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()][:40] + [None, "", "one", "x" * 100, "a a a a"]
+    for t in texts:
+        assert "".join(f"{int(w):016x}" for w in fingerprint.text_fingerprint(t)[::-1]) == f"{plain_simhash(t):064x}"
+
+
+def test_op8_counts_against_all_pairs(spark):
+    got = queries.op8_simhash_edits(spark, MID).collect()
+    prints = [int(r.fingerprint, 16) for r in got]
+    asked = [r for r in got if r.doc_id % 20 == 0]
+    assert all(r.n_within is None for r in got if r.doc_id % 20) and len(asked) == 50
+    for r in asked:
+        assert r.n_within == sum((int(r.fingerprint, 16) ^ f).bit_count() <= fingerprint.NEAR for f in prints)
+
+
+def test_op8_counts_in_a_dense_bucket(spark):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 2**63, 4).astype(np.uint64)
+    rows = []
+    for i in range(3000):
+        w = base.copy()
+        for b in rnd.choice(40, rnd.integers(0, 6), replace=False):
+            w[3] ^= np.uint64(1) << np.uint64(b)
+        rows.append((i, *w.view(np.int64).tolist()))
+    rows += [(5000, None, 0, 0, 0), (None, *rows[0][1:])]
+    frame = spark.createDataFrame(rows, "doc_id long, w0 long, w1 long, w2 long, w3 long")
+    got = {r.doc_id: r.n_within for r in fingerprint.with_counts(frame, F.col("doc_id") % 20 == 0).collect()}
+    words = np.array([r[1:] for r in rows if r[1] is not None]).astype(np.int64).view(np.uint64)
+    assert len(got) == len(rows) and got[5000] is None and got[None] is None
+    for i in range(0, 3000, 20):
+        assert got[i] == int((np.bitwise_count(words ^ words[i]).sum(axis=1) <= fingerprint.NEAR).sum())
+
+
 def test_op8_against_a_plain_walk(spark, sf):
     docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()), reverse=True)
     got = {r.doc_id: r for r in queries.op8_simhash_edits(spark, sf).collect()}
@@ -50,7 +108,8 @@ def test_op8_odd_rows(spark):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     lone = fingerprint.edit_probe(docs.limit(1)).collect()
     assert len(lone) == 1 and lone[0].near_next == 1.0
-    assert fingerprint.edit_probe(docs.limit(0)).count() == 0
+    none = fingerprint.edit_probe(docs.limit(0))
+    assert none.count() == 0 and fingerprint.with_counts(none, F.lit(True)).count() == 0
 
 
 def test_block_tables_find_all_within_radius(spark):
@@ -108,9 +167,26 @@ def test_op4_held_out(spark):
     assert len(wrong) <= 3 and all(r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_op4_scores_against_a_plain_sum(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{MID}/labels.parquet"), learn=fold(F.col("k"), 5) != 0)
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist()))
+    got = {r.doc_id: r.score for r in queries.op4_nnpu_toxicity(spark, MID).collect()}
+    for r in docs.collect():
+        words = set(re.findall(r"\w+", (r.text or "").lower()))
+        z = model.bias + sum(weight.get(h, 0.0) for h in {zlib.crc32(w.encode()) for w in words})
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_op4_samples_are_bounded_by_rows(spark):
+    docs = spark.range(5000).selectExpr("id % 3 as doc_id", "concat('words of ', id) as text")
+    rows = spark.createDataFrame([(0,), (1,), (2,)], "k long")
+    assert len(toxicity._sample(docs, rows, "doc_id", "text", 2, 3)) == 2
+
+
 def test_op4_odd_rows(spark):
-    rows = [(i, "plain words here and there") for i in range(300)] + [(1000 + i, "vile words here") for i in range(20)] + [(None, "vile"), (7, None), (8, ""), (1000, "vile words here")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit(1))
+    rows = [(i, "plain words here and there") for i in range(300)] + [(1000 + i, "vile words here") for i in range(20)] + [(None, "vile"), (7, None), (8, ""), (1000, "vile words here"), (9, "plain " * 200_000), (9, "plain " * 200_000 + "vile")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as k", "'clash' as score")
     labels = spark.createDataFrame([(i, 0) for i in range(90)] + [(1000 + i, 1) for i in range(10)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
     got = toxicity.score(docs, model).collect()
@@ -137,6 +213,67 @@ def test_op5_against_labels_it_never_read(spark):
     assert np.mean([r.predicted == 1 for r in rows if r.quality == 1]) > 0.95
 
 
+def plain_votes(text):
+    """The labellers' rules, character by character."""
+    tokens = (text or "").split()
+    if not tokens:
+        return "-------00"
+    chars = [c for t in tokens for c in t]
+    letters = [c for c in chars if re.fullmatch(r"[^\W\d_]", c)]
+    words = [w for t in tokens for w in re.findall(r"[^\W\d_]+", t)]
+    lines = [x for x in text.split("\n") if x.strip()]
+    n = len(tokens)
+    digits, upper = sum(c.isdigit() for c in chars), sum(c.isupper() for c in chars)
+    stops, size = sum(t[-1] in ".!?" for t in tokens) / n, len(letters) / max(1, len(words))
+    say = lambda x, good, poor: "1" if x <= good else "0" if x >= poor else "-"
+    return "".join([
+        say(1 - len(letters) / len(chars) - digits / len(chars), 0.12, 0.25), say(upper / max(1, len(letters)), 0.15, 0.4),
+        say(sum(t[-2:] in ("!!", "??") for t in tokens) / n, 0.02, 0.2), say(1 - len(set(zip(tokens, tokens[1:]))) / max(1, n - 1), 0.2, 0.45) if n >= 8 else "-",
+        say(1 - len(set(lines)) / max(1, len(lines)), 0.1, 0.4) if text.count("\n") >= 2 else "-", say(tokens.count("|") / n, 0.02, 0.3), say(digits / len(chars), 0.03, 0.15),
+        "1" if 0.02 <= stops <= 0.4 else "0" if stops == 0 and n >= 60 else "-", "1" if 2.5 <= size <= 9 else "0" if size < 1.5 or size > 15 else "-",
+    ])
+
+
+def plain_features(text):
+    made, kind = Counter(), lambda c: "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+    tokens = (text or "").split()
+    for t in tokens:
+        for i in range(0, len(t), 24):
+            made["s " + re.sub(r"(.)\1+", r"\1", "".join(map(kind, t[i : i + 24])), flags=re.S)] += 1
+        if len(t) <= 4:
+            made["w " + t.lower()] += 1
+    made["one time"] += sum(n == 1 for n in Counter(tokens).values())
+    return {k: n for k, n in made.items() if n}
+
+
+def test_op5_against_a_plain_scorer(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{MID}/documents.parquet").collect()}
+    texts |= {-1: None, -2: " \n ", -3: "Ab1!! " + "x" * 100 + "Y7" * 40, -4: "ÄÖ ǅ ½ Ⅷ ²\n\na\na\na", -5: "𝐀𝐁 b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labelled = quality.written(quality.weak_labels(docs), "t")
+    assert {r.k: r.pattern for r in labelled.collect()} == {k: plain_votes(t) for k, t in texts.items()}
+    model = quality.train(labelled)
+    got = {r.k: r for r in quality.scored(labelled, model).collect()}
+    for k, t in texts.items():
+        made = Counter()
+        for name, n in plain_features(t).items():
+            made[zlib.crc32(name.encode()) % quality.BUCKETS] += n
+        z = model.bias + sum(model.weights[b] * math.sqrt(n / sum(made.values())) for b, n in made.items()) if made else -60
+        assert got[k].score == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, z)))), abs=1e-5)
+        assert got[k].weak == model.posterior[plain_votes(t)]
+
+
+def test_op5_sample_is_bounded_by_rows(spark):
+    docs = spark.range(3000).selectExpr("id % 500 as doc_id", "if(id % 2 = 0, 'A plain sentence with words. Another one follows it here.', '### ||| 9999 !!!!') as text")
+    seen = []
+    fit, quality.fit_scorer = quality.fit_scorer, lambda rows, soft: seen.append(len(rows)) or (np.zeros(quality.BUCKETS), 0.0)
+    try:
+        quality.train(quality.written(quality.weak_labels(docs), "t"), 7)
+    finally:
+        quality.fit_scorer = fit
+    assert seen == [14]
+
+
 def test_op5_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "A fine text. It has words."), (4, "x " * 100_000), (4, "x " * 100_000), (5, "!!! ### %%%")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pattern", F.lit(1))
@@ -163,6 +300,40 @@ def test_op7_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_op7_against_a_plain_mean(spark):
+    docs = spark.read.parquet(f"{MID}/documents.parquet")
+    model = langid.train(docs, learn=fold(F.col("k"), 3) != 1)
+    got = {r.doc_id: r for r in queries.op7_subword_langid(spark, MID).collect()}
+    for r in docs.limit(60).collect():
+        data = [c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {r.text.lower()} ".encode()] if r.text else []
+        if not any(unicodedata.category(c)[0] == "L" for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        total, count = np.zeros(len(model.langs)), 0
+        for n in langid.GRAMS:
+            for i in range(len(data) - n + 1):
+                h = sum(c * m for c, m in zip(data[i : i + n], langid._MULT[n])) & 0xFFFFFFFF
+                h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                total += model.table[h >> 18]
+                count += 1
+        z = (total / count + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[r.doc_id].lang_pred == model.langs[int(p.argmax())] and got[r.doc_id].score == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_op7_letters_and_bounds(spark):
+    assert not any(map(langid.has_letter, (None, "", "½", "²", "Ⅷ", "٣", "_ 9 !"))) and all(map(langid.has_letter, ("中", "ª", "ǅ", "1 é")))
+    docs = spark.range(4000).selectExpr("id % 1000 as doc_id", "concat('words of row ', id, repeat(' and more text', 400)) as text", "concat('l', id % 1000 % 8) as lang")
+    rows = []
+    fit, langid.fit = langid.fit, lambda parts, langs: rows.append((parts, langs))
+    try:
+        langid.train(docs, per_language=50, max_rows=80, max_segments=3)
+    finally:
+        langid.fit = fit
+    parts, langs = rows[0]
+    assert 8 <= len(langs) <= 80 and max(map(len, parts)) == 3 and all(len(x) <= langid.SEGMENT for p in parts for x in p) and max(Counter(langs).values()) <= 10
+
+
 def test_op7_odd_rows(spark):
     train = [(i, "the and of with that from words", "en") for i in range(40)] + [(100 + i, "der die und mit ein von nicht", "de") for i in range(40)] + [(1, None, "en"), (2, "x", None), (None, "y", "en")]
     docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
@@ -183,25 +354,60 @@ def test_long_text_in_parts_is_the_same():
 # -- op9
 
 
+def plain_units(t):
+    """(begin, end, words) of sentence units, word by word."""
+    spots = [m.span() for m in re.finditer(r"\S+", t)]
+    lists, now = [], []
+    for i, (_, end) in enumerate(spots):
+        now.append(i)
+        gap = t[end : spots[i + 1][0]] if i + 1 < len(spots) else "\n"
+        if "\n" in gap or t[end - 1] in ".!?…":
+            lists.append(now)
+            now = []
+    pieces = []
+    for s in lists:
+        ends = {s[-1]}
+        if len(s) > 12:
+            h = [xxhash.xxh32_intdigest(t[slice(*spots[i])].lower().encode()) for i in s]
+            for w in range(len(s) - 7):
+                ends.add(s[w + min(range(8), key=lambda j: (h[w + j], j))])  # noqa: B023
+        now = []
+        for i in s:
+            now.append(i)
+            if i in ends:
+                pieces.append(now)
+                now = []
+    begins = [0] + [spots[p[0]][0] for p in pieces[1:]] + [len(t)]
+    return [(a, b, [t[slice(*spots[i])] for i in p]) for a, b, p in zip(begins, begins[1:], pieces)]
+
+
+def plain_spans(t):
+    """(words in lower case, first unit, last unit) of the shortest run of two units and 20 words from each unit on."""
+    cut = plain_units(t) if t else []
+    for a in range(len(cut)):
+        for b in range(a + 1, len(cut)):
+            words = [w.lower() for _, _, u in cut[a : b + 1] for w in u]
+            if len(words) >= 20:
+                yield " ".join(words), a, b
+                break
+
+
 def plain_repeats(rows):
     """(key, text) to cleaned text, by the definition, one span at a time."""
+    version = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & (1 << 31) - 1
+    place = lambda k, t: (k is None, k or 0, version(t))
     first = {}
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
-    for i in order:
-        k, t = rows[i]
-        for h, a, _ in zip(*spans.span_hashes(t)):
-            first.setdefault(h, (k, a))
+    for k, t in sorted((r for r in rows if r[1] is not None), key=lambda r: place(*r)):
+        for span, _, _ in plain_spans(t):
+            first.setdefault(span, place(k, t))
     out = []
     for k, t in rows:
-        if t is None:
-            out.append(None)
-            continue
         gone, seen = set(), set()
-        for h, a, b in zip(*spans.span_hashes(t)):
-            if first[h][0] != k or h in seen:
+        for span, a, b in plain_spans(t):
+            if first[span] != place(k, t) or span in seen:
                 gone.update(range(a, b + 1))
-            seen.add(h)
-        out.append("".join(t[a:b] for i, (a, b, _) in enumerate(spans.units(t)) if i not in gone))
+            seen.add(span)
+        out.append("".join(t[a:b] for i, (a, b, _) in enumerate(plain_units(t)) if i not in gone) if gone else t)
     return out
 
 
@@ -230,6 +436,22 @@ def test_op9_planted_passages_and_odd_rows(spark):
     assert dict(zip([id(r) for r in rows], plain_repeats(rows)))[id(rows[1])] == by[2].text
 
 
+def test_op9_null_and_repeated_keys(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
+    passage = ". ".join(" ".join(word() for _ in range(9)) for _ in range(7)) + "."
+    own = [" ".join(word() for _ in range(30)) + ". " for _ in range(6)]
+    rows = [(None, own[0] + passage), (None, own[1] + passage), (4, "\n " + own[2]), (4, own[3]), (7, own[4] + passage.upper()), (7, own[5] + passage), (4, own[3])]
+    frames = [rows, [r for r in rows if r[0] is None], [r for r in rows if r[0] == 7]]
+    for some in frames:
+        docs = spark.createDataFrame(some, "doc_id long, text string").selectExpr("*", "'x' as removed_units", "1 as removed_chars", "2 as k", "3 as at")
+        got = spans.drop_repeats(docs)
+        assert got.columns == ["doc_id", "text", "k", "at", "removed_units", "removed_chars"]
+        assert sorted((r.text for r in got.collect())) == sorted(plain_repeats(some))
+        kept = [r.text for r in got.collect() if passage[:200].lower() in r.text.lower()]
+        assert len(kept) == 1
+
+
 def test_shared_runs_of_50_words_hold_a_common_span():
     rnd = random.Random(6)
     words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 8))) for _ in range(3000)]
@@ -259,7 +481,7 @@ def test_shared_runs_of_50_words_hold_a_common_span():
 
 
 def test_units_cover_the_text():
-    for t in ("", "a", " a. b!\n\nc? d...e f.", "x " * 100, "\n\n", "A b c. " * 30 + "tail"):
+    for t in ("\n\nfoo\n", "", "a", " a. b!\n\nc? d...e f.", "x " * 100, "\n\n", "A b c. " * 30 + "tail"):
         cut = spans.units(t)
         assert "".join(t[a:b] for a, b, _ in cut) == (t if t.strip() else "")
 
@@ -293,6 +515,38 @@ def test_op10_against_brute_force(spark):
     assert got == pytest.approx(want) and len(want) > 5
 
 
+@pytest.mark.parametrize("changes", [2, 3])
+def test_op10_loses_no_edited_item(spark, changes):
+    rnd = random.Random(changes)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(3, 8)))
+    items = [[word() for _ in range(100)] for _ in range(8)]
+    rows, want = [], set()
+    for i in range(200):
+        item = items[i % 8]
+        copy = list(item)
+        for at in rnd.sample(range(100), changes):
+            copy[at] = word()
+        g, c = (Counter(tuple(x[j : j + 5]) for j in range(96)) for x in (item, copy))
+        rows.append((i, " ".join([word() for _ in range(rnd.randrange(50))] + copy + [word() for _ in range(rnd.randrange(50))])))
+        if sum((g & c).values()) / sum((g | c).values()) >= 0.8:
+            want.add((i, i % 8))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == want and (changes == 3 or len(want) == 200)
+
+
+def test_op10_fingerprints_have_no_overflow(spark):
+    rnd = np.random.default_rng(3)
+    h = rnd.integers(-(2**63), 2**63 - 1, 501)
+    want = 0
+    for b in range(64):
+        want |= int(((h.view(np.uint64) >> np.uint64(b)) & np.uint64(1)).sum() * 2 > len(h)) << b
+    frame = spark.createDataFrame([(h.tolist(), [-1] * 70_000)], "h array<long>, ones array<long>")
+    got = frame.select(decontam.simhash(F.col("h"), 501).alias("a"), decontam.simhash(F.col("h"), 70_000).alias("b"), decontam.simhash(F.col("ones"), 70_000).alias("c")).first()
+    assert got.a & (2**64 - 1) == want == got.b & (2**64 - 1) and got.c == -1
+
+
 def test_op10_odd_rows(spark):
     item = "One two three, four five six seven eight nine ten eleven twelve thirteen fourteen."
     items = spark.createDataFrame([(1, item), (2, "short item"), (3, None), (4, ""), (None, "lonely words of a null item here"), (1, item)], "item_id long, text string")
