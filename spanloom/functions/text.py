@@ -357,3 +357,26 @@ def enums_for_constants(schema: Column) -> Column:
     """A JSON schema's text with every scalar "const" as an "enum" of one value."""
     scalar = r'"const"\s*:\s*("(?:[^"\\\\]|\\\\.)*"|-?\d+(?:\.\d+)?|true|false|null)'
     return F.regexp_replace(schema, scalar, '"enum":[$1]')
+
+
+def json_string(text: Column) -> Column:
+    """A text as it stands between the quotes of an ASCII JSON document: signs escaped, all beyond ASCII as \\uXXXX, surrogates in pairs."""
+    four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def one(c):
+        n = F.ascii(c).cast("long")
+        high = n - 0x10000
+        pair = F.concat(four(F.lit(0xD800).cast("long") + F.shiftright(high, 10)), four(F.lit(0xDC00).cast("long") + high.bitwiseAND(F.lit(0x3FF).cast("long"))))
+        out = F.when(c == '"', '\\"').when(c == "\\", "\\\\").when(n == 10, "\\n").when(n == 13, "\\r").when(n == 9, "\\t").when(n == 8, "\\b").when(n == 12, "\\f")
+        return out.when(n > 0xFFFF, pair).when((n < 32) | (n > 126), four(n)).otherwise(c)
+
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), "")
+
+
+# Names whose values are secrets whatever they are.
+SECRET_KEY = r"(?i)(api[_-]?key|password|secret|token|authorization)"
+
+
+def redacted_metadata(entries: Column) -> Column:
+    """A map of texts without secrets: values of secret names, and secrets inside other values."""
+    return F.transform_values(entries, lambda k, v: F.when(k.rlike(SECRET_KEY), F.lit("<redacted>")).otherwise(redacted(v)))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.functions import text as tx
+
 from spanloom.operators.heatmap import greedy, unrolled
 
 SAME = 1e-6
@@ -34,8 +36,8 @@ def microseconds(seconds: Column) -> Column:
 
 
 def candidate_id(video_id: Column, start: Column, end: Column, generator: str = "peak_centered_candidate_windows", version: int = 1) -> Column:
-    """cand_v1_ and the SHA-256 of the sorted, compact JSON of the identity. video_id must be ASCII without quotes or backslashes."""
-    text = F.concat(F.lit('{"candidate_id_version":1,"end_microseconds":'), microseconds(end).cast("string"), F.lit(f',"generator":"{generator}","generator_version":{version},"start_microseconds":'), microseconds(start).cast("string"), F.lit(',"video_id":"'), video_id, F.lit('"}'))
+    """cand_v1_ and the SHA-256 of the sorted, compact JSON of the identity."""
+    text = F.concat(F.lit('{"candidate_id_version":1,"end_microseconds":'), microseconds(end).cast("string"), F.lit(f',"generator":"{generator}","generator_version":{version},"start_microseconds":'), microseconds(start).cast("string"), F.lit(',"video_id":"'), tx.json_string(video_id), F.lit('"}'))
     return F.concat(F.lit("cand_v1_"), F.sha2(text, 256))
 
 

@@ -180,3 +180,8 @@ def nearest_kept(rows: DataFrame) -> DataFrame:
     k = rows.withColumn("l", F.last(mark, True).over(line.rowsBetween(Window.unboundedPreceding, -1))).withColumn("r", F.first(mark, True).over(line.rowsBetween(1, Window.unboundedFollowing)))
     left = F.coalesce(F.col("idx") - F.col("l.idx") <= F.col("r.idx") - F.col("idx"), F.col("l").isNotNull())
     return k.withColumn("nearest", F.when(left, F.col("l.kept")).otherwise(F.col("r.kept"))).drop("l", "r")
+
+
+def distinct_speakers(segments: DataFrame) -> DataFrame:
+    """(doc_id, speakers): each transcript's labels, sorted, once each."""
+    return segments.groupBy("doc_id").agg(F.sort_array(F.collect_set("speaker")).alias("speakers"))

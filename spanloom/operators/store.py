@@ -225,3 +225,33 @@ def key_sets_compared(known: DataFrame, found: DataFrame, key: str) -> DataFrame
     """(key, side): keys that only one of two frames has, 'missing' from found or 'unexpected' there."""
     k, f = known.select(key).distinct(), found.select(key).distinct()
     return k.join(f, key, "left_anti").select(key, F.lit("missing").alias("side")).unionByName(f.join(k, key, "left_anti").select(key, F.lit("unexpected").alias("side")))
+
+
+# Columns that name paths and are not shown.
+PATHS = ("workspace_path", "source_video_path", "transcript_path", "candidate_source_path", "raw_outputs", "subtitled_outputs", "last_render_output_dir", "output_dir", "windows_file", "cutting_log", "logs")
+
+
+def public(rows: DataFrame, paths: tuple[str, ...] = PATHS) -> DataFrame:
+    """``rows`` without the columns that name paths."""
+    return rows.drop(*[c for c in rows.columns if c in paths])
+
+
+def with_children(parents: DataFrame, key: str, **children: DataFrame) -> DataFrame:
+    """``parents`` with the number of rows of each child frame that refer to it, under the child's name."""
+    out = parents
+    for name, child in children.items():
+        out = out.join(child.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left")
+    return out.na.fill(0, list(children))
+
+
+def preferred(artifacts: DataFrame, key: str, order: tuple[str, ...] = ("subtitled", "raw")) -> DataFrame:
+    """(key, artifact_id, artifact_type): of each key's artifacts the first of the preferred types, else any; the newest, then the greatest id, of equals."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("artifact_type"))
+    rank = F.when(rank == 0, len(order) + 1).otherwise(rank)
+    best = F.min(F.struct(rank.alias("r"), (-F.col("at_s")).alias("t"), (-F.col("artifact_id")).alias("i"), "artifact_type"))
+    return artifacts.groupBy(key).agg(best.alias("x")).select(key, (-F.col("x.i")).alias("artifact_id"), F.col("x.artifact_type").alias("artifact_type"))
+
+
+def newest(artifacts: DataFrame, most: int) -> DataFrame:
+    """The ``most`` newest artifacts (a report), by time, then id."""
+    return artifacts.orderBy(F.desc("at_s"), F.desc("artifact_id")).limit(most)

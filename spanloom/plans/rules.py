@@ -620,3 +620,44 @@ def f57_enums(spark, sf):
     """constants of a JSON schema as enums of one value."""
     doc = F.concat(F.lit('{"type":"object","a":{"const": "'), F.col("c_mktsegment"), F.lit('"},"b":{"const":'), F.col("c_nationkey").cast("string"), F.lit("}}"))
     return table(spark, sf, "customer").select("c_custkey", tx.enums_for_constants(doc).alias("schema"))
+
+
+@query("p8_public_rows", "SELECT artifact_id, project_id, artifact_type, at_s FROM artifacts", "artifacts")
+def p8_public_rows(spark, sf):
+    """Rows without the columns that name paths."""
+    return store.public(views.artifacts(spark, sf).withColumn("transcript_path", F.lit("/srv/x")).withColumn("output_dir", F.lit("/srv/y")))
+
+
+@query("j16_children", """SELECT c_custkey AS project_id, coalesce(j.n, 0) AS jobs, coalesce(a.n, 0) AS artifacts, coalesce(e.n, 0) AS evaluations, coalesce(o.n, 0) AS clips FROM customer LEFT JOIN (SELECT project_id, count(*) AS n FROM jobs GROUP BY 1) j ON j.project_id = c_custkey
+  LEFT JOIN (SELECT project_id, count(*) AS n FROM artifacts GROUP BY 1) a ON a.project_id = c_custkey LEFT JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) e ON e.user_id = c_custkey LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o.o_custkey = c_custkey""", "jobs artifacts")
+def j16_children(spark, sf):
+    """A project's jobs, artifacts, evaluations and clips (orders as clips)."""
+    p = table(spark, sf, "customer").select(F.col("c_custkey").alias("project_id"))
+    clips = table(spark, sf, "orders").select(F.col("o_custkey").alias("project_id"))
+    return store.with_children(p, "project_id", jobs=views.jobs(spark, sf), artifacts=views.artifacts(spark, sf), evaluations=_evaluations(spark, sf), clips=clips)
+
+
+@query("a11_distinct_speakers", "SELECT doc_id, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers FROM segments GROUP BY 1", "segments")
+def a11_distinct_speakers(spark, sf):
+    """Each transcript's speakers, sorted."""
+    return speakers.distinct_speakers(views.segments(spark, sf)).select("doc_id", F.array_join("speakers", ",").alias("speakers"))
+
+
+@query("o14_preferred_artifacts", "SELECT project_id, artifact_id, artifact_type FROM artifacts QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY CASE artifact_type WHEN 'subtitled' THEN 1 ELSE 2 END, at_s DESC, artifact_id DESC) = 1", "artifacts")
+def o14_preferred_artifacts(spark, sf):
+    """The artifact that stands for a project: subtitled before raw, the newest of equals."""
+    return store.preferred(views.artifacts(spark, sf), "project_id")
+
+
+@query("o6_newest_artifacts", "SELECT artifact_id, project_id, artifact_type, at_s FROM artifacts ORDER BY at_s DESC, artifact_id DESC LIMIT 100", "artifacts")
+def o6_newest_artifacts(spark, sf):
+    """The hundred newest artifacts (a report)."""
+    return store.newest(views.artifacts(spark, sf), 100)
+
+
+@query("f46_metadata", "SELECT event_id, 'api_key=<redacted>,note=token=<redacted> of ' || user_id AS metadata FROM events")
+def f46_metadata(spark, sf):
+    """metadata without secrets, by name and by value."""
+    m = F.create_map(F.lit("api_key"), F.col("event_type"), F.lit("note"), F.concat(F.lit("token="), F.col("event_type"), F.lit(" of "), F.col("user_id").cast("string")))
+    pairs = F.transform(F.array_sort(F.map_entries(tx.redacted_metadata(m))), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return table(spark, sf, "events").select("event_id", F.array_join(pairs, ",").alias("metadata"))
