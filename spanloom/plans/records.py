@@ -268,15 +268,15 @@ def j2_overlap_turn(spark, sf):
     return speakers.overlap_turn(views.words(spark, sf), views.turns(spark, sf))
 
 
-@query("j3_nearest_turn", """WITH t AS (SELECT * FROM turns WHERE start_cs % 3 = 0),
+@query("j3_nearest_turn", """WITH t AS (SELECT doc_id, start_cs, start_cs + (end_cs - start_cs) // 3 AS end_cs, raw_speaker FROM turns),
   lo AS (SELECT w.doc_id, w.seg_idx, w.word_idx, t.raw_speaker, w.start_cs - t.end_cs AS d, row_number() OVER (PARTITION BY w.doc_id, w.seg_idx, w.word_idx ORDER BY t.end_cs DESC, t.start_cs, t.raw_speaker DESC) AS rn FROM words w JOIN t ON t.doc_id = w.doc_id AND t.end_cs <= w.start_cs),
   hi AS (SELECT w.doc_id, w.seg_idx, w.word_idx, t.raw_speaker, t.start_cs - w.end_cs AS d, row_number() OVER (PARTITION BY w.doc_id, w.seg_idx, w.word_idx ORDER BY t.start_cs, t.end_cs, t.raw_speaker) AS rn FROM words w JOIN t ON t.doc_id = w.doc_id AND t.start_cs >= w.end_cs),
   ov AS (SELECT DISTINCT w.doc_id, w.seg_idx, w.word_idx FROM words w JOIN t ON t.doc_id = w.doc_id AND t.start_cs < w.end_cs AND t.end_cs > w.start_cs)
   SELECT w.doc_id, w.seg_idx, w.word_idx, CASE WHEN lo.d IS NOT NULL AND (hi.d IS NULL OR lo.d <= hi.d) THEN lo.raw_speaker ELSE hi.raw_speaker END AS near_speaker, CASE WHEN lo.d IS NOT NULL AND (hi.d IS NULL OR lo.d <= hi.d) THEN lo.d ELSE hi.d END AS distance_cs
   FROM words w LEFT JOIN (SELECT * FROM lo WHERE rn = 1) lo USING (doc_id, seg_idx, word_idx) LEFT JOIN (SELECT * FROM hi WHERE rn = 1) hi USING (doc_id, seg_idx, word_idx) ANTI JOIN ov USING (doc_id, seg_idx, word_idx)""", "words turns")
 def j3_nearest_turn(spark, sf):
-    """Words that no turn overlaps, by the nearer neighbour in time (a third of the turns)."""
-    t = views.turns(spark, sf).where("start_cs % 3 = 0")
+    """Words that no turn overlaps, by the nearer neighbour in time (all turns, cut to a third of their length, so that there are gaps)."""
+    t = views.turns(spark, sf).withColumn("end_cs", F.expr("start_cs + (end_cs - start_cs) div 3"))
     left = speakers.overlap_turn(views.words(spark, sf), t).where("raw_speaker is null").drop("raw_speaker", "overlap_cs")
     return speakers.nearest_turn(left, t).select("doc_id", "seg_idx", "word_idx", "near_speaker", "distance_cs")
 
@@ -375,13 +375,14 @@ def k9_snapped(spark, sf):
     return cutting.snapped(c, views.words(spark, sf), 5000)
 
 
-@query("w12_activity", """WITH t AS (SELECT DISTINCT doc_id, end_cs + 20 AS at_cs FROM segments), s AS (SELECT * FROM segments WHERE idx % 2 = 0),
+@query("w12_activity", """WITH t AS (SELECT DISTINCT doc_id, start_cs + (end_cs - start_cs) // 2 + CASE WHEN idx % 3 = 0 THEN 20 ELSE -20 END AS at_cs FROM segments), s AS (SELECT doc_id, idx, start_cs, start_cs + (end_cs - start_cs) // 2 AS end_cs FROM segments),
   a AS (SELECT t.doc_id, t.at_cs, arg_min(s.idx, s.start_cs) FILTER (WHERE s.start_cs <= at_cs AND at_cs <= s.end_cs) AS active_idx, count(*) FILTER (WHERE s.start_cs <= at_cs AND at_cs < s.end_cs) AS talk, min(s.start_cs) FILTER (WHERE s.start_cs > at_cs) AS nx FROM t LEFT JOIN s USING (doc_id) GROUP BY 1, 2),
   b AS (SELECT *, CASE WHEN talk = 0 THEN coalesce(nx - at_cs, 0) ELSE 0 END AS silence_cs FROM a) SELECT doc_id, at_cs, active_idx, silence_cs, silence_cs >= 300 AS reaction FROM b""", "segments")
 def w12_activity(spark, sf):
-    """The active segment, and silence ahead, over every other segment."""
-    s = views.segments(spark, sf)
-    return cutting.activity(s.select("doc_id", (F.col("end_cs") + 20).alias("at_cs"), F.lit(0.5).alias("energy")).distinct(), s.where("idx % 2 = 0"))
+    """The active segment, and silence ahead (all segments, cut to half their length, so that there is silence)."""
+    s = views.segments(spark, sf).withColumn("end_cs", F.expr("start_cs + (end_cs - start_cs) div 2"))
+    at = F.col("end_cs") + F.when(F.col("idx") % 3 == 0, 20).otherwise(-20)
+    return cutting.activity(s.select("doc_id", at.alias("at_cs"), F.lit(0.5).alias("energy")).distinct(), s)
 
 
 @query("g7_cues", r"""WITH o AS MATERIALIZED (SELECT *, regexp_matches(text, '[.!?…]["''”’)]*$') AS st, regexp_matches(text, '[,;:]["''”’)]*$') AS so, lead(start_cs) OVER (PARTITION BY doc_id, seg_idx ORDER BY word_idx) - end_cs >= 55 AS far FROM words),

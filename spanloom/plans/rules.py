@@ -391,7 +391,7 @@ def a5_colour_policy(spark, sf):
     return speakers.colour_policy(views.segments(spark, sf).withColumn("speaker", F.when(F.col("idx") % 5 == 4, "Default").otherwise(F.col("speaker"))))
 
 
-@query("g6_merged_short", """WITH w0 AS (SELECT doc_id, seg_idx, word_idx, start_cs + CASE WHEN (doc_id + word_idx) % 5 = 0 THEN 35 ELSE 0 END AS s, end_cs - CASE WHEN (doc_id + word_idx) % 3 = 0 THEN 4 ELSE 0 END AS e, text FROM words WHERE (doc_id + word_idx) % 7 <> 1),
+@query("g6_merged_short", """WITH w0 AS (SELECT doc_id, seg_idx, word_idx, start_cs + start_cs // 280 * 40 + CASE WHEN (doc_id + word_idx) % 5 = 0 THEN 35 ELSE 0 END AS s, end_cs + start_cs // 280 * 40 - CASE WHEN (doc_id + word_idx) % 3 = 0 THEN 4 ELSE 0 END AS e, text FROM words),
   o AS MATERIALIZED (SELECT doc_id, s, e, text, CAST(1 + word_idx % 5 AS INTEGER) AS imp, word_idx % 11 = 0 AS ch, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, text) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM w0),
   f AS (SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS STRUCT(s BIGINT, e BIGINT, t VARCHAR, i INTEGER, c BOOLEAN)) AS held, CAST(NULL AS STRUCT(s BIGINT, e BIGINT, t VARCHAR, i INTEGER, c BOOLEAN)) AS carry, CAST([] AS STRUCT(s BIGINT, e BIGINT, t VARCHAR, i INTEGER, c BOOLEAN)[]) AS out, total FROM o WHERE n = 1
     UNION ALL SELECT doc_id, n, CASE act WHEN 'left' THEN {'s': least(held.s, cur.s), 'e': greatest(held.e, cur.e), 't': trim(held.t || ' ' || cur.t), 'i': greatest(held.i, cur.i), 'c': held.c OR cur.c} WHEN 'carry' THEN held ELSE {'s': cur.s, 'e': CASE WHEN cur.e - cur.s < 8 THEN cur.s + 8 ELSE cur.e END, 't': cur.t, 'i': cur.i, 'c': cur.c} END,
@@ -404,8 +404,8 @@ def a5_colour_policy(spark, sf):
 def g6_merged_short(spark, sf):
     """Short segments joined left, right or padded; the greater importance, either one's chaos (words as segments)."""
     k = F.col("doc_id") + F.col("word_idx")
-    w = views.words(spark, sf).where(k % 7 != 1)
-    s = w.select("doc_id", (F.col("start_cs") + F.when(k % 5 == 0, 35).otherwise(0)).alias("start_cs"), (F.col("end_cs") - F.when(k % 3 == 0, 4).otherwise(0)).alias("end_cs"), "text", (1 + F.col("word_idx") % 5).cast("int").alias("importance"), (F.col("word_idx") % 11 == 0).alias("chaos"))
+    gap = F.expr("start_cs div 280") * 40
+    s = views.words(spark, sf).select("doc_id", (F.col("start_cs") + gap + F.when(k % 5 == 0, 35).otherwise(0)).alias("start_cs"), (F.col("end_cs") + gap - F.when(k % 3 == 0, 4).otherwise(0)).alias("end_cs"), "text", (1 + F.col("word_idx") % 5).cast("int").alias("importance"), (F.col("word_idx") % 11 == 0).alias("chaos"))
     return transcripts.merge_short(s)
 
 
@@ -599,12 +599,12 @@ def s2_heatmap_rows(spark, sf):
     return documents.heatmap_rows(docs.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit("test").alias("source"), F.lit(False).alias("synthetic"), "video_id", "duration_seconds", "points")).alias("value")))
 
 
-@query("a13_merge_summary", """WITH t AS (SELECT * FROM turns WHERE start_cs % 3 = 0), ov AS (SELECT DISTINCT w.doc_id, seg_idx, word_idx FROM words w JOIN t ON t.doc_id = w.doc_id AND t.start_cs < w.end_cs AND t.end_cs > w.start_cs),
+@query("a13_merge_summary", """WITH t AS (SELECT doc_id, start_cs, start_cs + (end_cs - start_cs) // 3 AS end_cs, raw_speaker FROM turns), ov AS (SELECT DISTINCT w.doc_id, seg_idx, word_idx FROM words w JOIN t ON t.doc_id = w.doc_id AND t.start_cs < w.end_cs AND t.end_cs > w.start_cs),
   d AS (SELECT w.doc_id, w.seg_idx, w.word_idx, min(CASE WHEN t.end_cs <= w.start_cs THEN w.start_cs - t.end_cs ELSE t.start_cs - w.end_cs END) AS d FROM words w ANTI JOIN ov USING (doc_id, seg_idx, word_idx) JOIN t ON t.doc_id = w.doc_id GROUP BY ALL)
   SELECT w.doc_id, count(*) AS words, count(d.d) AS outside_words, coalesce(max(d.d), 0) AS outside_cs FROM words w LEFT JOIN d USING (doc_id, seg_idx, word_idx) GROUP BY 1""", "words turns")
 def a13_merge_summary(spark, sf):
-    """Words that no turn overlaps, and their greatest distance to a turn (turns that begin at a third of the times, so that there are gaps)."""
-    return speakers.merge_summary(speakers.merged(views.words(spark, sf), views.turns(spark, sf).where("start_cs % 3 = 0")))
+    """Words that no turn overlaps, and their greatest distance to a turn (turns cut to a third of their length, so that there are gaps)."""
+    return speakers.merge_summary(speakers.merged(views.words(spark, sf), views.turns(spark, sf).withColumn("end_cs", F.expr("start_cs + (end_cs - start_cs) div 3"))))
 
 
 @query("u3_prohibited_fields", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'score,' || event_type WHEN event_type IN ('click', 'view') THEN event_type ELSE '' END AS fields FROM events WHERE event_id % 4 <> 0 OR event_type IN ('click', 'view') UNION ALL SELECT event_id, 'score' FROM events WHERE event_id % 4 = 0 AND event_type NOT IN ('click', 'view')".replace("'score,' || event_type", "CASE WHEN event_type = 'click' THEN 'click,score' ELSE 'score,view' END"))
