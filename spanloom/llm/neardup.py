@@ -82,7 +82,7 @@ def _chunks(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         begin = end
 
 
-def bucket_forest(keys: np.ndarray, fps: np.ndarray, tables: np.ndarray, radius: int, most: int = 1 << 20, nodes: np.ndarray | None = None, checks: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def bucket_forest(keys: np.ndarray, fps: np.ndarray, tables: np.ndarray, radius: int, most: int = 1 << 17, nodes: np.ndarray | None = None, checks: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Edges (node, its root) that join what is linked within each bucket.
 
     keys: bucket of each row; fps: uint64; tables: uint8 (rows, pivots). Pairs are made ``most``
@@ -343,7 +343,7 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
 
-def crossing_pairs(token: np.ndarray, pos: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, similarity: float, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def crossing_pairs(token: np.ndarray, pos: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, similarity: float, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (node, node) of rows with one token and two roots that can have the similarity.
 
     A pair is ruled out by the sizes, or by how much can follow the shared token in both sets; the
