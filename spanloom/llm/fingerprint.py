@@ -81,7 +81,7 @@ def search(prints: DataFrame, queries: DataFrame, key: str = "doc_id", radius: i
     return near.join(left, [f"q_{n}" for n in names]).join(prints, names).select(f"q_{key}", key, "distance")
 
 
-def near_counts(q: np.ndarray, d: np.ndarray, n: np.ndarray, table: int, radius: int, most: int = 1 << 18) -> np.ndarray:
+def near_counts(q: np.ndarray, d: np.ndarray, n: np.ndarray, table: int, radius: int, most: int = 1 << 16) -> np.ndarray:
     """For each query (rows of uint64 words) the sum of ``n`` of the rows of ``d`` within ``radius`` bits that first agree with it in block ``table``."""
     out = np.zeros(len(q), np.int64)
     bounds = block_bounds(64 * q.shape[1], radius + 1)[: table + 1]
