@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -49,8 +50,8 @@ def scratch(spark: SparkSession, name: str) -> str:
         fs.mkdirs(path)
         fs.deleteOnExit(path)
     made = f"{own}/{name}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(made)
+    if _open():
+        _open()[-1].append(made)
     return made
 
 
@@ -72,19 +73,25 @@ def write(df: DataFrame, path: str, **options: str) -> None:
             conf.unset(k) if v is None else conf.set(k, v)
 
 
-#: Paths that are deleted when what is being settled is there, innermost last.
-_OPEN: list[list[str]] = []
+_LOCAL = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """Of this thread: the paths that are deleted when what is being settled is there, innermost last."""
+    if not hasattr(_LOCAL, "open"):
+        _LOCAL.open = []
+    return _LOCAL.open
 
 
 def settled(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The frame that ``build`` makes, as a table; all tables written on the way to it are deleted."""
     path, made = scratch(spark, name), []
-    _OPEN.append(made)
+    _open().append(made)
     try:
         df = build()
         write(df, path)
     finally:
-        _OPEN.pop()
+        _open().pop()
         for p in made:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
