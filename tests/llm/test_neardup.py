@@ -1,11 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from spanloom.llm import neardup
+from spanloom.llm import common, neardup
 from spanloom.llm.common import connected_components
 from spanloom.llm.queries import op1_simhash_pivots
 
@@ -194,3 +195,48 @@ def test_similar_groups_on_the_tables(spark):
     assert len(close) >= 5 and all(of[i] == of[j] for i, j in close)
     best = [max([pairs.get((min(i, j), max(i, j)), 0) for j in range(len(keys)) if j != i and of[j] == of[i]], default=1) for i in range(len(keys))]
     assert min(best) > 0.65 and np.mean([b < 0.8 for b in best]) < 0.02
+
+
+def test_hot_keys_are_joined_whole(spark):
+    many = common.written(spark.range(5000).selectExpr("if(id % 3 = 0, 7L, id) as k", "id as x").union(spark.createDataFrame([(None, 1)], "k long, x long")), "many")
+    one = spark.range(0, 5000, 2).selectExpr("id as k", "id * 10 as y").union(spark.createDataFrame([(7, 70)], "k long, y long"))
+    want = sorted(map(tuple, many.join(one, "k").select("k", "x", "y").collect()))
+    assert sorted(map(tuple, common.looked_up(many, one, "k").select("k", "x", "y").collect())) == want
+    assert sorted(map(tuple, common.salted(many, one, "k").select("k", "x", "y").collect())) == want
+    left = many.join(one, "k", "left").select("k", "x", "y").collect()
+    assert sorted(map(tuple, common.looked_up(many, one, "k", "left").select("k", "x", "y").collect()), key=str) == sorted(map(tuple, left), key=str)
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    made = []
+    before = {k: spark.conf.get(k, None) for k in common.WRITING}
+
+    def build(fail=False):
+        made.append(common.written(spark.range(3), "step"))
+        if fail:
+            raise ValueError
+        return made[-1].selectExpr("id + 1 as id")
+
+    out = common.settled(spark, "done", build)
+    with pytest.raises(ValueError):
+        common.settled(spark, "done", lambda: build(True))
+    assert sorted(r.id for r in out.collect()) == [1, 2, 3] and {k: spark.conf.get(k, None) for k in common.WRITING} == before
+    for m in made:
+        assert not Path(m.inputFiles()[0].removeprefix("file://")).exists()
+    assert Path(out.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere"
+            getConf = staticmethod(lambda: {})
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("O", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        common.shared_dir(Session)
