@@ -18,7 +18,7 @@ from pathlib import Path
 import numpy as np
 
 #: Entries of the cache, about 200 bytes apiece.
-CACHE = 300_000
+CACHE = 450_000
 
 #: A part with a character above this is not cut before it is encoded.
 _PLAIN = "\u024f"
