@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ MID_THOUGHT = ("and", "but", "so", "because", "ale", "bo", "wiec", "czyli")
 UNFINISHED = ("and", "but", "because", "so", "ale", "bo", "wiec")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it: inside lambdas Spark evaluates every use again."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def compact(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
@@ -73,9 +80,13 @@ def subtitle_text(text: Column, capitalize: bool = False) -> Column:
     t = F.trim(t)
     if not capitalize:
         return t
-    head = F.regexp_extract(t, r"^([^\p{L}]*)\p{L}", 1)
-    at = F.length(head) + 1
-    return F.when(t.rlike(r"\p{L}"), F.concat(head, F.upper(F.substring(t, at, F.lit(1))), F.substring(t, at + 1, F.length(t)))).otherwise(t)
+
+    def raised(t):
+        head = F.regexp_extract(t, r"^([^\p{L}]*)\p{L}", 1)
+        at = F.length(head) + 1
+        return F.when(t.rlike(r"\p{L}"), F.concat(head, F.upper(F.substring(t, at, F.lit(1))), F.substring(t, at + 1, F.length(t)))).otherwise(t)
+
+    return bound(t, raised)
 
 
 def is_connector(word: Column) -> Column:
@@ -84,18 +95,32 @@ def is_connector(word: Column) -> Column:
 
 def wrapped(text: Column, width: int = 24) -> Column:
     """Two lines at the cheapest split: 20 per character of overflow, 12 for a connector at the line's end, and the imbalance."""
-    t = subtitle_text(text)
-    words = F.split(t, " ")
-    n = F.size(words)
+    none = F.lit(None).cast("struct<cost:int,left:int>")
+
+    def cheapest(s):
+        """The least (cost, length of the first line) of all splits, in one walk over the words that holds numbers only."""
 
-    def split(i):
-        left, right = F.array_join(F.slice(words, 1, i), " "), F.array_join(F.slice(words, i + 1, n - i), " ")
-        cost = 20 * (F.greatest(F.lit(0), F.length(left) - width) + F.greatest(F.lit(0), F.length(right) - width)) + F.when(is_connector(F.element_at(words, i)), 12).otherwise(0) + F.abs(F.length(left) - F.length(right))
-        lone = ((i == 1) & is_connector(F.element_at(words, 1))) | ((i == n - 1) & is_connector(F.element_at(words, n)))
-        return F.when(~lone, F.struct(cost.alias("cost"), i.alias("at"), F.concat(left, F.lit("\n"), right).alias("text")))
+        def step(a, word):
+            i, left = a["i"] + 1, a["left"] + 1 + F.length(word)
+            right, joins = s["chars"] - 1 - left, is_connector(word)
+            lone = ((i == 1) & joins) | ((i == s["n"] - 1) & s["last_joins"])
+            cost = 20 * (F.greatest(F.lit(0), left - width) + F.greatest(F.lit(0), right - width)) + F.when(joins, 12).otherwise(0) + F.abs(left - right)
+            best = F.least(a["best"], F.when((i < s["n"]) & ~lone, F.struct(cost.alias("cost"), left.alias("left"))))
+            return F.struct(i.alias("i"), left.alias("left"), best.alias("best"))
 
-    best = F.array_min(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), split), lambda x: x.isNotNull()))
-    return F.when((n <= 1) | (F.length(t) <= width), t).otherwise(F.coalesce(best["text"], t))
+        start = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("left"), none.alias("best"))
+        return F.aggregate(s["words"], start, step, lambda a: a["best"])
+
+    def cut(s):
+        at = lambda best: F.concat(F.substring(s["t"], F.lit(1), best["left"]), F.lit("\n"), F.substring(s["t"], best["left"] + 2, s["chars"]))
+        whole = F.when((s["n"] > 1) & (s["chars"] > width), bound(cheapest(s), at))
+        return F.coalesce(whole, s["t"])
+
+    def parts(t):
+        words = F.split(t, " ")
+        return F.struct(t.alias("t"), F.length(t).alias("chars"), words.alias("words"), F.size(words).alias("n"), is_connector(F.element_at(words, -1)).alias("last_joins"))
+
+    return bound(bound(subtitle_text(text), parts), cut)
 
 
 #: Limits of a merged cue: words, characters, characters of one of its two lines.
@@ -104,9 +129,12 @@ MOST_WORDS, MOST_CHARS, LINE = 7, 49, 24
 
 def fits_cue(text: Column) -> Column:
     """Whether a text can be one cue: not empty, few enough words and characters, and each of its wrapped lines short enough."""
-    t = subtitle_text(text)
-    lines = F.split(wrapped(t), "\n")
-    return (t != "") & (F.size(F.split(t, " ")) <= MOST_WORDS) & (F.length(t) <= MOST_CHARS) & (F.size(lines) <= 2) & F.forall(lines, lambda x: F.length(x) <= LINE)
+
+    def fits(t):
+        lines = lambda x: (F.size(x) <= 2) & F.forall(x, lambda y: F.length(y) <= LINE)
+        return (t != "") & (F.size(F.split(t, " ")) <= MOST_WORDS) & (F.length(t) <= MOST_CHARS) & bound(F.split(wrapped(t), "\n"), lines)
+
+    return bound(subtitle_text(text), fits)
 
 
 def subtitle_label(raw: Column) -> Column:

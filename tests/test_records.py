@@ -40,6 +40,30 @@ def test_subtitle_text(spark):
     assert values(spark, ["short", "this line is too long for one row"], tx.wrapped) == ["short", "this line is too\nlong for one row"]
 
 
+def plain_wrapped(text, width=24):
+    """The split rule of ``tx.wrapped`` for a text without signs, split by split."""
+    words = text.split()
+    joins = [w in tx.CONNECTORS for w in words]
+    best = []
+    for i in range(1, len(words)):
+        left, right = " ".join(words[:i]), " ".join(words[i:])
+        cost = 20 * (max(0, len(left) - width) + max(0, len(right) - width)) + 12 * joins[i - 1] + abs(len(left) - len(right))
+        if not (i == 1 and joins[0] or i == len(words) - 1 and joins[-1]):
+            best.append((cost, i, f"{left}\n{right}"))
+    return min(best)[2] if best and len(" ".join(words)) > width else " ".join(words)
+
+
+def test_wrapped_against_a_model_and_each_part_once(spark):
+    rnd = random.Random(5)
+    words = [*tx.CONNECTORS, "ż" * 9, "słowo", "word", "x" * 30, "tree", "🌳🌳"]
+    texts = [" ".join(rnd.choices(words, k=rnd.choice((0, 1, 2, 3, 4, 8, 40, 300)))) for _ in range(300)]
+    texts += ["a " + "b" * 40, "b" * 40 + " a", "a " * 200, "x" * 300 + " a" * 90, "a " * 90 + "x" * 300, " ".join(f"w{i}" for i in range(5000))]
+    assert values(spark, texts, tx.wrapped) == [plain_wrapped(t) for t in texts]
+    # Each use of the normalized text in a lambda ran its expressions again, for every split.
+    plan = spark.range(1).select(tx.wrapped(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 7
+
+
 def test_repairs(spark):
     got = values(spark, ["the  the cat", "hello", "i met ania Ania", "Done.", ""], tx.repaired)
     assert [(r.text, list(r.fixes)) for r in got] == [
