@@ -147,26 +147,46 @@ def subtitle_label(raw: Column) -> Column:
 
 def without_repeats(text: Column) -> Column:
     """Neighbouring words that are equal but for case and signs, once."""
-    words = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "), " "), lambda w: w != "")
-    plain = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]+", ""))
-    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("last"))
-    fold = F.aggregate(words, start, lambda a, w: F.when((plain(w) != "") & (plain(w) == a["last"]), a).otherwise(F.struct(F.concat(a["kept"], F.array(w)).alias("kept"), plain(w).alias("last"))), lambda a: a["kept"])
-    return F.array_join(fold, " ")
+
+    def words(t):
+        plain = F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}_ ]+", ""))
+        return F.struct(F.split(t, " ").alias("words"), F.split(plain, " ").alias("plain"))
+
+    def kept(s):
+        # A word that goes is equal to the one before it, so the last one kept always has the plain form of the one before.
+        at = lambda i: F.get(s["plain"], i)
+        return F.array_join(F.filter(s["words"], lambda w, i: (at(i) == "") | ~at(i).eqNullSafe(at(i - 1))), " ")
+
+    return bound(bound(compact(text), words), kept)
 
 
 def repaired(text: Column) -> Column:
     """(text, fixes): white space, doubled words, first letter, common names, final stop, in this order."""
-    t0 = F.coalesce(text, F.lit(""))
-    t1 = compact(t0)
-    t2 = without_repeats(t1)
-    t3 = F.concat(F.upper(F.substring(t2, 1, 1)), F.substring(t2, F.lit(2), F.length(t2)))
-    t4 = t3
-    for name in NAMES:
-        t4 = F.regexp_replace(t4, rf"(?iuU)(^|[\s\"'(\[])\b{name}\b", f"$1{name.capitalize()}")
-    t5 = F.when((t4 != "") & ~F.right(t4, F.lit(1)).isin(".", "!", "?", "…"), F.concat(t4, F.lit("."))).otherwise(t4)
-    steps = (("whitespace", t0, t1), ("duplicate_words", t1, t2), ("sentence_capitalization", t2, t3), ("name_capitalization", t3, t4), ("terminal_punctuation", t4, t5))
-    fixes = F.filter(F.array(*[F.when(a != b, name) for name, a, b in steps]), lambda x: x.isNotNull())
-    return F.struct(t5.alias("text"), fixes.alias("fixes"))
+    before = r"(?iuU)(^|[\s\"'(\[])\b"
+
+    def named(t):
+        out = t
+        for name in NAMES:
+            out = F.regexp_replace(out, rf"{before}{name}\b", f"$1{name.capitalize()}")
+        return F.when(t.rlike(rf"{before}(?:{'|'.join(NAMES)})\b"), out).otherwise(t)
+
+    steps = {
+        "whitespace": compact,
+        "duplicate_words": without_repeats,
+        "sentence_capitalization": lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, F.lit(2), F.length(t))),
+        "name_capitalization": named,
+        "terminal_punctuation": lambda t: F.when((t != "") & ~F.right(t, F.lit(1)).isin(".", "!", "?", "…"), F.concat(t, F.lit("."))).otherwise(t),
+    }
+
+    texts = F.array(F.coalesce(text, F.lit("")))
+    for step in steps.values():
+        texts = bound(texts, lambda a: F.array_append(a, bound(F.element_at(a, -1), step)))  # noqa: B023
+
+    def told(a):
+        fixes = F.array(*[F.when(F.get(a, F.lit(i)) != F.get(a, F.lit(i + 1)), name) for i, name in enumerate(steps)])
+        return F.struct(F.element_at(a, -1).alias("text"), F.filter(fixes, lambda x: x.isNotNull()).alias("fixes"))
+
+    return bound(texts, told)
 
 
 def redacted(text: Column) -> Column:

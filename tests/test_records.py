@@ -72,6 +72,31 @@ def test_repairs(spark):
     ]
 
 
+def test_repairs_once_each(spark):
+    rnd = random.Random(6)
+    words = ["the", "The,", "the!", "Ania", "ania", "-", "...", "Olaf;", "maciek", "x_1", "łza"]
+    texts = [" ".join(rnd.choices(words, k=rnd.choice((0, 1, 2, 5, 30)))) for _ in range(200)]
+    texts.append("the cat sat " * 3000)
+
+    def kept(text):
+        out, last = [], ""
+        for w in text.split():
+            plain = re.sub(r"[^\w]+", "", w).lower()
+            if not plain or plain != last:
+                out, last = [*out, w], plain
+        return " ".join(out)
+
+    assert values(spark, texts, tx.without_repeats) == [kept(t) for t in texts]
+    got = values(spark, ["ANIA and  olaf, (jan) Marek's xjan", "- - ok ok"], tx.repaired)
+    assert [(r.text, list(r.fixes)) for r in got] == [
+        ("Ania and Olaf, (Jan) Marek's xjan.", ["whitespace", "name_capitalization", "terminal_punctuation"]),
+        ("- - ok.", ["duplicate_words", "terminal_punctuation"]),
+    ]
+    # Each step stood in the plan as often as later steps used it, and a doubled word's test in each of those.
+    plan = spark.range(1).select(tx.repaired(F.col("id").cast("string")).alias("r")).select("r.text", "r.fixes")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 3 + len(tx.NAMES)
+
+
 def test_sensitive_patterns(spark):
     texts = ["mail ann.lee@mail.example.com", "card 4111 1111 1111 1111", "44051401359", "call +48 600 700 800 now", "ul. Prosta 5, debt, lawyer", "nothing", None]
     got = values(spark, texts, sensitive.matches)
