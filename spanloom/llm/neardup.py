@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import connected_components, looked_up, salted, settled, slices, written
 from spanloom.llm.simhash import pack_bits, vote_sums
+from spanloom.llm.tokens import Encoder
 
 RADIUS = 3
 SHINGLE = 3
@@ -344,7 +345,16 @@ def common_shingles(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def crossing_pairs(token: np.ndarray, pos: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, similarity: float, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (node, node) of rows with one token and two roots that can have the similarity.
+    """All distinct pairs of ``crossing_parts`` at once."""
+    parts = [np.zeros((0, 2), np.int64), *crossing_parts(token, pos, size, node, root, similarity, most)]
+    pairs = np.unique(np.concatenate(parts), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def crossing_parts(token: np.ndarray, pos: np.ndarray, size: np.ndarray, node: np.ndarray, root: np.ndarray, similarity: float, most: int = 1 << 17) -> Iterator[np.ndarray]:
+    """(node, node) of rows with one token and two roots that can have the similarity, distinct in each part.
+
+    A part comes of about ``most`` pairs of rows, so that memory does not grow with a bucket's pairs.
 
     A pair is ruled out by the sizes, or by how much can follow the shared token in both sets; the
     bucket of the first token they share never rules out a similar pair. Rows of a bucket's largest
@@ -363,7 +373,6 @@ def crossing_pairs(token: np.ndarray, pos: np.ndarray, size: np.ndarray, node: n
     order, token, root, main = order[again], token[again], root[again], main[again]
     pos, size, node = pos[order].astype(np.int64), size[order].astype(np.int64), node[order]
     counts = np.where(main, 0, np.searchsorted(token, token, "right") - np.arange(len(token)) - 1)
-    out = [np.zeros((0, 2), np.int64)]
     for a, b in _chunks(counts, most):
         c = counts[a:b]
         i = np.repeat(np.arange(a, b), c)
@@ -374,9 +383,7 @@ def crossing_pairs(token: np.ndarray, pos: np.ndarray, size: np.ndarray, node: n
         can = shared >= (similarity - EPS) * (size[i] + size[j] - shared)
         i, j = i[can], j[can]
         if len(i):
-            out.append(np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0))
-    pairs = np.unique(np.concatenate(out), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+            yield np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
 
 
 def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -399,6 +406,10 @@ def similar_pairs(sets: DataFrame, texts: DataFrame, shingle: int, similarity: f
     out nearly all that are not similar, and no other; the few left are verified on their texts.
     """
 
+    def parts(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for pairs in crossing_parts(*rows, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
@@ -409,10 +420,10 @@ def similar_pairs(sets: DataFrame, texts: DataFrame, shingle: int, similarity: f
                 now = [np.concatenate(x) for x in zip(held, now)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
             if cut:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in crossing_pairs(*(x[:cut] for x in now), similarity)], ["u", "v"])
+                yield from parts([x[:cut] for x in now])
             held = [x[cut:] for x in now]
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in crossing_pairs(*held, similarity)], ["u", "v"])
+            yield from parts(held)
 
     rows = sets.select(F.posexplode("prefix").alias("pos", "token"), "size", "node", "root").select("token", "pos", "size", "node", "root")
     pairs = written(rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "u long, v long").distinct(), "pairs")
@@ -449,6 +460,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shi
 
 def _similar_groups(docs: DataFrame, key: str, text: str, shingle: int, similarity: float, bucket_cap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Encoder.release()  # of an earlier packing in the same worker
         refs = pivots()
         for batch in batches:
             for part in slices(batch, "t"):

@@ -71,6 +71,11 @@ class Encoder:
             _ENCODERS[key] = Encoder(vocabulary, cache)
         return _ENCODERS[key]
 
+    @staticmethod
+    def release() -> None:
+        """Drops the worker process's encoder and its cache, for work that needs neither."""
+        _ENCODERS.clear()
+
     @staticmethod
     def split(text: str) -> list[str]:
         """Parts of the text; each but the first stands after a blank that belongs to it."""

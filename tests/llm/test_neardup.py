@@ -143,6 +143,14 @@ def test_similar_groups_link_every_pair_at_the_similarity(spark):
     assert all(alike(sets[k], sets[c]) > 0.65 for k, c in found.items())
 
 
+def test_crossing_parts_do_not_grow_with_a_bucket():
+    n = 1500  # texts of one token: 1,124,250 pairs, which were one array before
+    at = np.arange(n)
+    parts = list(neardup.crossing_parts(np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 9), at, at, 0.8, 10_000))
+    assert max(map(len, parts)) <= 10_000 + n
+    assert len(np.unique(np.concatenate(parts), axis=0)) == sum(map(len, parts)) == n * (n - 1) // 2
+
+
 def test_crossing_pairs_against_all_pairs():
     rnd = np.random.default_rng(2)
     common = np.sort(rnd.choice(2**40, 60, replace=False).astype(np.uint64))
